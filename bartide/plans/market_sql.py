@@ -169,3 +169,39 @@ def offset_sql(rows: int) -> str:
     """RS over exactly `rows` sessions for every window end (symbol, d, rs, ret)."""
     return f"""SELECT symbol, session, d, round_even((close / p0 - 1) * 100 - (bench / m0 - 1) * 100, 2) AS rs, round_even((close / p0 - 1) * 100, 2) AS ret
   FROM (SELECT *, lag(close, {rows}) OVER w AS p0, lag(bench, {rows}) OVER w AS m0 FROM paired WINDOW w AS (PARTITION BY symbol ORDER BY session))"""
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+define("raw_actions", f"""
+SELECT {SYMBOL.format('l_suppkey')} AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS ex_date, l_orderkey * 1000000 + l_partkey AS ord,
+  CASE l_partkey % 4 WHEN 0 THEN 'split' WHEN 1 THEN 'bonus' WHEN 2 THEN 'gap' END AS kind,
+  CASE l_partkey % 4 WHEN 0 THEN 2.0::DOUBLE / 10.0 WHEN 1 THEN 2.0::DOUBLE / 3.0 END AS factor
+FROM lineitem WHERE l_linenumber = 3 AND l_quantity >= 49""")
+define("actions", "SELECT * FROM raw_actions WHERE kind IS NOT NULL")
+define("day_factors", """
+SELECT a.symbol, a.ex_date AS session, CASE WHEN max(g.last_gap) IS NOT NULL THEN any_value(b.close / b.prev_close) ELSE 1.0 END
+  * coalesce(product(CASE WHEN a.ord > coalesce(g.last_gap, -1) THEN a.factor END), 1.0) AS factor
+FROM actions a JOIN (SELECT symbol, ex_date, max(CASE WHEN kind = 'gap' THEN ord END) AS last_gap FROM actions GROUP BY 1, 2) g
+  ON g.symbol = a.symbol AND g.ex_date = a.ex_date
+JOIN osc_in b ON b.symbol = a.symbol AND b.session = a.ex_date WHERE b.rn > 1 GROUP BY 1, 2""")
+define("adjusted", """
+SELECT symbol, suppkey, session, open * scale AS open, high * scale AS high, low * scale AS low, close * scale AS close, qty / scale AS qty,
+  deliv_qty / scale AS deliv_qty, turnover, prev_close * scale * own AS prev_close
+FROM (SELECT b.*, coalesce(f.factor, 1.0) AS own, coalesce(product(coalesce(f.factor, 1.0)) OVER (PARTITION BY b.symbol ORDER BY b.session
+    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1.0) AS scale
+  FROM bars b LEFT JOIN day_factors f ON f.symbol = b.symbol AND f.session = b.session)""")
+define("index_levels", """
+SELECT index_name, session, CASE WHEN weekofyear(session) % 26 <> 0 THEN p END AS price, CASE WHEN weekofyear(session) % 9 <> 0 THEN p * 1.5 END AS level
+FROM (SELECT sector AS index_name, session, sum(turnover) / sum(qty) AS p FROM bars JOIN listed USING (symbol) GROUP BY 1, 2)""")
+
+
+def calendar_sql(start: str, end: str) -> str:
+    from bartide.sources.market import EXTRA_SESSIONS, HOLIDAYS
+
+    return f"""SELECT day, open_day AS is_session, sum(CASE WHEN open_day THEN 1 ELSE 0 END) OVER (ORDER BY day) AS sessions_so_far,
+  last_value(CASE WHEN open_day THEN day END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_session
+  FROM (SELECT day, (isodow(day) <= 5 OR CAST(day AS VARCHAR) IN ({_quoted(EXTRA_SESSIONS)})) AND CAST(day AS VARCHAR) NOT IN ({_quoted(HOLIDAYS)}) AS open_day
+    FROM (SELECT CAST(unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS DATE) AS day))"""

@@ -6,7 +6,7 @@ import importlib
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators",)
+MODULES = ("indicators", "prices")
 
 
 def all_queries() -> list[Query]:

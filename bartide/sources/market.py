@@ -199,3 +199,30 @@ def option_chain(spark: SparkSession, folder: str) -> DataFrame:
     premium = F.greatest(gain, F.lit(0.0)) + F.col("spot") * (0.01 + F.col("mean_size") / 1000)
     return priced.select("underlying", F.lit("2001-11-05").cast("date").alias("trade_date"), "expiry", "strike", "kind", "spot",
                          premium.alias("settle"), "oi", "contracts")
+
+
+# fixed values: wording of corporate-action subjects
+SUBJECTS = ("Face Value Split (Sub-Division) - From Rs 10/- Per Share To  Rs 2/- Per Share", "Bonus 1:2",
+            "Composite Scheme of Arrangement", "Interim Dividend - Rs 3 Per Share")
+# fixed values: exchange holidays of the sample calendar
+HOLIDAYS = ("1995-01-26", "1996-08-15", "1997-12-25", "1998-05-01", "2001-11-16", "2001-12-25", "2024-01-15", "2024-01-26")
+EXTRA_SESSIONS = ("2001-11-18", "2024-01-20")
+
+
+def raw_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """(symbol, ex_text, ord, subject): corporate actions as published, one per large third line item."""
+    rows = table(spark, folder, "lineitem").where((F.col("l_linenumber") == 3) & (F.col("l_quantity") >= 49))
+    subject = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    return rows.select(symbol_of("l_suppkey").alias("symbol"), F.date_format(week_of("l_shipdate"), "dd-MMM-yyyy").alias("ex_text"),
+                       (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("ord"), subject.alias("subject"))
+
+
+def index_levels(spark: SparkSession, folder: str, bars: DataFrame) -> DataFrame:
+    """(index_name, session, price, level): one index per sector; published levels miss every ninth calendar week and
+    price levels every 26th."""
+    sector = listings(spark, folder).select("symbol", "sector")
+    priced = (bars.join(sector, "symbol").groupBy(F.col("sector").alias("index_name"), "session")
+              .agg((F.sum("turnover") / F.sum("qty")).alias("_p")))
+    week = F.weekofyear("session")
+    return priced.select("index_name", "session", F.when(week % 26 != 0, F.col("_p")).alias("price"),
+                         F.when(week % 9 != 0, F.col("_p") * 1.5).alias("level"))
