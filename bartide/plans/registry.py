@@ -6,7 +6,7 @@ import importlib
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators", "prices")
+MODULES = ("indicators", "prices", "screens")
 
 
 def all_queries() -> list[Query]:

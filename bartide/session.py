@@ -26,17 +26,16 @@ def build_session(app: str = "bartide", master: str | None = None, shuffle_parti
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees (spark.checkpoint.dir); a local one only where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="bartide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bartide-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder, so that a lost executor does not replay the whole plan."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    """Reliable checkpoint into the shared folder: what is read several times is computed once, and a lost executor
+    does not replay the whole plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
