@@ -6,7 +6,7 @@ import importlib
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators", "prices", "screens", "risk")
+MODULES = ("indicators", "prices", "screens", "risk", "options")
 
 
 def all_queries() -> list[Query]:

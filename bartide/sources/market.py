@@ -226,3 +226,21 @@ def index_levels(spark: SparkSession, folder: str, bars: DataFrame) -> DataFrame
     week = F.weekofyear("session")
     return priced.select("index_name", "session", F.when(week % 26 != 0, F.col("_p")).alias("price"),
                          F.when(week % 9 != 0, F.col("_p") * 1.5).alias("level"))
+
+
+def option_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Option trades per portfolio: seventh line items trade the contract their part stands for in the chain."""
+    rows = table(spark, folder, "lineitem").where(F.col("l_linenumber") == 7)
+    parts = table(spark, folder, "part")
+    joined = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(
+        F.floor(F.col("l_suppkey") / BOOK_SIZE).cast("long").alias("portfolio"), F.col("p_brand").alias("underlying"),
+        F.add_months(F.lit("2001-12-28").cast("date"), (F.col("p_size") % 3).cast("int")).alias("expiry"),
+        (F.floor(F.col("p_retailprice") / 25) * 25.0).alias("strike"), F.when(F.col("p_partkey") % 2 == 0, "PE").otherwise("CE").alias("kind"),
+        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("quantity"),
+        week_of("l_shipdate").alias("session"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"))
+
+
+def hedge_underlying(portfolio) -> Column:
+    """The index a portfolio hedges on."""
+    return F.concat(F.lit("Brand#"), (F.col(portfolio) % 25 + 1).cast("string"))
