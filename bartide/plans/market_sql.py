@@ -79,7 +79,8 @@ SELECT l_suppkey // {BOOK_SIZE} AS portfolio, CAST(date_trunc('week', l_shipdate
     || CASE WHEN l_partkey % 3 = 0 THEN 'CE' ELSE 'PE' END ELSE {SYMBOL.format('l_suppkey')} END AS instrument,
   CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS action, l_quantity AS quantity,
   CASE WHEN l_linenumber = 7 THEN {PRICE} / 20 ELSE {PRICE} END AS price,
-  l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref
+  l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref, CASE WHEN l_linenumber <> 7 AND l_returnflag = 'R' AND l_orderkey % 6 = 0 THEN 'stop-loss exit; proceeds parked in the liquid ETF'
+    WHEN l_linenumber <> 7 AND l_returnflag <> 'R' AND l_orderkey % 40 = 0 THEN 'redeploys ' || {SYMBOL.format('l_suppkey')} || chr(39) || 's parked proceeds: replaces it' ELSE '' END AS note
 FROM lineitem WHERE l_linenumber IN (1, 7)""")
 define("factors", """
 SELECT w.session, market, large, bond, 1000.0 * exp(sum(0.0008 + delivered * 0.0004) OVER (ORDER BY w.session)) AS rate

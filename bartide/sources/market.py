@@ -159,7 +159,15 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
         F.when(option, contract).otherwise(symbol_of("l_suppkey")).alias("instrument"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("quantity"),
         F.when(option, price / 20).otherwise(price).alias("price"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref"))
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref"), _note(option).alias("note"))
+
+
+def _note(option: Column) -> Column:
+    """Some sales park their proceeds, some purchases redeploy what their own symbol parked before."""
+    sold = F.col("l_returnflag") == "R"
+    parks, redeploys = ~option & sold & (F.col("l_orderkey") % 6 == 0), ~option & ~sold & (F.col("l_orderkey") % 40 == 0)
+    text = F.concat(F.lit("redeploys "), symbol_of("l_suppkey"), F.lit("'s parked proceeds: replaces it"))
+    return F.when(parks, "stop-loss exit; proceeds parked in the liquid ETF").when(redeploys, text).otherwise("")
 
 
 def factor_levels(spark: SparkSession, folder: str, bars: DataFrame) -> DataFrame:
