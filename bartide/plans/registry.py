@@ -6,7 +6,7 @@ import importlib
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger")
+MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests")
 
 
 def all_queries() -> list[Query]:
