@@ -21,14 +21,14 @@ from bartide.sources import market as mk
 WINDOWS = (21, 63, 126, 189, 252)
 WARMUP, EVERY, HORIZON = 126, 13, 26  # weekly sessions
 SPLIT_DAY, TOP, POOL = "1999-06-30", 8, 16
-GAP_FLOOR, MIN_HISTORY, CAP_FLOOR, TURNOVER_FLOOR = 2.0, 100, 150.0, 4000.0
+GAP_FLOOR, MIN_HISTORY, CAP_FLOOR, TURNOVER_FLOOR = 2.0, 100, 300.0, 4000.0
 SKIP, SHORT, LONG = 4, 26, 52
 STOP_MULTIPLE = 3.0
 SIGNALS = [*[f"rs_{w}" for w in WINDOWS], "rs_skip", "high_52w", "vol_63", "rs_126_per_vol", "above_ma200", "deliv_trend", "turnover_trend",
            "sector_rs_126", "rs_126_vs_sector", "composite", "adx", "di_gap", "rsi", "dist_high"]
 FLAGS = ["burst", "strong_trend", "overbought", "near_high"]
 QUOTA, PILLARS = [("AFRICA", 1), ("ASIA", 1)], [("AFRICA", 3), ("ASIA", 3), ("EUROPE", 2)]
-BANDS = [150.0, 200.0, 215.0, 230.0, 245.0, 260.0]
+BANDS = [150.0, 290.0, 300.0, 310.0, 320.0, 330.0, 340.0]
 
 
 def panel_of(spark, folder, jump_limit=None):

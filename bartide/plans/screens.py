@@ -122,7 +122,7 @@ def universe(spark, folder):
     """Universe rule: listed, large enough, sectors and names on the exclusion list left out."""
     excluded = spark.createDataFrame([("Supplier#000000003",), ("Supplier#000000011",)], "company string")
     rows = mk.fundamentals(spark, folder).select("symbol", "market_cap").join(members(spark, folder), "symbol")
-    return rows.where((F.col("market_cap") >= 150) & (F.col("sector") != "EUROPE")).join(excluded, "company", "left_anti")
+    return rows.where((F.col("market_cap") >= 300) & (F.col("sector") != "EUROPE")).join(excluded, "company", "left_anti")
 
 
 def aliased(spark, folder):
@@ -151,13 +151,13 @@ def point_in_time_caps(spark, folder):
     rows = bars.select("symbol", "session", "close", F.last("close").over(whole).alias("last"),
                        rl.rolling_median("turnover", 63, 40).alias("median_turnover"))
     valued = rows.join(caps, "symbol").withColumn("cap_then", F.col("market_cap") * F.col("close") / F.col("last"))
-    return valued.withColumn("in_universe", F.coalesce((F.col("cap_then") >= 150) & (F.col("median_turnover") >= 4000), F.lit(False)))
+    return valued.withColumn("in_universe", F.coalesce((F.col("cap_then") >= 300) & (F.col("median_turnover") >= 4000), F.lit(False)))
 
 
 def funnel(spark, folder):
     table = review(spark, folder)
     picked = sc.conviction("quadrant_market", "quadrant_sector").isin(sc.HIGH, sc.MODERATE)
-    counts = table.agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("market_cap") >= 150).alias("large"),
+    counts = table.agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("market_cap") >= 300).alias("large"),
                        F.count_if(F.col("hard_pass")).alias("sound"), F.count_if("eligible").alias("eligible"),
                        F.count_if(F.col("eligible") & picked).alias("confirmed"))
     return counts.unpivot([], ["members", "large", "sound", "eligible", "confirmed"], "stage", "symbols")
@@ -276,16 +276,16 @@ FROM (SELECT symbol, """ + ", ".join(
         for c, a, o in (("roce", "roce_r", ""), ("opm", "opm_r", ""), ("qtr_profit_yoy", "p_r", ""), ("qtr_sales_yoy", "s_r", ""), ("debt_to_equity", "d_r", "-")))
         + " FROM fund))")),
     Query("universe_rule", "F3 S9 U4", "symbol:s company:s sector:s market_cap:4", universe, with_tables("""
-SELECT l.symbol, company, sector, market_cap FROM listed l JOIN fund f ON f.symbol = l.symbol WHERE market_cap >= 150 AND sector <> 'EUROPE' AND company NOT IN ('Supplier#000000003', 'Supplier#000000011')""")),
+SELECT l.symbol, company, sector, market_cap FROM listed l JOIN fund f ON f.symbol = l.symbol WHERE market_cap >= 300 AND sector <> 'EUROPE' AND company NOT IN ('Supplier#000000003', 'Supplier#000000011')""")),
     Query("symbol_aliases", "F4", "brand:s parts:i mean_price:4", aliased, """
 SELECT CASE p_brand WHEN 'Brand#4' THEN 'Brand#7' WHEN 'Brand#9' THEN 'Brand#1' ELSE p_brand END AS brand, count(*) AS parts, avg(p_retailprice) AS mean_price FROM part GROUP BY 1"""),
     Query("trend_confirmed", "Q8", "symbol:s di_gap:2", trend_ok, with_tables(
         "SELECT symbol, round(plus_di - minus_di, 2) AS di_gap FROM tech WHERE rn = total AND round(plus_di - minus_di, 2) >= 2.0")),
     Query("point_in_time_universe", "Q10", "symbol:s session:d cap_then:4 median_turnover:3 in_universe:b", point_in_time_caps, with_tables("""
-SELECT *, coalesce(cap_then >= 150 AND median_turnover >= 4000, false) AS in_universe FROM (SELECT b.symbol, b.session, f.market_cap * b.close / last_value(b.close) OVER (PARTITION BY b.symbol ORDER BY b.session ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cap_then,
+SELECT *, coalesce(cap_then >= 300 AND median_turnover >= 4000, false) AS in_universe FROM (SELECT b.symbol, b.session, f.market_cap * b.close / last_value(b.close) OVER (PARTITION BY b.symbol ORDER BY b.session ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cap_then,
   CASE WHEN count(turnover) OVER w >= 40 THEN quantile_cont(turnover, 0.5) OVER w END AS median_turnover FROM bars b JOIN fund f ON f.symbol = b.symbol
   WINDOW w AS (PARTITION BY b.symbol ORDER BY b.session ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))""")),
     Query("selection_funnel", "G22", "stage:s symbols:i", funnel, with_tables("""
-SELECT 'members' AS stage, count(*) AS symbols FROM review UNION ALL SELECT 'large', count(*) FILTER (market_cap >= 150) FROM review UNION ALL SELECT 'sound', count(*) FILTER (hard_pass) FROM review
+SELECT 'members' AS stage, count(*) AS symbols FROM review UNION ALL SELECT 'large', count(*) FILTER (market_cap >= 300) FROM review UNION ALL SELECT 'sound', count(*) FILTER (hard_pass) FROM review
 UNION ALL SELECT 'eligible', count(*) FILTER (eligible) FROM review UNION ALL SELECT 'confirmed', count(*) FILTER (conviction IN ('High', 'Moderate')) FROM ranked""")),
 ]

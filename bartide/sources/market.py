@@ -121,22 +121,22 @@ def fundamentals(spark: SparkSession, folder: str) -> DataFrame:
 
 # fixed values: screen criteria per sector (sector, ord, field, op, threshold, label, hard)
 CRITERIA = [
-    ("AFRICA", 1, "market_cap", ">=", 150.0, "Market cap >= 150", True),
+    ("AFRICA", 1, "market_cap", ">=", 300.0, "Market cap >= 300", True),
     ("AFRICA", 2, "roce", ">", 20.0, "ROCE > 20%", False),
     ("AFRICA", 3, "opm", ">", 12.0, "OPM > 12%", False),
     ("AFRICA", 4, "pledged_pct", "<", 35.0, "Pledged < 35%", True),
-    ("AMERICA", 1, "market_cap", ">=", 150.0, "Market cap >= 150", True),
+    ("AMERICA", 1, "market_cap", ">=", 300.0, "Market cap >= 300", True),
     ("AMERICA", 2, "roce", ">", 20.0, "ROCE > 20%", False),
     ("AMERICA", 3, "debt_to_equity", "<", 1.02, "Debt to equity < 1.02", True),
     ("AMERICA", 4, "opm", ">", 12.0, "OPM > 12%", False),
-    ("ASIA", 1, "market_cap", ">=", 150.0, "Market cap >= 150", True),
+    ("ASIA", 1, "market_cap", ">=", 300.0, "Market cap >= 300", True),
     ("ASIA", 2, "interest_coverage", ">", 5.0, "Interest coverage > 5", True),
     ("ASIA", 3, "operating_cash_flow", ">", 0.0, "Cash from operations > 0", False),
     ("EUROPE", 1, "roce", ">", 19.0, "ROCE > 19%", False),
     ("EUROPE", 2, "opm", ">=", 11.5, "OPM >= 11.5%", False),
     ("EUROPE", 3, "sales_growth_3yr", ">", 5.0, "Sales growth > 5%", False),
     ("EUROPE", 4, "pledged_pct", "<", 36.0, "Pledged < 36%", True),
-    ("MIDDLE EAST", 1, "market_cap", ">=", 150.0, "Market cap >= 150", True),
+    ("MIDDLE EAST", 1, "market_cap", ">=", 300.0, "Market cap >= 300", True),
     ("MIDDLE EAST", 2, "pledged_pct", "<=", 34.0, "Pledged <= 34%", True),
     ("MIDDLE EAST", 3, "operating_cash_flow", ">", 0.0, "Cash from operations > 0", False),
 ]
