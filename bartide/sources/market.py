@@ -29,6 +29,20 @@ def damped_price(turnover, quantity, level: float = 100.0) -> Column:
     return F.lit(level) * F.pow(F.col(turnover) / F.col(quantity) / 1000, F.lit(0.05))
 
 
+def arrival_key(*parts: tuple[Column, int]) -> Column:
+    """Whole numbers packed into one decimal that sorts like the tuple; each part comes with its number of digits.
+
+    A decimal fits a fixed slot of the aggregation buffer, so first / last prices stay in a hash aggregate; a struct as
+    ordering would make Spark sort all raw rows before it aggregates them.
+    """
+    assert sum(digits for _, digits in parts) <= 38
+    key, below = F.lit(0).cast("decimal(38,0)"), 0
+    for part, digits in reversed(parts):
+        key = (key + part.cast("decimal(20,0)") * F.lit(str(10 ** below)).cast(f"decimal({below + 1},0)")).cast("decimal(38,0)")
+        below += digits
+    return key
+
+
 def price_ticks(spark: SparkSession, folder: str) -> DataFrame:
     """One tick per line item: (suppkey, session, price, qty, delivered, at)."""
     rows = table(spark, folder, "lineitem")
@@ -36,7 +50,8 @@ def price_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         F.col("l_suppkey").alias("suppkey"), week_of("l_shipdate").alias("session"), price.alias("price"),
         F.col("l_quantity").alias("qty"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0).alias("delivered"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", price).alias("at"))
+        arrival_key((F.unix_date(F.to_date("l_shipdate")), 6), (F.col("l_orderkey"), 15), (F.col("l_linenumber"), 2),
+                    (F.col("l_partkey"), 14)).alias("at"))
 
 
 def bars_from_ticks(ticks: DataFrame, *keys: str) -> DataFrame:
@@ -59,7 +74,7 @@ def intraday_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Four-hour bars per event type from the event stream."""
     ticks = table(spark, folder, "events").select(
         F.col("event_type").alias("symbol"), F.window("ts", "4 hours").start.alias("session"), F.col("value").alias("price"),
-        F.lit(1.0).alias("qty"), F.lit(0.0).alias("delivered"), F.struct("ts", "event_id").alias("at"))
+        F.lit(1.0).alias("qty"), F.lit(0.0).alias("delivered"), arrival_key((F.unix_micros(F.col("ts").cast("timestamp")), 18), (F.col("event_id"), 18)).alias("at"))
     return bars_from_ticks(ticks, "symbol")
 
 
