@@ -124,6 +124,54 @@ def price_files(spark, folder):
     return files.read_prices(spark, path, "1996-01-01", "2000-12-31", series=files.RETURN_SERIES)
 
 
+def index_files(spark, folder):
+    """Sector index levels written as index files of one directory; one index read back by its untidy name."""
+    path = scratch(spark, "index")
+    levels = mk.index_levels(spark, folder, mk.weekly_bars(spark, folder))
+    out = levels.select(F.concat(F.lit(" "), F.initcap("index_name")).alias("Index Name"), F.date_format("session", "dd-MM-yyyy").alias("Index Date"),
+                        F.coalesce(F.format_number("price", 6), F.lit("-")).alias("Closing Index Value"), F.year("session").alias("year"))
+    files.write_table(out, path, ["year"], csv=True)
+    return files.read_index(spark, path, "middle east").select("index_name", "session", "close")
+
+
+def total_return_files(spark, folder):
+    path = scratch(spark, "tri")
+    levels = mk.index_levels(spark, folder, mk.weekly_bars(spark, folder))
+    out = levels.select(F.col("index_name").alias("IndexName"), F.date_format("session", "dd MMM yyyy").alias("Shown"), F.date_format("session", "dd-MMM-yyyy").alias("Date"),
+                        F.coalesce(F.format_number("level", 6), F.lit("")).alias("Total Returns Index"), F.format_number("price", 6).alias("Net Total Return Index"))
+    files.write_table(out, path, csv=True)
+    return files.read_total_return(spark, path, "2000-12-31")
+
+
+def ledger_files(spark, folder):
+    """Ledgers written as display CSV and read back with a schema."""
+    path = scratch(spark, "ledger")
+    out = mk.trades(spark, folder).select(F.col("session").cast("string").alias("date"), "instrument", "action", F.col("quantity").cast("string").alias("quantity"),
+                                          F.format_string("%.4f", "price").alias("price"), "note")
+    files.write_table(out, path, csv=True)
+    rows = files.read_ledger(spark, path)
+    return rows.groupBy("instrument", "action").agg(F.count(F.lit(1)).alias("rows"), F.min("session").alias("first"), F.sum("quantity").alias("quantity"),
+                                                    F.sum(F.col("price") * F.col("quantity")).alias("amount"), F.count_if(F.length("note") > 0).alias("noted"))
+
+
+def unusual_numbers(spark, folder):
+    """NaN is missing, infinities are values: order values with both injected."""
+    from bartide.functions.numbers import is_infinite, missing_to_null
+
+    rows = mk.table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    odd = F.when(key % 11 == 0, float("nan")).when(key % 13 == 0, float("inf")).otherwise(F.col("o_totalprice"))
+    clean = rows.select("o_orderpriority", missing_to_null(odd).alias("v"))
+    return clean.groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("v").alias("known"), F.count_if(is_infinite("v")).alias("infinite"), F.sum(F.when(~is_infinite("v"), F.col("v"))).alias("total"))
+
+
+def session_counts(spark, folder):
+    """Exact number of sessions with ticks per symbol."""
+    rows = mk.table(spark, folder, "lineitem").select(mk.symbol_of("l_suppkey").alias("symbol"), mk.week_of("l_shipdate").alias("session"))
+    return rows.groupBy("symbol").agg(F.countDistinct("session").alias("sessions"))
+
+
 def event_stream(spark, folder):
     schema = mk.table(spark, folder, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
@@ -201,6 +249,17 @@ SELECT page_id, md5(html || '<a href="https://files.example/x?X-Amz-Credential=R
     Query("page_texts", "X21 F1", "page_id:i chars:i digest:s", page_texts, f"SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, {VISIBLE} AS t FROM pages)"),
     Query("price_files", "S1 S2 S4 S13 F1 F2", "symbol:s session:d prev_close:6 open:6 high:6 low:6 close:6 qty:0 turnover:6", price_files, with_tables("""
 SELECT symbol, session, prev_close, open, high, low, close, qty, turnover FROM bars WHERE trades % 3 <> 0 AND session BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")),
+    Query("index_files", "S3 D2", "index_name:s session:d close:6", index_files, with_tables(
+        "SELECT 'middle east' AS index_name, session, price AS close FROM index_levels WHERE index_name = 'MIDDLE EAST' AND price IS NOT NULL")),
+    Query("total_return_files", "S5 D3", "index_name:s session:d tri:6 net_tri:6", total_return_files, with_tables(
+        "SELECT index_name, session, level AS tri, price AS net_tri FROM index_levels WHERE level IS NOT NULL AND session <= DATE '2000-12-31'")),
+    Query("ledger_files", "S11 S13 D11", "instrument:s action:s rows:i first:d quantity:1 amount:1 noted:i", ledger_files, with_tables(
+        "SELECT instrument, action, count(*) AS rows, min(session) AS first, sum(quantity) AS quantity, sum(CAST(printf('%.4f', price) AS DOUBLE) * quantity) AS amount, count(*) FILTER (note <> '') AS noted FROM trades GROUP BY 1, 2")),
+    Query("unusual_numbers", "X17", "priority:s rows:i known:i infinite:i total:2", unusual_numbers, """
+SELECT o_orderpriority AS priority, count(*) AS rows, count(*) FILTER (o_orderkey % 11 <> 0) AS known, count(*) FILTER (o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0) AS infinite,
+  sum(o_totalprice) FILTER (o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0) AS total FROM orders GROUP BY 1"""),
+    Query("session_counts", "G13", "symbol:s sessions:i", session_counts, f"""
+SELECT {SYMBOL.format('l_suppkey')} AS symbol, count(DISTINCT date_trunc('week', l_shipdate)) AS sessions FROM lineitem GROUP BY 1"""),
     Query("intraday_bars", "D1 ST2 W1", "symbol:s session:d open:4 high:4 low:4 close:4 qty:0 turnover:3 ret:6", intraday, """
 SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS qty, sum(value) AS turnover FROM events GROUP BY 1, 2)"""),

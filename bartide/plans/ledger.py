@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bartide.functions import text
 from bartide.functions.numbers import group_rupees
+from bartide.operators import indicators as ind
 from bartide.operators import ledger as lg
 from bartide.operators import options as op
 from bartide.operators import risk as rk
@@ -17,6 +18,7 @@ from bartide.plans import risk as risk_plans
 
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
+from bartide.plans.risk import PERF_SQL
 from bartide.session import cut_lineage
 from bartide.sources import market as mk
 
@@ -24,6 +26,8 @@ PRINCIPAL, SLEEVE = 1e7, 0.97
 START = "2001-06-04"  # first day of the ledger that the replacement rule looks at
 STOP_DAY, STOP_SHARE = "2001-08-06", 0.985
 TRIGGER = 0.5
+# fixed values: the watch list and its display order
+WATCHED = ("SYM0000000005", "SYM0000000002", "SYM0000000009", "SYM0000000000", "SYM0000000007")
 
 
 def trades(spark, folder):
@@ -281,6 +285,30 @@ def drift_plan(spark, folder):
     return op.drift_plan(rolled.drop("cash_sufficient"), option_plans.LOT, band_lots=3.0)
 
 
+def live_metrics(spark, folder):
+    """Window metrics of the valued ledgers themselves, flows between stocks and cash included."""
+    rows = daily(spark, folder)
+    order = Window.partitionBy("portfolio").orderBy("n")
+    moved = rows.select("portfolio", "session", *[(F.col(c) / F.lag(c).over(order) - 1).alias(n) for c, n in (("total", "p"), ("market_value", "m"), ("fund_value", "rf"))])
+    return rk.window_metrics(moved.withColumn("period", F.lit("live")))
+
+
+def horizon_moves(spark, folder):
+    """Typical move of every symbol over 63 sessions, scaled to the 21 left."""
+    from bartide.functions.numbers import horizon_scaled
+
+    rows = ind.volatility(ind.session_returns(mk.weekly_bars(spark, folder)))
+    full = rows.withColumn("move63", F.col("session_vol") * F.sqrt(F.lit(63.0)) * 100)
+    return full.withColumn("move21", horizon_scaled("move63", F.lit(21)))
+
+
+def watched(spark, folder):
+    """Closes of a fixed list of symbols in its own display order."""
+    listed = spark.createDataFrame([(mk_name, k + 1) for k, mk_name in enumerate(WATCHED)], "symbol string, place int")
+    rows = last_closes(mk.weekly_bars(spark, folder)).withColumnRenamed("instrument", "symbol")
+    return rows.join(listed, "symbol").join(mk.listings(spark, folder), "symbol").orderBy("place")
+
+
 # ---- the same in SQL ----
 define("tr", """
 SELECT t.*, c.n, CASE WHEN action = 'BUY' THEN quantity ELSE -quantity END AS q, instrument LIKE 'INDEX %' AS opt FROM trades t JOIN cal c ON c.session = t.session""")
@@ -464,6 +492,15 @@ SELECT h.timeline, c.session, sum(h.shares * p.price) + any_value(k.cash) AS val
     Query("sector_allocation", "G21", "portfolio:i part:s value:2", sector_allocation, with_tables("""
 SELECT portfolio, sector || ' stocks' AS part, sum(value) AS value FROM open_pos p JOIN listed l ON l.symbol = p.instrument GROUP BY 1, 2 UNION ALL SELECT portfolio, 'options', options FROM head UNION ALL SELECT portfolio, 'cash', cash FROM head""")),
     Query("at_risk_to_stops", "G26 X10", "portfolio:i at_risk:2 hurdle:2", at_risk, with_tables("SELECT portfolio, sum(at_risk) AS at_risk, 1e7 * (pow(1.0555, 0.25) - 1) AS hurdle FROM recent_pos GROUP BY 1")),
+    Query("live_metrics", "R17", "portfolio:i sessions:i return_pct:4 benchmark_pct:4 sharpe:4 jensen_pct:4 max_drawdown:6 up_capture:4 tracking_error:6", live_metrics, with_tables(
+        PERF_SQL.replace("perf_windows", "live_windows"), live_windows="""
+SELECT * FROM (SELECT portfolio, 'live' AS win, session, total / lag(total) OVER w - 1 AS p, market_value / lag(market_value) OVER w - 1 AS m, fund_value / lag(fund_value) OVER w - 1 AS rf FROM daily WINDOW w AS (PARTITION BY portfolio ORDER BY n)) WHERE p IS NOT NULL""")),
+    Query("horizon_moves", "G27", "symbol:s move63:5 move21:5", horizon_moves, with_tables("""
+SELECT symbol, stddev_samp(ret) * sqrt(63.0) * 100 AS move63, stddev_samp(ret) * sqrt(21.0) * 100 AS move21 FROM (SELECT symbol, close / prev_close - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS k FROM bars WHERE prev_close > 0)
+WHERE k <= 252 GROUP BY 1""")),
+    Query("watch_list", "F19 J3", "place:i symbol:s company:s sector:s close:4", watched, with_tables(
+        "SELECT w.place, w.symbol, l.company, l.sector, c.close FROM (VALUES " + ", ".join(f"('{s}', {k + 1})" for k, s in enumerate(WATCHED))
+        + ") AS w(symbol, place) JOIN last_close c ON c.instrument = w.symbol JOIN listed l ON l.symbol = w.symbol")),
     Query("put_roll_plan", "H10", "portfolio:i status:s lots:i rolls:i gap_pp:4 sell_value:2 buy_cost:2 net_cost:2 trade:s cash_sufficient:b", roll_plan, with_tables("SELECT * FROM rolled")),
     Query("hedge_drift_plan", "H11", "portfolio:i status:s lots_held:4 lots_needed:4 change:i trade_value:2 cash_sufficient:b", drift_plan, with_tables("""
 SELECT portfolio, status, lots_held, lots_needed, change, abs(change) * held_price AS trade_value, (change <= 0) OR (cash >= abs(change) * held_price) AS cash_sufficient FROM (
