@@ -261,7 +261,7 @@ def strategies(books: DataFrame, chain: DataFrame, expiry: DataFrame) -> DataFra
     call = (calls.join(premium, "underlying").groupBy("underlying").agg(F.min_by(
         F.struct("kind", "strike", F.col("settle").alias("price"), "iv", "expiry"),
         F.struct(F.abs(F.col("settle") - F.col("_m2")), "strike")).alias("call")))
-    rows = books.join(picks.drop("spot"), "underlying").join(call, "underlying", "left")
+    rows = books.join(picks.drop("spot"), "underlying", "left").join(call, "underlying", "left")
 
     def leg(name, quantity):
         c = F.col(name)
@@ -269,7 +269,8 @@ def strategies(books: DataFrame, chain: DataFrame, expiry: DataFrame) -> DataFra
                         c["expiry"].alias("expiry"), F.lit(float(quantity)).alias("qty"))
 
     def put_name(name):
-        return F.format_string("%.0f", F.col(name)["strike"])
+        # null without such a strike, and with it the strategy
+        return F.when(F.col(name).isNotNull(), F.format_string("%.0f", F.col(name)["strike"]))
 
     held = F.struct(*[F.col("held")[c].alias(c) for c in ("kind", "strike", "price", "iv", "expiry")], F.lit(1.0).alias("qty"))
     has = F.col("held").isNotNull()

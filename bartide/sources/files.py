@@ -89,7 +89,7 @@ def read_total_return(spark: SparkSession, path, as_of: str | None = None) -> Da
     """Total-return index levels; raises when a required column is absent."""
     columns = ["IndexName", "Date", "Total Returns Index", "Net Total Return Index"]
     header = [c.strip() for c in spark.read.option("header", True).csv(path).columns]
-    absent = [c for c in columns[1:3] if c not in header]
+    absent = [c for c in columns if c not in header]
     if absent:
         raise ValueError(f"missing column(s): {', '.join(absent)}")
     rows = raw_csv(spark, path, columns).select(F.col("IndexName").alias("index_name"), any_date("Date").alias("session"),
