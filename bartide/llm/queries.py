@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, tokens
+from bartide.llm import bytebpe, quality, sharding, tokens, toxicity
 from bartide.llm.common import documents
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder), documents(spark, folder, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), documents(spark, folder, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bytebpe.encoded(documents(spark, folder), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op7_byte_bpe)}
-SQL: dict[str, str] = {}
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(documents(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op5_toxicity, op7_byte_bpe, op10_shards)}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
