@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, quality, sharding, tokens, toxicity
+from bartide.llm import bytebpe, near, quality, sharding, tokens, toxicity
 from bartide.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder), documents(spark, folder, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(documents(spark, folder))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
 
@@ -30,5 +34,5 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op5_toxicity, op7_byte_bpe, op10_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op5_toxicity, op7_byte_bpe, op10_shards)}
 SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
