@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, near, quality, sharding, tokens, toxicity
+from bartide.llm import bytebpe, near, quality, sharding, tokens, toxicity, units
 from bartide.llm.common import documents
 
 
@@ -30,9 +30,13 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bytebpe.encoded(documents(spark, folder), with_ids=False)
 
 
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return units.repeated_passages(documents(spark, folder))
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op5_toxicity, op7_byte_bpe, op10_shards)}
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op5_toxicity, op7_byte_bpe, op8_repeated_passages, op10_shards)}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL}
