@@ -69,7 +69,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def byte_tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(byte as it counts, whether it is white space). plain: as it is; lower: A-Z in lower case; letters: also ASCII marks are white space."""
+    """(byte as it counts, whether it is white space). plain: as it is; lower: A-Z in lower case; letters: also ASCII marks are white space,
+    and word_spans takes capitals of Latin-1 as small letters."""
     value, gap = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
     gap[[0x20, *range(0x09, 0x0E)]] = True
     if kind != "plain":
@@ -127,7 +128,10 @@ def word_spans(data: np.ndarray, start: int, end: int, kind: str = "plain") -> t
     size = 1 << max(21, int(len(part)).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((value[part].astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=total[1:])
+    part = value[part]
+    if kind == "letters":
+        part[1:][(part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97)] += 0x20
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=total[1:])
     hashes = (total[ends] - total[begins]) * down[begins]
     return mixed(hashes ^ ((ends - begins).astype(np.uint64) << np.uint64(48))), begins + start, ends + start
 
