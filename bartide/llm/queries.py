@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, leaks, near, quality, sharding, tokens, toxicity, units
+from bartide.llm import bytebpe, lattice, leaks, near, quality, sharding, tokens, toxicity, units
 from bartide.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), documents(spark, folder, "labels"))
 
 
+def op6_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.lm_scores(documents(spark, folder))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bytebpe.encoded(documents(spark, folder), with_ids=False)
 
@@ -42,5 +46,5 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op7_byte_bpe, op8_repeated_passages, op10_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op10_shards)}
 SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL}
