@@ -30,16 +30,16 @@ DELTA = 0.05
 MIN_WORDS = 50
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each whole text; a null text has none. All built-in expressions, no shuffle."""
-    step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+def measured(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, the counts of each whole text and the columns to carry; a null text has none. All built-in expressions, no shuffle."""
+    step = docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    step = step.select("doc_id", "lang", F.expr(f"array_remove(split(text, '[{GAP}]+'), '')").alias("words"),
+    step = step.select(*carried, "doc_id", "lang", F.expr(f"array_remove(split(text, '[{GAP}]+'), '')").alias("words"),
                        F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^{GAP}]')").alias("lines"),
                        F.expr("length(text) - length(regexp_replace(text, '[#*$%&|<>]', ''))").alias("n_symbols"),
                        F.expr(r"length(text) - length(regexp_replace(text, '\\p{Lu}', ''))").alias("n_capitals"),
                        F.expr("length(text) - length(regexp_replace(text, '[!?]', ''))").alias("n_shouts"))
-    step = step.select("doc_id", "lang", "n_symbols", "n_capitals", "n_shouts", F.expr("size(words)").alias("n_words"),
+    step = step.select(*carried, "doc_id", "lang", "n_symbols", "n_capitals", "n_shouts", F.expr("size(words)").alias("n_words"),
                        F.expr("length(array_join(words, ''))").alias("word_chars"), F.expr("size(lines)").alias("n_lines"),
                        F.expr("size(lines) - size(array_distinct(lines))").alias("n_dup_lines"),
                        F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
@@ -57,7 +57,7 @@ def measured(docs: DataFrame) -> DataFrame:
         size(array_distinct(flatten(transform(array_distinct(found), x -> transform(sequence(0L, 2L),
              k -> (x & (shiftleft(1L, pos_bits) - 1)) + k)))))"""))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
-    return step.select("doc_id", "lang", *[F.col(c).cast("long").alias(c) for c in counts])
+    return step.select(*carried, "doc_id", "lang", *[F.col(c).cast("long").alias(c) for c in counts])
 
 
 def base_failed() -> Column:
@@ -98,17 +98,35 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     Labels with a null id or quality take no part; a document with several labels counts once for each. A null language is
     the stratum ''. Null and empty texts fail the base rule. One row per input row; an empty table gives an empty result."""
     rows = stored(measured(docs))
+    limits, total = limits_of(rows, labels, risk, delta)
+    verdict = join_heavy(rows, limits, "lang", "rows_of_lang", total).withColumn("base_failed", base_failed()).withColumn("failed_rules", failed_rules())
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                          (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")
+
+
+def limits_of(rows: DataFrame, labels: DataFrame, risk: float, delta: float) -> tuple[DataFrame, int]:
+    """(lang, rows_of_lang and the cutoff of each rule or null, number of rows) of stored counts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null")
     chosen = cutoffs(rows.join(marks, "doc_id"), risk, delta)
     limits = chosen.groupBy("lang").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"at_{r}") for r in RULES])
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
     limits = stored(sizes.join(limits, "lang", "left"))
-    total = limits.agg(F.sum("rows_of_lang")).first()[0] or 0
-    joined = join_heavy(rows, limits, "lang", "rows_of_lang", total)
-    failed = F.concat_ws(",", *[F.when(F.expr(f"{value} > at_{rule}"), F.lit(rule)) for rule, (value, _) in RULES.items()])
-    verdict = joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                          (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")
+    return limits, limits.agg(F.sum("rows_of_lang")).first()[0] or 0
+
+
+def failed_rules() -> Column:
+    return F.concat_ws(",", *[F.when(F.expr(f"{value} > at_{rule}"), F.lit(rule)) for rule, (value, _) in RULES.items()])
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of `docs`, with all columns, that `judged` keeps. The texts are not shuffled: they are measured a second time
+    against the cutoffs."""
+    limits, total = limits_of(stored(measured(docs)), labels, risk, delta)
+    at = [f"at_{r}" for r in RULES]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    limited = join_heavy(whole, limits, "lang", "rows_of_lang", total).select("row", "row.doc_id", "row.text", "lang", *at)
+    rows = measured(limited, ("row", *at)).where(~base_failed() & (failed_rules() == ""))
+    return rows.select("row.*")
 
 
 def _sql() -> str:

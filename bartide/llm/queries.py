@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, lattice, leaks, near, quality, sharding, tokens, toxicity, units
+from bartide.llm import bytebpe, chat, lattice, leaks, near, quality, sharding, tokens, toxicity, units
 from bartide.llm.common import documents
 
 
@@ -42,9 +42,13 @@ def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return units.repeated_passages(documents(spark, folder))
 
 
+def op9_chat_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_preferences(documents(spark, folder, "conversations"))
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op10_shards)}
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op9_chat_preferences, op10_shards)}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL, "op9_chat_preferences": chat.SQL}
