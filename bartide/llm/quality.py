@@ -125,8 +125,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta
     at = [f"at_{r}" for r in RULES]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     limited = join_heavy(whole, limits, "lang", "rows_of_lang", total).select("row", "row.doc_id", "row.text", "lang", *at)
-    rows = measured(limited, ("row", *at)).where(~base_failed() & (failed_rules() == ""))
-    return rows.select("row.*")
+    # the filter names the counts many times; a column that isn't deterministic keeps it above the step that computes them
+    rows = measured(limited, ("row", *at)).withColumn("barrier", F.monotonically_increasing_id())
+    return rows.where((F.col("barrier") >= 0) & ~base_failed() & (failed_rules() == "")).select("row.*")
 
 
 def _sql() -> str:
