@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -21,7 +22,9 @@ from bartide.llm.common import texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: matches that a worker remembers; beyond, it starts anew (memory, never the result)
-MEMORY = 400_000
+MEMORY = 200_000
+#: texts whose ids are held together
+TEXTS_AT_ONCE = 1000
 _NONE = 1 << 62
 
 
@@ -106,7 +109,7 @@ def encode_text(text: str, ranks: dict[bytes, int], find) -> str:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ranks, back = rank_table(path), byte_table(path)
     find = regex.compile(public_tokenizers.PATTERN).findall
-    for batch in batches:
+    for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
         counts, ids_out, ids_sha, decoded_sha = [], [], [], []
         for value in batch.column(1):
             joined = encode_text(value.as_py(), ranks, find)
@@ -115,12 +118,13 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool)
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
             decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-            if with_ids:
-                ids_out.append([int(i) for i in ids])
+            if with_ids:  # four bytes an id: as objects they would be many times the text
+                ids_out.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns.append(pa.array(ids_out, pa.list_(pa.int32())))
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids_out))))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
