@@ -31,13 +31,15 @@ def normalised(raw: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def row_problems(rows: DataFrame, date_text: str = "date_text") -> DataFrame:
-    """One row per problem of a ledger row."""
+    """One row per problem of a ledger row, as a code; a column that is missing altogether is one of every row."""
+    needed = {date_text: "string", "action": "string", "quantity": "double", "price": "double", "instrument": "string"}
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in needed.items() if c not in rows.columns})
     q, p = F.col("quantity"), F.col("price")
-    checks = [(F.to_date(F.try_to_timestamp(date_text, F.lit("yyyy-MM-dd"))).isNull(), "date must be YYYY-MM-DD"),
-              (~F.coalesce(F.upper("action").isin("BUY", "SELL"), F.lit(False)), "action must be BUY or SELL"),
-              (~F.coalesce((q > 0) & (q == F.floor(q)), F.lit(False)), "quantity must be a whole number above 0"),
-              (~F.coalesce(p > 0, F.lit(False)), "price must be above 0"),
-              (~F.coalesce(F.length(F.trim("instrument")) > 0, F.lit(False)), "instrument is empty")]
+    checks = [(F.to_date(F.try_to_timestamp(date_text, F.lit("yyyy-MM-dd"))).isNull(), "bad_date"),
+              (~F.coalesce(F.upper("action").isin("BUY", "SELL"), F.lit(False)), "bad_action"),
+              (~F.coalesce((q > 0) & (q == F.floor(q)), F.lit(False)), "bad_quantity"),
+              (~F.coalesce(p > 0, F.lit(False)), "bad_price"),
+              (~F.coalesce(F.length(F.trim("instrument")) > 0, F.lit(False)), "no_instrument")]
     found = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))
     return rows.withColumn("problem", F.explode(found))
 
@@ -178,10 +180,15 @@ def sources_of_cash(positions: DataFrame, sold: DataFrame, parked: DataFrame) ->
     return both.withColumn("k", F.row_number().over(order))
 
 
-def reserve_queue(portfolios: DataFrame, reserve: DataFrame, taken: DataFrame) -> DataFrame:
-    """(portfolio, buy, buy_rank, k): the short reserve list without what a portfolio holds or has sold, in rank order."""
-    listed = reserve.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("buy_rank"), F.col("symbol").alias("buy")))).alias("_r"))
-    rows = portfolios.join(listed).select("portfolio", F.inline("_r"))
+def reserve_queue(portfolios: DataFrame, reserve: DataFrame, taken: DataFrame, sources: DataFrame) -> DataFrame:
+    """(portfolio, buy, buy_rank, k): the reserve list (symbol, rank from 1), of any length, without what a portfolio holds or
+    has sold, in rank order, as far as the portfolio's sources of cash can reach.
+
+    s sources and t taken symbols reach at most rank s + t, so each portfolio asks for those ranks; the lists are not multiplied."""
+    reach = (portfolios.join(sources.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_s")), "portfolio")
+             .join(taken.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_t")), "portfolio", "left"))
+    asked = reach.select("portfolio", F.explode(F.sequence(F.lit(1), (F.col("_s") + F.coalesce("_t", F.lit(0))).cast("int"))).alias("rank"))
+    rows = asked.join(reserve.select(F.col("rank").cast("int").alias("rank"), F.col("symbol").alias("buy")), "rank").select("portfolio", "buy", F.col("rank").alias("buy_rank"))
     free = rows.join(taken.select("portfolio", F.col("instrument").alias("buy")), ["portfolio", "buy"], "left_anti")
     return free.withColumn("k", F.row_number().over(Window.partitionBy("portfolio").orderBy("buy_rank")))
 
@@ -199,6 +206,9 @@ def topped_up(sources: DataFrame, holdings: DataFrame, max_share: float) -> Data
     source's share is the difference of two levels: nothing is looped over. `holdings` has portfolio, buy, weight,
     value, cap (rupees).
     """
+    # without any weight the cash is split equally; a holding without weight among others gets nothing
+    whole = F.sum("weight").over(Window.partitionBy("portfolio"))
+    holdings = holdings.withColumn("weight", F.when(whole > 0, F.col("weight")).otherwise(1.0)).where("weight > 0")
     rows = holdings.withColumn("room", F.greatest(F.col("cap") - F.col("value"), F.lit(0.0)))
     order = Window.partitionBy("portfolio").orderBy(F.col("room") / F.col("weight"), "buy")
     upto, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(1, Window.unboundedFollowing)
@@ -214,7 +224,7 @@ def topped_up(sources: DataFrame, holdings: DataFrame, max_share: float) -> Data
         full = F.col("_full_at") <= F.col(total)
         left = F.col(total) - F.coalesce(F.sum(F.when(full, F.col("room"))).over(group), F.lit(0.0))
         open_weight = F.sum(F.when(~full, F.col("weight"))).over(group)
-        return F.when(full, F.col("room")).otherwise(left * F.col("weight") / open_weight)
+        return F.when(full, F.col("room")).otherwise(left * F.col("weight") / F.nullif(open_weight, F.lit(0.0)))
 
     filled = pairs.withColumn("amount", level("_to") - level("_from"))
     return filled.where(F.col("amount") > 1e-6).select("portfolio", "sell", "k", "proceeds", "buy", "amount")
@@ -308,12 +318,12 @@ def value_paths(weights: DataFrame, prices: DataFrame, start_n: int, principal:
 
 
 def fingerprint(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of a table per group: row count and the wrapping sum of the rows' digests.
+    """Order-free fingerprint of a table per group: row count and the sum of 60-bit digests of the rows.
 
     A sum instead of one digest of the sorted text, so that no group is gathered."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    half = F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(half).alias("digest"))
+    part = F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("decimal(19,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(part).cast("decimal(38,0)").alias("digest"))
 
 
 def alert_rows(headline_rows: DataFrame, positions: DataFrame, plan: DataFrame) -> DataFrame:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bartide.operators.rolling import by_symbol, so_far
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the latest by `order`. A partial aggregate, so repeated keys shrink before the shuffle."""
+    """One row per key: the latest by `order`, a number (see market.packed for several). One max_by for each column on a key that fits
+    the aggregation buffer, so that raw rows are hashed and not sorted; equal orders must belong to equal rows."""
     others = [c for c in rows.columns if c not in keys]
-    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
-    return kept.select(*keys, "_row.*")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
 
 
 def on_calendar(bars: DataFrame, calendar: DataFrame, values: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -122,9 +122,9 @@ def bridge_levels(levels: DataFrame, value: str, price: str, key: str = "index_n
             .drop("_bad", "_level", "_price", "_bad0"))
 
 
-def weekday_calendar(spark: SparkSession, start: str, end: str, extra: Sequence[str] = (), holidays: Sequence[str] = ()) -> DataFrame:
-    """(day, is_session, sessions_so_far, last_session) for every calendar day of a range."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
+def weekday_calendar(bounds: DataFrame, extra: Sequence[str] = (), holidays: Sequence[str] = ()) -> DataFrame:
+    """(day, is_session, sessions_so_far, last_session) for every calendar day of a range: one row with first and last day."""
+    days = bounds.where("first is not null").select(F.explode(F.sequence("first", "last")).alias("day"))
     listed = F.col("day").cast("string")
     open_day = ((F.weekday("day") < 5) | listed.isin(*extra)) & ~listed.isin(*holidays)
     running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,7 +138,8 @@ def sessions_between(rows: DataFrame, calendar: DataFrame, start: str, end: str,
     counts = calendar.select("day", "sessions_so_far")
     joined = (rows.join(counts.select(F.col("day").alias(start), F.col("sessions_so_far").alias("_a")), start, "left")
               .join(counts.select(F.col("day").alias(end), F.col("sessions_so_far").alias("_b")), end, "left"))
-    gap = F.greatest(F.col("_b") - F.col("_a"), F.lit(0 if at_least is None else at_least))
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()  # a day outside the calendar has no count
+    gap = F.when(known, F.greatest(F.col("_b") - F.col("_a"), F.lit(0 if at_least is None else at_least)))
     return joined.withColumn(name, gap).drop("_a", "_b")
 
 

@@ -20,128 +20,142 @@ def inverse_volatility(members: DataFrame, by: Sequence[str] = ("portfolio",)) -
     return vol.withColumn("_raw", raw).withColumn("weight", F.col("_raw") / F.sum("_raw").over(whole)).drop("_raw")
 
 
-def pair_descent(cov: np.ndarray, tilt: np.ndarray, low: float, high: float, rounds: int = 5000) -> np.ndarray:
-    """argmin w'Cw - tilt'w with sum 1 and bounds: move weight between the most violating pair, exact step each time."""
-    size = len(tilt)
-    w = np.full(size, 1.0 / size)
-    gradient = 2 * cov @ w - tilt
-    for _ in range(rounds):
-        can_grow, can_shrink = w < high - 1e-15, w > low + 1e-15
-        if not can_grow.any() or not can_shrink.any():
-            break
-        up = np.where(can_grow, gradient, np.inf).argmin()
-        down = np.where(can_shrink, gradient, -np.inf).argmax()
-        gain = gradient[down] - gradient[up]
-        if gain <= 1e-14 * (1 + abs(gradient).max()):
-            break
-        bend = 2 * (cov[up, up] + cov[down, down] - 2 * cov[up, down])
-        room = min(high - w[up], w[down] - low)
-        step = min(room, gain / bend) if bend > 0 else room
-        w[up] += step
-        w[down] -= step
-        gradient += 2 * step * (cov[:, up] - cov[:, down])
-    return w
-
-
-def best_ratio(cov: np.ndarray, excess: np.ndarray, rounds: int = 5000) -> np.ndarray:
-    """Long-only maximum of mean excess over volatility. Up to scale it solves min y'Cy / 2 - excess'y over y >= 0."""
-    if excess.max() <= 0:
-        vertex = np.zeros(len(excess))
-        vertex[(excess / np.sqrt(np.diag(cov))).argmax()] = 1.0
-        return vertex
-    y = np.zeros(len(excess))
-    for _ in range(rounds):
-        before = y.copy()
-        for i in range(len(y)):
-            y[i] = max(0.0, y[i] + (excess[i] - cov[i] @ y) / cov[i, i])
-        if np.abs(y - before).max() <= 1e-14 * (1 + y.max()):
-            break
-    return y / y.sum()
+# The solvers below work on many books of one size at once: `cov` is (books, n, n) or one (n, n) matrix. A book whose
+# optimality gap is still open after the last round gets NaN and so no weights, never an unfinished answer.
 
+def _batch(cov: np.ndarray, *vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+    if cov.ndim == 3:
+        return (cov, *vectors)
+    return (cov[None], *[np.asarray(v, dtype=float)[None] for v in vectors])
 
-def _level_risk(cov: np.ndarray, w: np.ndarray, free: np.ndarray, budget: float, rounds: int = 200) -> np.ndarray:
-    """Newton's method on: all free contributions w_i (Cw)_i equal, free weights sum to the budget."""
-    held = cov[np.ix_(free, ~free)] @ w[~free]
-    inner = cov[np.ix_(free, free)]
-    x = budget / np.sqrt(np.diag(inner)) / (1 / np.sqrt(np.diag(inner))).sum()
-    level = float(np.mean(x * (inner @ x + held)))
-    size = len(x)
-    for _ in range(rounds):
-        pull = inner @ x + held
-        miss = np.append(x * pull - level, x.sum() - budget)
-        jacobian = np.zeros((size + 1, size + 1))
-        jacobian[:size, :size] = np.diag(pull) + x[:, None] * inner
-        jacobian[:size, size] = -1.0
-        jacobian[size, :size] = 1.0
-        move = np.linalg.solve(jacobian, miss)
-        shrink = 1.0
-        while (x - shrink * move[:size]).min() <= 0:
-            shrink /= 2
-        x, level = x - shrink * move[:size], level - shrink * move[size]
-        if np.abs(move[:size]).max() < 1e-15:
-            break
-    out = w.copy()
-    out[free] = x
-    return out
 
+def _answer(cov: np.ndarray, w: np.ndarray, solved: np.ndarray) -> np.ndarray:
+    w = np.where(solved[:, None], w, np.nan)
+    return w if cov.ndim == 3 else w[0]
 
-def level_contributions(cov: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Equal risk contributions within bounds: the worst breach is pinned to its bound, the rest solved again."""
-    size = len(cov)
-    w, pinned = np.full(size, 1.0 / size), np.zeros(size, dtype=bool)
-    for _ in range(size + 1):
-        if pinned.all():
+
+def pair_descent(cov: np.ndarray, tilt: np.ndarray, low: float, high: float, rounds: int = 20_000) -> np.ndarray:
+    """argmin w'Cw - tilt'w with sum 1 and bounds: each book moves weight between its most violating pair, an exact step a round."""
+    c, tilt_ = _batch(cov, tilt)
+    books, n = tilt_.shape
+    row = np.arange(books)
+    w = np.full((books, n), 1.0 / n)
+    gradient = 2 * (c @ w[:, :, None])[:, :, 0] - tilt_
+    solved = np.zeros(books, bool)
+    for _ in range(rounds):
+        up = np.where(w < high - 1e-15, gradient, np.inf).argmin(axis=1)
+        down = np.where(w > low + 1e-15, gradient, -np.inf).argmax(axis=1)
+        stuck = ~(w < high - 1e-15).any(axis=1) | ~(w > low + 1e-15).any(axis=1)
+        gain = gradient[row, down] - gradient[row, up]
+        solved = stuck | (gain <= 1e-14 * (1 + np.abs(gradient).max(axis=1)))
+        if solved.all():
             break
-        w = _level_risk(cov, w, ~pinned, 1.0 - w[pinned].sum())
-        breach = np.where(pinned, 0.0, np.maximum(w - high, low - w))
-        if breach.max() <= 1e-12:
+        bend = 2 * (c[row, up, up] + c[row, down, down] - 2 * c[row, up, down])
+        room = np.minimum(high - w[row, up], w[row, down] - low)
+        step = np.where(solved, 0.0, np.where(bend > 0, np.minimum(room, gain / np.where(bend > 0, bend, 1.0)), room))
+        w[row, up] += step
+        w[row, down] -= step
+        gradient += 2 * step[:, None] * (c[row, :, up] - c[row, :, down])
+    return _answer(cov, w, solved)
+
+
+def best_ratio(cov: np.ndarray, excess: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """Long-only maximum of mean excess over volatility. Up to scale it solves min y'Cy / 2 - excess'y over y >= 0; without
+    any positive excess it is the single best ratio."""
+    c, mean = _batch(cov, excess)
+    n = mean.shape[1]
+    variance = np.diagonal(c, axis1=1, axis2=2)
+    y = np.zeros(mean.shape)
+    solved = np.zeros(len(y), bool)
+    for _ in range(rounds):
+        before = y.copy()
+        for i in range(n):
+            y[:, i] = np.maximum(0.0, y[:, i] + (mean[:, i] - (c[:, i] * y).sum(axis=1)) / variance[:, i])
+        solved = np.abs(y - before).max(axis=1) <= 1e-14 * (1 + y.max(axis=1))
+        if solved.all():
             break
-        worst = breach.argmax()
-        w[worst] = high if w[worst] > high else low
-        pinned[worst] = True
-    return w
-
-
-def _square(flat) -> np.ndarray:
-    flat = np.asarray(flat, dtype=float)
-    side = int(round(len(flat) ** 0.5))
-    return flat.reshape(side, side)
-
-
-def _usable(flat, low=0.0, high=1.0) -> bool:
+    vertex = np.eye(n)[(mean / np.sqrt(variance)).argmax(axis=1)]
+    none = mean.max(axis=1) <= 0
+    total = y.sum(axis=1, keepdims=True)
+    return _answer(cov, np.where(none[:, None], vertex, y / np.where(total > 0, total, 1.0)), solved | none)
+
+
+def level_contributions(cov: np.ndarray, low: float, high: float, halvings: int = 120, sweeps: int = 2_000) -> np.ndarray:
+    """Equal risk contributions within bounds.
+
+    Given a common contribution b, every weight solves w_i (Cw)_i = b, a quadratic in w_i, or sits on a bound; sweeps over
+    the members settle that. The total weight rises with b, so b is found by halving an interval on a log scale."""
+    (c,) = _batch(cov)
+    books, n = c.shape[:2]
+    variance = np.diagonal(c, axis1=1, axis2=2)
+    w = np.full((books, n), 1.0 / n)
+    # at the upper end all weights are at their upper bound, at the lower end all but the bound is gone
+    top = np.log(np.abs(c).sum(axis=2).max(axis=1) * high * max(high, 1.0 / n) * n + 1e-300)
+    bottom = top - 80.0
+    settled = np.zeros(books, bool)
+    for _ in range(halvings):
+        middle = (bottom + top) / 2
+        level = np.exp(middle)
+        for _ in range(sweeps):
+            before = w.copy()
+            for i in range(n):
+                pull = (c[:, i] * w).sum(axis=1) - variance[:, i] * w[:, i]
+                w[:, i] = np.clip((np.sqrt(pull ** 2 + 4 * variance[:, i] * level) - pull) / (2 * variance[:, i]), low, high)
+            settled = np.abs(w - before).max(axis=1) <= 1e-15
+            if settled.all():
+                break
+        over = w.sum(axis=1) > 1
+        top, bottom = np.where(over, middle, top), np.where(over, bottom, middle)
+    return _answer(cov, w, np.abs(w.sum(axis=1) - 1) <= 1e-9)
+
+
+def _usable(flat, low: float, high: float) -> bool:
     if flat is None or any(v is None for v in flat):
         return False
     side = int(round(len(flat) ** 0.5))
-    return side * side == len(flat) and side * low <= 1 <= side * high and not np.isnan(np.asarray(flat, dtype=float)).any()
+    return side > 0 and side * side == len(flat) and side * low <= 1 <= side * high and not np.isnan(np.asarray(flat, dtype=float)).any()
+
+
+def _solved_by_size(solver, low: float, high: float, flat: pd.Series, *vectors: pd.Series) -> pd.Series:
+    """solver(cov, *vectors) over all books of one size together; null for a book without a usable matrix or an answer."""
+    out: list = [None] * len(flat)
+    sizes: dict[int, list[int]] = {}
+    for k, cells in enumerate(flat):
+        if _usable(cells, low, high) and all(v.iloc[k] is not None for v in vectors):
+            sizes.setdefault(int(round(len(cells) ** 0.5)), []).append(k)
+    for side, places in sizes.items():
+        cov = np.array([np.asarray(flat.iloc[k], dtype=float).reshape(side, side) for k in places])
+        own = [np.array([np.asarray(v.iloc[k], dtype=float) for k in places]) for v in vectors]
+        for k, w in zip(places, solver(cov, *own)):
+            out[k] = None if np.isnan(w).any() else w
+    return pd.Series(out, dtype=object)
 
 
 def equal_risk_column(cov: Column, low: float, high: float) -> Column:
     @F.pandas_udf("array<double>")
     def solve(flat: pd.Series) -> pd.Series:
-        return pd.Series([level_contributions(_square(c), low, high) if _usable(c, low, high) else None for c in flat])
+        return _solved_by_size(lambda c: level_contributions(c, low, high), low, high, flat)
     return solve(cov)
 
 
 def minimum_variance_column(cov: Column, low: float = 0.0, high: float = 1.0) -> Column:
     @F.pandas_udf("array<double>")
     def solve(flat: pd.Series) -> pd.Series:
-        return pd.Series([pair_descent(_square(c), np.zeros(int(round(len(c) ** 0.5))), low, high) if _usable(c, low, high) else None for c in flat])
+        return _solved_by_size(lambda c: pair_descent(c, np.zeros(c.shape[:2]), low, high), low, high, flat)
     return solve(cov)
 
 
 def frontier_column(cov: Column, mu: Column, tilt: Column) -> Column:
     @F.pandas_udf("array<double>")
     def solve(flat: pd.Series, means: pd.Series, tilts: pd.Series) -> pd.Series:
-        return pd.Series([pair_descent(_square(c), t * np.asarray(m, dtype=float), 0.0, 1.0) if _usable(c) else None
-                          for c, m, t in zip(flat, means, tilts)])
+        return _solved_by_size(lambda c, m, t: pair_descent(c, t[:, None] * m, 0.0, 1.0), 0.0, 1.0, flat, means, tilts)
     return solve(cov, mu, tilt)
 
 
 def tangency_column(cov: Column, mu: Column, risk_free: Column) -> Column:
     @F.pandas_udf("array<double>")
     def solve(flat: pd.Series, means: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([best_ratio(_square(c), np.asarray(m, dtype=float) - r) if _usable(c) else None
-                          for c, m, r in zip(flat, means, rates)])
+        return _solved_by_size(lambda c, m, r: best_ratio(c, m - r[:, None]), 0.0, 1.0, flat, means, rates)
     return solve(cov, mu, risk_free)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from html.entities import name2codepoint
 
 from pyspark.sql import functions as F
 
@@ -226,12 +227,14 @@ YEARS_SQL = """
 SELECT *, row_number() OVER (PARTITION BY suppkey ORDER BY year DESC) AS k FROM (SELECT l_suppkey AS suppkey, year(l_shipdate) AS year, round(sum(l_extendedprice) / 1e4, 1) AS sales, round(sum(l_extendedprice * l_discount) / 1e4, 1) AS operating,
   round(sum(l_extendedprice * l_tax) / 1e5, 1) AS interest, round(sum(l_extendedprice * l_discount) / 1e4 - sum(l_extendedprice * l_tax) / 1e5, 1) AS before_tax,
   round(sum(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice ELSE -l_extendedprice END) / 1e4, 1) AS cash, round(avg(l_discount) * 400, 1) AS roce, round(sum(l_quantity) / 100, 1) AS debt FROM lineitem GROUP BY 1, 2)"""
-VISIBLE = "html"
-VISIBLE = f"regexp_replace({VISIBLE}, '<script.*?</script>|<style.*?</style>', '', 'gs')"
-VISIBLE = f"replace(regexp_replace({VISIBLE}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' ')"
-for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#8377;", "₹"), ("&amp;", "&")):
-    VISIBLE = f"replace({VISIBLE}, '{_name}', '{_sign}')"
-VISIBLE = f"regexp_replace({VISIBLE}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+# the text of a page in SQL: tags out, then every reference of the page as its character, the ampersand last
+_TAGLESS = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
+_KNOWN = "MAP {" + ", ".join(f"'{n}': chr({c})" for n, c in sorted(name2codepoint.items()) if n != "amp") + "}"
+_SIGN = f"CASE WHEN regexp_full_match(x, '#[0-9]+') THEN chr(CAST(x[2:] AS INTEGER)) WHEN regexp_full_match(x, '#[xX][0-9a-fA-F]+') THEN chr(CAST('0x' || x[3:] AS INTEGER)) ELSE coalesce({_KNOWN}[x], '&' || x || ';') END"
+PAGE_TEXT_SQL = f"""
+SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(replace(t, '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r\\x{{00A0}}]+', ' ', 'g') AS t FROM (
+  SELECT page_id, list_reduce(list_transform(list_distinct(regexp_extract_all(t, '&(#?[0-9A-Za-z]+);', 1)), lambda x: ['&' || x || ';', {_SIGN}]), lambda a, x: [replace(a[1], x[1], x[2])], [t])[1] AS t
+  FROM (SELECT page_id, {_TAGLESS} AS t FROM pages)))"""
 
 QUERIES = [
     Query("company_page_metrics", "S10 X19", "symbol:s market_cap:1 roce:1 roce_3yr_avg:2 operating_cash_flow:1 operating_cash_flow_3yr:2 interest_coverage:2 debt_to_equity:2 opm:2", company_metrics, with_tables(f"""
@@ -246,7 +249,7 @@ SELECT l_orderkey AS orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 0.0 ELSE CASE W
 SELECT o_orderkey AS orderkey, CAST(o_orderdate AS DATE) AS released, o_totalprice / 100000 AS yield_pct FROM orders WHERE o_orderkey % 7 <> 0"""),
     Query("redacted_pages", "X22", "page_id:i digest:s", redacted, """
 SELECT page_id, md5(html || '<a href="https://files.example/x?X-Amz-Credential=REDACTED&X-Amz-Signature=REDACTED&n=1">file</a>') AS digest FROM pages"""),
-    Query("page_texts", "X21 F1", "page_id:i chars:i digest:s", page_texts, f"SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, {VISIBLE} AS t FROM pages)"),
+    Query("page_texts", "X21 F1", "page_id:i chars:i digest:s", page_texts, PAGE_TEXT_SQL),
     Query("price_files", "S1 S2 S4 S13 F1 F2", "symbol:s session:d prev_close:6 open:6 high:6 low:6 close:6 qty:0 turnover:6", price_files, with_tables("""
 SELECT symbol, session, prev_close, open, high, low, close, qty, turnover FROM bars WHERE trades % 3 <> 0 AND session BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")),
     Query("index_files", "S3 D2", "index_name:s session:d close:6", index_files, with_tables(

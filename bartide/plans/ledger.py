@@ -12,6 +12,8 @@ from bartide.operators import ledger as lg
 from bartide.operators import options as op
 from bartide.operators import risk as rk
 from bartide.operators import screening as sc
+from bartide.operators.ranking import with_positions
+from bartide.operators.rolling import latest
 from bartide.plans import options as option_plans
 
 from bartide.plans import risk as risk_plans
@@ -26,6 +28,8 @@ PRINCIPAL, SLEEVE = 1e7, 0.97
 START = "2001-06-04"  # first day of the ledger that the replacement rule looks at
 STOP_DAY, STOP_SHARE = "2001-08-06", 0.985
 TRIGGER = 0.5
+CONVICTION = 0.72  # least quality score of a reserve stock
+TREND_GAP = 2.0  # least lead of upward over downward movement
 # fixed values: the watch list and its display order
 WATCHED = ("SYM0000000005", "SYM0000000002", "SYM0000000009", "SYM0000000000", "SYM0000000007")
 
@@ -86,7 +90,8 @@ def normal_ledger(spark, folder):
 
 
 def fingerprints(spark, folder):
-    return lg.fingerprint(trades(spark, folder), ["portfolio"], ["session", "instrument", "action", "ref", "note"])
+    rows = trades(spark, folder).withColumns({"units": F.col("quantity").cast("long"), "cents": F.round(F.col("price") * 100).cast("long")})
+    return lg.fingerprint(rows, ["portfolio"], ["session", "instrument", "action", "ref", "note", "units", "cents"]).withColumn("digest", F.col("digest").cast("string"))
 
 
 def market_frames(spark, folder):
@@ -174,18 +179,20 @@ def plan_of(spark, folder):
     held = cut_lineage(positions_of(rows, bars))
     sold = lg.sold_stocks(rows)
     ranked = sc.quality_score(mk.fundamentals(spark, folder), ["roce", "opm", "qtr_sales_yoy"], ["debt_to_equity"])
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "symbol"))
-    # the reserve list is short by definition: the best 6 symbols
-    reserve = ranked.orderBy(F.desc("score"), "symbol").limit(6).withColumn("rank", place)
+    # the reserve list: every symbol of enough conviction, best first
+    reserve = with_positions(ranked.where(F.col("score") >= CONVICTION).withColumn("all", F.lit(1)), ["all"], "score", ["symbol"], "rank")
     taken = held.select("portfolio", "instrument").unionByName(sold).distinct()
-    queue = lg.reserve_queue(rows.select("portfolio").distinct(), reserve, taken)
     parked_cash = lg.parked_proceeds(rows)
     sources = lg.sources_of_cash(held, sold, parked_cash)
+    queue = lg.reserve_queue(rows.select("portfolio").distinct(), reserve, taken, sources)
     value = held.join(sold, ["portfolio", "instrument"], "left_anti").groupBy("portfolio").agg(F.sum("value").alias("_v"))
     extra = parked_cash.groupBy("portfolio").agg(F.sum("parked").alias("_p"))
     cap = value.join(extra, "portfolio", "full_outer").select("portfolio", (0.35 * (F.coalesce("_v", F.lit(0.0)) + F.coalesce("_p", F.lit(0.0)))).alias("cap"))
     rising = (held.where(~F.col("stop_breached")).join(sold, ["portfolio", "instrument"], "left_anti")
               .join(mk.books(bars).select(F.col("symbol").alias("instrument"), "weight"), "instrument"))
+    # only holdings in an upward trend are topped up
+    trend = latest(ind.oscillators(bars)).where(F.col("plus_di") - F.col("minus_di") >= TREND_GAP).select(F.col("symbol").alias("instrument"))
+    rising = rising.join(trend, "instrument", "left_semi")
     holdings = rising.join(cap, "portfolio").select("portfolio", F.col("instrument").alias("buy"), "weight", "value", "cap")
     return lg.replacement_plan(sources, queue, holdings, last_closes(bars)), bars
 
@@ -364,24 +371,25 @@ def parked_sql(source: str) -> str:
 
 
 define("parked_now", parked_sql("rtr"))
-define("reserve6", """
+define("reserve_list", """
 SELECT symbol, row_number() OVER (ORDER BY score DESC, symbol) AS rk FROM (SELECT symbol, (coalesce(a, 0.5) + coalesce(b, 0.5) + coalesce(c, 0.5) + coalesce(d, 0.5)) / 4 AS score FROM (SELECT symbol, """
        + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {o}{c} NULLS LAST) + (count({c}) OVER (PARTITION BY {c}) - 1) / 2) / count({c}) OVER () END AS {a}"
                    for c, a, o in (("roce", "a", ""), ("opm", "b", ""), ("qtr_sales_yoy", "c", ""), ("debt_to_equity", "d", "-")))
-       + " FROM fund)) QUALIFY row_number() OVER (ORDER BY score DESC, symbol) <= 6")
+       + f" FROM fund)) WHERE score >= {CONVICTION}")
 define("cash_sources", """
 SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY source DESC, sell) AS k FROM (
 SELECT portfolio, instrument AS sell, 'stop' AS source, value AS proceeds, shares, close, stop FROM recent_pos p WHERE stop_breached AND NOT EXISTS (SELECT 1 FROM sold s WHERE s.portfolio = p.portfolio AND s.instrument = p.instrument)
 UNION ALL SELECT portfolio, instrument, 'parked', parked, 0, NULL, NULL FROM parked_now)""")
 define("rqueue", """
-SELECT p.portfolio, r.symbol AS buy, r.rk AS buy_rank, row_number() OVER (PARTITION BY p.portfolio ORDER BY r.rk) AS k FROM (SELECT DISTINCT portfolio FROM rtr) p CROSS JOIN reserve6 r
+SELECT p.portfolio, r.symbol AS buy, r.rk AS buy_rank, row_number() OVER (PARTITION BY p.portfolio ORDER BY r.rk) AS k FROM (SELECT DISTINCT portfolio FROM rtr) p CROSS JOIN reserve_list r
 WHERE NOT EXISTS (SELECT 1 FROM sold s WHERE s.portfolio = p.portfolio AND s.instrument = r.symbol) AND NOT EXISTS (SELECT 1 FROM recent_pos h WHERE h.portfolio = p.portfolio AND h.instrument = r.symbol)""")
 define("caps", """
 SELECT p.portfolio, 0.35 * (coalesce(v.v, 0) + coalesce(k.v, 0)) AS cap FROM (SELECT DISTINCT portfolio FROM rtr) p LEFT JOIN (SELECT h.portfolio, sum(value) AS v FROM recent_pos h ANTI JOIN sold s ON s.portfolio = h.portfolio AND s.instrument = h.instrument GROUP BY 1) v
 ON v.portfolio = p.portfolio LEFT JOIN (SELECT portfolio, sum(parked) AS v FROM parked_now GROUP BY 1) k ON k.portfolio = p.portfolio""")
 define("risers", """
 SELECT h.portfolio, h.instrument AS buy, b.weight, greatest(c.cap - h.value, 0) AS room FROM recent_pos h JOIN books b ON b.symbol = h.instrument JOIN caps c ON c.portfolio = h.portfolio
-ANTI JOIN sold s ON s.portfolio = h.portfolio AND s.instrument = h.instrument WHERE NOT h.stop_breached""")
+ANTI JOIN sold s ON s.portfolio = h.portfolio AND s.instrument = h.instrument WHERE NOT h.stop_breached
+AND h.instrument IN (SELECT symbol FROM tech WHERE rn = total AND plus_di - minus_di >= 2.0)""")
 define("open_cash", """
 SELECT *, sum(proceeds) OVER (PARTITION BY portfolio ORDER BY k) AS hi FROM (SELECT s.* FROM cash_sources s LEFT JOIN rqueue q ON q.portfolio = s.portfolio AND q.k = s.k WHERE q.buy IS NULL)""")
 # water level by bisection on the sum of min(room, level x weight): independent of the sorted form
@@ -443,13 +451,13 @@ SELECT ref, split_part(instrument, ' ', 2) AS expiry, CAST(split_part(instrument
 SELECT o_orderkey AS orderkey, regexp_replace(CASE WHEN length(t) > 3 THEN reverse(regexp_replace(reverse(left(t, length(t) - 3)), '(..)', '\\1,', 'g')) || ',' || right(t, 3) ELSE t END, '^,', '') AS amount
 FROM (SELECT o_orderkey, CAST(CAST(round_even(o_totalprice * 1000, 0) AS BIGINT) AS VARCHAR) AS t FROM orders)"""),
     Query("ledger_problems", "F15", "ref:s problem:s", problems, """
-SELECT ref, unnest(list_filter([CASE WHEN k % 50 = 0 THEN 'date must be YYYY-MM-DD' END, CASE WHEN k % 70 = 0 THEN 'action must be BUY or SELL' END, CASE WHEN k % 60 = 0 THEN 'quantity must be a whole number above 0' END,
-  CASE WHEN k % 80 = 0 THEN 'price must be above 0' END, CASE WHEN k % 90 = 0 THEN 'instrument is empty' END], lambda x: x IS NOT NULL)) AS problem
+SELECT ref, unnest(list_filter([CASE WHEN k % 50 = 0 THEN 'bad_date' END, CASE WHEN k % 70 = 0 THEN 'bad_action' END, CASE WHEN k % 60 = 0 THEN 'bad_quantity' END,
+  CASE WHEN k % 80 = 0 THEN 'bad_price' END, CASE WHEN k % 90 = 0 THEN 'no_instrument' END], lambda x: x IS NOT NULL)) AS problem
 FROM (SELECT l_orderkey AS k, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref FROM lineitem WHERE l_linenumber = 1)"""),
     Query("normalised_ledger", "F16", "portfolio:i line:i session:d instrument:s action:s quantity:i note:s", normal_ledger, with_tables(
         "SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY session, ref) AS line FROM tr")),
-    Query("ledger_fingerprints", "X23", "portfolio:i rows:i digest:i", fingerprints, with_tables("""
-SELECT portfolio, count(*) AS rows, sum(CAST('0x' || left(sha1(concat_ws('|', CAST(session AS VARCHAR), instrument, action, ref, note)), 8) AS BIGINT)) AS digest FROM tr GROUP BY 1""")),
+    Query("ledger_fingerprints", "X23", "portfolio:i rows:i digest:s", fingerprints, with_tables("""
+SELECT portfolio, count(*) AS rows, sum(CAST(CAST('0x' || left(sha1(concat_ws('|', CAST(session AS VARCHAR), instrument, action, ref, note, CAST(CAST(quantity AS BIGINT) AS VARCHAR), CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR))), 15) AS BIGINT) AS HUGEINT)) AS digest FROM tr GROUP BY 1""")),
     Query("roll_counts", "W17", "portfolio:i rolls:i", roll_counts, with_tables("SELECT * FROM roll_counts")),
     Query("daily_values", "L2 J5 W5", "portfolio:i session:d stocks:2 options:2 cash:2 total:2 pnl:2 pnl_pct:4 market_value:2 fund_value:2", daily, with_tables("SELECT * FROM daily")),
     Query("current_positions", "L3 G23 J7", "portfolio:i instrument:s shares:2 avg_cost:4 close:4 value:2 pnl:2 pnl_pct:4 stop:4 at_risk:2 stop_breached:b near_stop:b above_stop_pct:4 first_buy:d last_sell:d", positions, with_tables("SELECT * FROM recent_pos")),

@@ -44,11 +44,10 @@ def foreign_asof(spark, folder):
 
 
 def last_close_asof(spark, folder):
-    """Latest close on or before the order's day for the symbol the order's first supplier trades."""
+    """Latest close on or before the order's day for the symbols of all its line items."""
     bars = mk.weekly_bars(spark, folder)
-    orders = mk.table(spark, folder, "orders").select(
-        F.concat(F.lit("SYM"), F.lpad((F.col("o_custkey") % 10).cast("string"), 10, "0")).alias("symbol"),
-        F.to_date("o_orderdate").alias("day"))
+    lines = mk.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), mk.symbol_of("l_suppkey").alias("symbol"))
+    orders = mk.table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).join(lines, "o_orderkey").select("symbol", "day")
     days = orders.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("orders"))
     return prep.as_of(days, bars.select("symbol", "session", "close"), "day", "session", "close", ["symbol"], strict=False)
 
@@ -93,17 +92,24 @@ def rolling_stats(spark, folder):
         rl.chained(F.col("close") / F.col("prev_close") - 1).alias("growth"))
 
 
+def span(rows, *days):
+    """One row with the first and the last of some day columns: the range their calendar has to cover."""
+    return rows.agg(F.least(*[F.min(d) for d in days]).alias("first"), F.greatest(*[F.max(d) for d in days]).alias("last"))
+
+
 def weekday_sessions(spark, folder):
     """Every order counted on the session calendar: sessions from the order to a horizon, at least one."""
-    calendar = prep.weekday_calendar(spark, "1995-01-01", "2001-12-31", mk.EXTRA_SESSIONS, mk.HOLIDAYS)
     orders = (mk.table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("orders"))
               .withColumn("horizon", F.lit("2001-12-21").cast("date")))
+    calendar = prep.weekday_calendar(span(orders, "day", "horizon"), mk.EXTRA_SESSIONS, mk.HOLIDAYS)
     return prep.sessions_between(orders, calendar, "day", "horizon", "sessions", at_least=1)
 
 
 def expected(spark, folder):
-    calendar = prep.weekday_calendar(spark, "2023-12-20", "2024-02-10", mk.EXTRA_SESSIONS, mk.HOLIDAYS)
-    return prep.expected_session(mk.table(spark, folder, "events").select("event_id", "ts"), calendar, "ts")
+    events = mk.table(spark, folder, "events").select("event_id", "ts")
+    # ten days more on each side: a zone's offset, and the last session before the first moment
+    days = events.agg(F.date_sub(F.to_date(F.min("ts")), 10).alias("first"), F.date_add(F.to_date(F.max("ts")), 10).alias("last"))
+    return prep.expected_session(events, prep.weekday_calendar(days, mk.EXTRA_SESSIONS, mk.HOLIDAYS), "ts")
 
 
 def staleness(spark, folder):
@@ -112,7 +118,7 @@ def staleness(spark, folder):
     lag = F.length("index_name") * 7
     last = (levels.where(F.col("session") < F.date_sub(F.lit("2001-11-05").cast("date"), lag)).groupBy("index_name")
             .agg(F.max("session").alias("last")).withColumn("reference", F.lit("2001-11-30").cast("date")))
-    calendar = prep.weekday_calendar(spark, "1995-01-01", "2001-12-31", mk.EXTRA_SESSIONS, mk.HOLIDAYS)
+    calendar = prep.weekday_calendar(span(last, "last", "reference"), mk.EXTRA_SESSIONS, mk.HOLIDAYS)
     return prep.sessions_between(last, calendar, "last", "reference", "behind")
 
 
@@ -162,7 +168,8 @@ def tick_dedup(spark, folder):
     """One row per (symbol, day): the last tick written."""
     ticks = mk.table(spark, folder, "lineitem").select(
         mk.symbol_of("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"), "l_quantity", "l_extendedprice")
+        mk.arrival_key((F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 10), (F.round(F.col("l_extendedprice") * 100), 14)).alias("seq"),
+        "l_quantity", "l_extendedprice")
     return prep.keep_last(ticks, ["symbol", "day"], "seq")
 
 
@@ -207,7 +214,7 @@ QUERIES = [
 SELECT session, n, f.close AS close_asof FROM cal ASOF LEFT JOIN foreign_closes f ON f.day < cal.session""")),
     Query("latest_close_asof", "J7", "symbol:s day:d orders:i close_asof:6", last_close_asof, with_tables("""
 SELECT o.symbol, o.day, o.orders, b.close AS close_asof FROM asked o ASOF LEFT JOIN bars b ON b.symbol = o.symbol AND b.session <= o.day""",
-        asked="""SELECT 'SYM' || lpad(CAST(o_custkey % 10 AS VARCHAR), 10, '0') AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1, 2""")),
+        asked="""SELECT 'SYM' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")),
     Query("bridged_index_levels", "W15 D3", "index_name:s session:d price:6 level:6 filled:6 provisional:b", bridged, with_tables("""
 SELECT l.index_name, l.session, l.price, l.level, r.filled, r.provisional FROM lv l JOIN rec r ON r.index_name = l.index_name AND r.k = l.k""",
         lv="SELECT *, row_number() OVER (PARTITION BY index_name ORDER BY session) AS k FROM index_levels",

@@ -24,9 +24,12 @@ def build_session(app: str = "bartide", master: str | None = None, shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); a local one only where the setting is absent."""
+    """The folder every executor sees (spark.checkpoint.dir). Without that setting a temporary folder, in local mode only: on
+    a cluster each machine would have its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if folder is None and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bartide-"))
     return folder or context.getCheckpointDir()
