@@ -245,8 +245,11 @@ def changed_dates(picks: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def quota_picks(rows: DataFrame, rule: str, size: int, minimums: DataFrame | None) -> DataFrame:
-    """Per date: the best of each sector up to its minimum, the rest by rank."""
-    ranked = rows.withColumn("selection_rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("rs_skip"), "symbol")))
+    """Per date: the best of each sector up to its minimum, the rest by rank. Only what a rule can pick is ordered: the best
+    `size` of a date and of each sector in it."""
+    best = (F.desc_nulls_last("rs_skip"), F.col("symbol"))
+    reach = top_rows(rows, ["n"], size, *best).unionByName(top_rows(rows, ["n", "sector"], size, *best)).distinct()
+    ranked = reach.withColumn("selection_rank", F.row_number().over(Window.partitionBy("n").orderBy(*best)))
     chosen = selected(ranked, size, minimums, None, by=["n"])
     return ranked.join(chosen.select("n", "symbol"), ["n", "symbol"], "left_semi").select(F.lit(rule).alias("rule"), "n", "period", "symbol", "fwd_rs", "sector")
 

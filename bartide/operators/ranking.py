@@ -1,10 +1,11 @@
 """Exact ranks, quantiles and rank buckets over groups of any size.
 
 A plain `rank()` window sends one group to one task. A cross-section (all symbols of one session) or a universe-wide
-ranking grows with the data, so the group is split here: equal values are counted first (map-side), each group is cut
-into value buckets between its exact minimum and maximum, counts per bucket give the offset of a bucket and an ordered
-window runs only inside a bucket. Bucket edges depend only on exact minima, maxima and a power of two, so every
-evaluation of the plan (also a recomputed task) sees the same buckets. Ranks are exact whatever the bucket balance.
+ranking grows with the data, so a large group is split here: equal values are counted first (map-side), the values of the
+group whose hash is a multiple of some number become the edges of value buckets, counts per bucket give the offset of a
+bucket and an ordered window runs only inside a bucket. Edges are values of the group itself, so buckets are even whatever
+the distribution, and hashes make every evaluation of the plan (also a recomputed task) choose the same ones. Ranks are
+exact whatever the bucket balance.
 """
 
 from __future__ import annotations
@@ -17,50 +18,45 @@ from pyspark.sql import functions as F
 from bartide.session import rank_buckets
 
 
-def _squashed(value: Column, scale: Column) -> Column:
-    """Order-preserving map that pulls in heavy tails, so that buckets stay balanced."""
-    return F.signum(value) * F.log1p(F.abs(value) / scale)
+#: different values from which on a group is split
+SPLIT_ABOVE = 4096
+_STEPS = 12  # of the search among the edges: enough for 4,095 of them
+
+
+def _bucket(value: str, edges: str) -> Column:
+    """How many of the sorted edges are at most `value`, by halving."""
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), F.struct(F.lit(0).alias("low"), F.size(edges).alias("high")), lambda s, _: F.when(
+        s["low"] >= s["high"], s).otherwise(F.when(
+            F.get(F.col(edges), F.shiftright(s["low"] + s["high"], 1)) <= F.col(value),
+            F.struct((F.shiftright(s["low"] + s["high"], 1) + 1).alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), F.shiftright(s["low"] + s["high"], 1).alias("high")))))
+    return F.when(F.col(edges).isNull(), 0).otherwise(search["low"])
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """One row per (by, value): `ties`, `before` (rows with a smaller value) and `total` (non-null rows of the group)."""
-    buckets = buckets or rank_buckets(df.sparkSession)
+    buckets = min(buckets or rank_buckets(df.sparkSession), 2048)
+    whole = not by
+    if whole:
+        df, by = df.withColumn("_all", F.lit(1)), ["_all"]
     by = list(by)
     # + 0.0 merges the two zeros; the count per distinct value is the only full pass over the rows
     ties = (df.where(F.col(value).isNotNull())
             .groupBy(*by, (F.col(value) + F.lit(0.0)).alias(value)).agg(F.count(F.lit(1)).alias("ties")))
     # summarised from the tie counts, so that the rows are read once here
-    span = ties.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("ties").alias("total"),
-                                 (F.sum(F.abs(value) * F.col("ties")) / F.sum("ties")).alias("_mean"))
-    # a power of two, so that the last bits of a floating-point mean cannot move a bucket edge
-    span = span.withColumn("_scale", F.when(F.col("_mean") > 0, F.pow(F.lit(2.0), F.ceil(F.log2("_mean")))).otherwise(F.lit(1.0)))
-    spread = F.col("_shi") - F.col("_slo")
-    bucketed = (_join(ties, span, by)
-                .withColumn("_slo", _squashed(F.col("_lo"), F.col("_scale")))
-                .withColumn("_shi", _squashed(F.col("_hi"), F.col("_scale")))
-                .withColumn("_bucket", F.when(spread > 0, F.floor(
-                    (_squashed(F.col(value), F.col("_scale")) - F.col("_slo")) / spread * buckets)).otherwise(F.lit(0))
-                    .cast("int"))
-                .select(*by, value, "ties", "total", "_bucket"))
+    span = ties.groupBy(*by).agg(F.sum("ties").alias("total"), F.count(F.lit(1)).alias("_different"))
+    counted = ties.join(span, by)
+    chosen = (F.col("_different") > SPLIT_ABOVE) & (F.pmod(F.xxhash64(value), F.greatest(F.ceil(F.col("_different") / buckets), F.lit(1))) == 0)
+    edges = counted.where(chosen).groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_edges"))  # about `buckets` of them
+    bucketed = counted.join(edges, by, "left").withColumn("_bucket", _bucket(value, "_edges")).select(*by, value, "ties", "total", "_bucket")
     inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (bucketed.groupBy(*by, "_bucket").agg(F.sum("ties").alias("_size"))
-               .withColumn("_offset", F.sum("_size").over(_ordered(by, "_bucket")) - F.col("_size"))
-               .drop("_size"))
-    counted = bucketed.withColumn("_upto", F.sum("ties").over(inside))
-    return (_join(counted, offsets, [*by, "_bucket"])
-            .select(*by, value, "ties", "total", (F.col("_offset") + F.col("_upto") - F.col("ties")).alias("before")))
-
-
-def _ordered(by: Sequence[str], order: str):
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # without keys the right side is a single row of totals
-    return left.join(right, list(keys)) if keys else left.join(right.withColumn("_one", F.lit(1)),
-                                                              F.col("_one") == F.lit(1)).drop("_one")
+               .withColumn("_offset", F.sum("_size").over(before) - F.col("_size")).drop("_size"))
+    numbered = bucketed.withColumn("_upto", F.sum("ties").over(inside))
+    out = numbered.join(offsets, [*by, "_bucket"]).select(*by, value, "ties", "total", (F.col("_offset") + F.col("_upto") - F.col("ties")).alias("before"))
+    return out.drop("_all") if whole else out
 
 
 def with_ranks(df: DataFrame, by: Sequence[str], value: str, *, average: str | None = None, percent: str | None = None,

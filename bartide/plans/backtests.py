@@ -11,6 +11,7 @@ from bartide.operators import prep
 from bartide.operators import rolling as rl
 from bartide.operators.ranking import top_rows
 from bartide.plans import prices
+from bartide.operators.ranking import quantiles
 from bartide.plans.catalog import Query
 from bartide.plans.indicators import _renamed
 from bartide.plans.market_sql import CTES, define, with_tables
@@ -252,8 +253,8 @@ def liquidity_rows(spark, folder):
 
 def liquidity_bands(spark, folder):
     rows = bt.banded(liquidity_rows(spark, folder), "market_cap", BANDS)
-    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("stocks"), F.percentile("median_turnover", F.lit(0.5)).alias("median_turnover"),
-                                    F.avg((F.col("median_turnover") >= 6000).cast("double")).alias("share_liquid"))
+    shares = rows.groupBy("band").agg(F.count(F.lit(1)).alias("stocks"), F.avg((F.col("median_turnover") >= 6000).cast("double")).alias("share_liquid"))
+    return shares.join(quantiles(rows, ["band"], "median_turnover", {"median_turnover": 0.5}), "band", "left")
 
 
 def liquidity_correlation(spark, folder):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bartide.functions import text
-from bartide.functions.numbers import parse_number
+from bartide.functions.numbers import parse_number, per_session_rate
 from bartide.operators import prep
 from bartide.operators import rolling as rl
 from bartide.operators.ranking import quantiles
@@ -15,6 +15,9 @@ from bartide.plans.market_sql import calendar_sql, with_tables
 from bartide.sources import market as mk
 
 
+FALLBACK_YIELD = 5.5  # percent, where no bill is known
+
+
 def corporate_actions(spark, folder):
     """Published subjects and 'dd-MMM-yyyy' dates classified into adjusting actions."""
     raw = mk.raw_actions(spark, folder)
@@ -149,6 +152,17 @@ def upserted_rates(spark, folder):
     return prep.keep_last(rows, ["day"], "o_orderkey")
 
 
+def latest_rates(spark, folder):
+    """Per customer the yield of the latest bill (order) released by a date, a fixed rate where none is, and the rate of one session."""
+    bills = mk.table(spark, folder, "orders").where(F.col("o_orderdate") < F.lit("1996-07-01").cast("timestamp")).select(
+        F.col("o_custkey").alias("customer"), mk.arrival_key((F.unix_date(F.to_date("o_orderdate")), 6), (F.col("o_orderkey"), 15)).alias("at"),
+        (F.col("o_totalprice") / 100000).alias("yield_pct"))
+    last = prep.keep_last(bills, ["customer"], "at")
+    customers = mk.table(spark, folder, "customer").select(F.col("c_custkey").alias("customer"))
+    rate = F.coalesce("yield_pct", F.lit(FALLBACK_YIELD))
+    return customers.join(last, "customer", "left").select("customer", rate.alias("rate_pct"), F.col("yield_pct").isNull().alias("fallback"), per_session_rate(rate / 100).alias("session_rate"))
+
+
 def last_turnover(spark, folder):
     """Median turnover over the latest 30 sessions of the calendar, on the symbols that traded."""
     bars = mk.weekly_bars(spark, folder)
@@ -259,8 +273,11 @@ SELECT *, 'stored' AS source FROM stored UNION ALL SELECT f.*, 'appended' FROM f
 AND f.index_name NOT IN (SELECT f2.index_name FROM fetched f2 JOIN stored s ON s.index_name = f2.index_name AND s.session = f2.session WHERE abs(f2.level - s.level) / s.level > 1e-4)""",
         stored="SELECT index_name, session, price AS level FROM index_levels WHERE price IS NOT NULL AND session < DATE '2001-06-04'",
         fetched="SELECT index_name, session, price * CASE WHEN index_name = 'ASIA' THEN 1.001 ELSE 1.0 END AS level FROM index_levels WHERE price IS NOT NULL AND session >= DATE '2001-05-14'")),
-    Query("upserted_rates", "S15 X11", "day:d o_orderkey:i rate:2", upserted_rates,
+    Query("upserted_rates", "S15", "day:d o_orderkey:i rate:2", upserted_rates,
           "SELECT CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS rate FROM orders GROUP BY 1"),
+    Query("latest_rates", "X11 X10", "customer:i rate_pct:7 fallback:b session_rate:9", latest_rates, f"""
+SELECT customer, rate_pct, fallback, pow(1 + rate_pct / 100, 1 / 252.0) - 1 AS session_rate FROM (SELECT c_custkey AS customer, coalesce(y, {FALLBACK_YIELD}) AS rate_pct, y IS NULL AS fallback FROM customer LEFT JOIN (
+  SELECT o_custkey, arg_max(o_totalprice / 100000, (o_orderdate, o_orderkey)) AS y FROM orders WHERE o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1) ON o_custkey = c_custkey)"""),
     Query("recent_median_turnover", "S16", "symbol:s median_turnover:3 sessions:i", last_turnover, with_tables("""
 SELECT symbol, quantile_cont(turnover, 0.5) AS median_turnover, count(*) AS sessions FROM numbered WHERE n > (SELECT max(n) FROM cal) - 30 GROUP BY 1""")),
     Query("latest_available_bars", "S12", "symbol:s session:d close:6", latest_chain, with_tables("""

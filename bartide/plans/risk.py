@@ -65,7 +65,10 @@ def sector_index_returns(spark, folder):
 
 
 def exposures(spark, folder):
-    return rk.exposures(portfolio_return(spark, folder), sector_index_returns(spark, folder))
+    """Exposure of every book to each sector index, the best fit first."""
+    rows = rk.exposures(portfolio_return(spark, folder), sector_index_returns(spark, folder))
+    place = F.row_number().over(Window.partitionBy("portfolio").orderBy(F.round("r_squared", 9).desc_nulls_last(), "benchmark"))  # a row per index
+    return rows.withColumn("place", place).withColumn("best", F.col("place") == 1)
 
 
 def spread_model(spark, folder):
@@ -368,10 +371,10 @@ SELECT r.portfolio, count(*) AS observations, regr_slope(ret, m) AS hedge_ratio,
   sqrt(regr_syy(ret, m) FILTER (m <= cutoff) * (1 - regr_r2(ret, m) FILTER (m <= cutoff)) / (count(*) FILTER (m <= cutoff) - 2) / regr_sxx(ret, m) FILTER (m <= cutoff)) AS tail_beta_se, count(*) FILTER (m <= cutoff) AS tail_days, any_value(cutoff) AS cutoff
 FROM hb r JOIN (SELECT portfolio, quantile_cont(m, 0.1) AS cutoff FROM hb GROUP BY 1) c ON c.portfolio = r.portfolio GROUP BY 1""",
         hb="SELECT p.portfolio, p.session, p.ret, f.large_ret AS m FROM port p JOIN fx f ON f.session = p.session WHERE large_ret IS NOT NULL")),
-    Query("index_exposures", "R9 K10", "portfolio:i benchmark:s days:i beta:5 r_squared:6 benchmark_return_pct:4", exposures, with_tables("""
-SELECT portfolio, benchmark, count(*) AS days, covar_samp(ret, b) / var_samp(b) AS beta, corr(ret, b) ** 2 AS r_squared, (product(1 + b) - 1) * 100 AS benchmark_return_pct FROM (
+    Query("index_exposures", "R9 K10", "portfolio:i benchmark:s days:i beta:5 r_squared:6 benchmark_return_pct:4 place:i best:b", exposures, with_tables("""
+SELECT *, row_number() OVER w AS place, row_number() OVER w = 1 AS best FROM (SELECT portfolio, benchmark, count(*) AS days, covar_samp(ret, b) / var_samp(b) AS beta, corr(ret, b) ** 2 AS r_squared, (product(1 + b) - 1) * 100 AS benchmark_return_pct FROM (
 SELECT p.portfolio, x.index_name AS benchmark, p.ret, x.b FROM port p JOIN (SELECT index_name, session, filled / lag(filled) OVER (PARTITION BY index_name ORDER BY session) - 1 AS b FROM bridged) x ON x.session = p.session WHERE b IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY portfolio, benchmark ORDER BY p.session DESC) <= 245) GROUP BY 1, 2 HAVING count(*) >= 60""")),
+QUALIFY row_number() OVER (PARTITION BY portfolio, benchmark ORDER BY p.session DESC) <= 245) GROUP BY 1, 2 HAVING count(*) >= 60) WINDOW w AS (PARTITION BY portfolio ORDER BY round(r_squared, 9) DESC NULLS LAST, benchmark)""")),
     Query("spread_factor_model", "R10", "portfolio:i n:i b_const:7 b_market:5 t_market:4 b_universe:5 t_universe:4 b_size:5 t_size:4 r2:6 corr_universe_size:5", spread_model, with_tables(
         "SELECT f.portfolio, n, b0 AS b_const, b1 AS b_market, t1 AS t_market, b2 AS b_universe, t2_stat AS t_universe, b3 AS b_size, t3_stat AS t_size, r2, c.c AS corr_universe_size FROM ("
         + three_factor_sql("SELECT * FROM sm", "portfolio") + ") f JOIN (SELECT portfolio, corr(x2, x3) AS c FROM sm GROUP BY 1) c ON c.portfolio = f.portfolio",

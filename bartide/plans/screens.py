@@ -53,6 +53,15 @@ def review(spark, folder):
     return sc.review_table(bars, mk.benchmark(bars), members(spark, folder), checked(spark, folder), min_turnover=0.5, gap_floor=0.3)
 
 
+def ordered_review(spark, folder):
+    """Place of every symbol in the printed review: most passed checks first, then the lower sector rank, unranked ones last."""
+    rows = cut_lineage(review(spark, folder).select("symbol", "passed_count", "sector_rank"))
+    # both parts in one exact number, so that places are found without ordering all rows in one task
+    order = F.col("passed_count").cast("double") * 2 ** 32 - F.coalesce(F.col("sector_rank").cast("double"), F.lit(2.0 ** 31))
+    placed = with_positions(rows.withColumns({"all": F.lit(1), "order": order}), ["all"], "order", ["symbol"], "place")
+    return placed.orderBy(F.desc("passed_count"), F.asc_nulls_last("sector_rank"), "symbol")
+
+
 def ranking(spark, folder):
     minimums = spark.createDataFrame(MINIMUMS, "sector string, minimum int")
     return sc.selection_ranking(cut_lineage(review(spark, folder)), SIZE, minimums)
@@ -252,7 +261,9 @@ QUERIES = [
           sector_screens, with_tables("""
 SELECT j.symbol, j.company, j.sector, rs_63, trend, reason = '' AS passed_technical, reason AS technical_reason, CASE WHEN reason = '' THEN coalesce(c.passes_screen, false) END AS passed_fundamental,
   CASE WHEN reason = '' THEN c.failed_criteria END AS failed_criteria, reason = '' AND coalesce(c.passes_screen, false) AS passes_both FROM judged j LEFT JOIN checked c ON c.symbol = j.symbol""")),
-    Query("review_table", "Q2 Q3 Q7 F11 F12 K1", REVIEW, review, with_tables("SELECT * FROM review")),
+    Query("review_table", "Q2 Q3 Q7 F11 F12", REVIEW, review, with_tables("SELECT * FROM review")),
+    Query("ordered_review", "K1 Q2", "symbol:s passed_count:i sector_rank:i place:i", ordered_review, with_tables(
+        "SELECT symbol, passed_count, sector_rank, row_number() OVER (ORDER BY passed_count DESC, sector_rank ASC NULLS LAST, symbol) AS place FROM review")),
     Query("selection_ranking", "Q4 K3 F13 F20 U1 J11 X4", "symbol:s sector:s rs_select:2 selection_rank:i conviction:s picked:b why_not_picked:s", ranking, with_tables("SELECT * FROM ranking")),
     Query("result_calendar", "X20 S7 D13", "symbol:s next_date:d last_date:d prior_year_date:d result_date:d basis:s days_to_results:i", result_calendar, with_tables("SELECT * FROM result_dates")),
     Query("results_due_soon", "F22", "symbol:s result_date:d basis:s days_to_results:i state:s", due_soon, with_tables(f"""

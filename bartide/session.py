@@ -43,5 +43,5 @@ def cut_lineage(df, eager: bool = True):
 
 
 def rank_buckets(spark: SparkSession) -> int:
-    """How many value buckets a cross-sectional rank is split into (see operators.ranking)."""
-    return int(spark.conf.get(RANK_BUCKETS_KEY, "16"))
+    """How many value buckets the rank of a large group is split into (see operators.ranking)."""
+    return int(spark.conf.get(RANK_BUCKETS_KEY, "512"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bartide.operators import backtests as bt
 from bartide.operators import options as op
+from bartide.operators import prep
 from bartide.operators import ranking as rank
 from bartide.operators import risk as rk
 from bartide.operators import weights as wt
@@ -196,3 +197,34 @@ def test_rate_of_return(spark):
     same = F.array(*[F.struct(F.lit(0.0).alias("years"), F.lit(1.0).alias("amount"))])
     got = spark.range(1).select(rk.rate_of_return(flows).alias("a"), rk.rate_of_return(same).alias("b")).first()
     assert -100 + 30 / (1 + got["a"]) ** 0.5 + 90 / (1 + got["a"]) == pytest.approx(0, abs=1e-9) and got["b"] is None
+
+
+def test_ranks_of_large_clustered_groups_are_split_and_exact(spark, monkeypatch):
+    monkeypatch.setattr(rank, "SPLIT_ABOVE", 50)
+    rng = np.random.default_rng(12)
+    values = np.concatenate((rng.normal(0, 1e-9, 900), [1e12, -1e12], rng.integers(0, 5, 60).astype(float)))  # nearly all in one spot
+    frame = pd.DataFrame({"g": np.where(np.arange(len(values)) % 7, "big", "small"), "id": range(len(values)), "v": values})
+    rows = spark.createDataFrame([(g, int(i), float(v)) for g, i, v in frame.itertuples(index=False)], "g string, id int, v double")
+    got = rank.with_ranks(rows, ["g"], "v", average="a", low="l", buckets=16).toPandas().set_index("id").sort_index()
+    np.testing.assert_allclose(got["a"].astype(float).to_numpy(), frame.groupby("g")["v"].rank().to_numpy())
+    whole = rank.with_ranks(rows, [], "v", low="l", buckets=16).toPandas().set_index("id").sort_index()
+    np.testing.assert_allclose(whole["l"].astype(float).to_numpy(), frame["v"].rank(method="min").to_numpy())
+    plan = rank.value_counts(rows, ["g"], "v", 16)
+    assert plan.columns == ["g", "v", "ties", "total", "before"]
+
+
+def test_sessions_outside_a_calendar_are_unknown(spark):
+    bounds = spark.sql("SELECT DATE '2024-01-01' AS first, DATE '2024-01-12' AS last")
+    days = spark.sql("SELECT * FROM VALUES (DATE '2024-01-02', DATE '2024-01-09'), (DATE '2023-12-01', DATE '2024-01-09'), (DATE '2024-01-09', DATE '2024-01-02') AS t(a, b)")
+    rows = prep.sessions_between(days, prep.weekday_calendar(bounds), "a", "b", "n", at_least=1).orderBy("a").collect()
+    assert [r["n"] for r in rows] == [None, 5, 1]
+
+
+def test_books_without_an_answer_get_no_weights():
+    cov = np.array([np.diag([1.0, 2.0, 3.0]), np.diag([2.0, 2.0, 2.0])])
+    cut = wt.pair_descent(cov, np.zeros((2, 3)), 0.0, 1.0, rounds=1)
+    assert np.isnan(cut[0]).all() and np.allclose(cut[1], 1 / 3)
+    whole = wt.pair_descent(cov, np.zeros((2, 3)), 0.0, 1.0)
+    assert np.allclose(whole[0], np.array([6, 3, 2]) / 11) and np.allclose(wt.level_contributions(cov, 0.0, 1.0)[1], 1 / 3)
+    solved = wt._solved_by_size(lambda c: wt.pair_descent(c, np.zeros(c.shape[:2]), 0.0, 1.0), 0.0, 1.0, pd.Series([[1.0, 0.0, 0.0, 1.0], None, [1.0, None, None, 1.0]], dtype=object))
+    assert np.allclose(solved[0], [0.5, 0.5]) and solved[1] is None and solved[2] is None
