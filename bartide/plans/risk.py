@@ -10,6 +10,7 @@ from bartide.operators import risk as rk
 from bartide.operators import weights as wt
 from bartide.operators.rolling import back, latest
 from bartide.plans import prices
+from bartide.plans import weights_sql as ws
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
 from bartide.session import cut_lineage
@@ -348,6 +349,22 @@ define("rr_stock", """
 SELECT portfolio, symbol, annual_vol * 100 * sqrt(63 / 252) AS upside_pct, stop_below_pct AS downside_pct, invested AS value, (resistance / current_price - 1) * 100 AS first_hurdle_pct,
   invested * annual_vol * sqrt(63 / 252) AS upside_inr, invested * stop_below_pct / 100 AS downside_inr FROM risk_sum""")
 
+# books in SQL: covariances at the rebalance dates, and over all sessions with means and the rate
+REBALANCED = {
+    "rkeyed": """SELECT portfolio || '-' || rebalance AS k, portfolio, rebalance, symbol, session, ret FROM (
+      SELECT *, unnest(generate_series(CAST(ceil(n / 52.0) AS INTEGER), CAST(floor((n + 155) / 52.0) AS INTEGER))) AS rebalance FROM rets)""",
+    "rcells": "SELECT a.k, a.symbol AS i, b.symbol AS j, CASE WHEN count(*) >= 60 THEN covar_samp(a.ret, b.ret) * 252 END AS cov FROM rkeyed a JOIN rkeyed b ON b.k = a.k AND b.session = a.session GROUP BY 1, 2, 3",
+    "rmat": ws.MATRICES.format(cells="rcells")}
+WEIGHTS_SQL = """
+SELECT CAST(split_part(k, '-', 1) AS BIGINT) AS portfolio, CAST(split_part(k, '-', 2) AS BIGINT) AS rebalance, unnest(symbols) AS symbol,
+  unnest(coalesce(w, list_transform(symbols, lambda x: 1.0::DOUBLE / n))) AS weight, w IS NOT NULL AS solved FROM rmat LEFT JOIN solution USING (k)"""
+MOMENTS = {
+    "acells": "SELECT CAST(a.portfolio AS VARCHAR) AS k, a.symbol AS i, b.symbol AS j, CASE WHEN count(*) >= 60 THEN covar_samp(a.ret, b.ret) * 252 END AS cov FROM rets a JOIN rets b ON b.portfolio = a.portfolio AND b.session = a.session GROUP BY 1, 2, 3",
+    "amat": ws.MATRICES.format(cells="acells"),
+    "moments": """SELECT amat.*, mu, rf FROM amat JOIN (SELECT CAST(portfolio AS VARCHAR) AS k, list(m ORDER BY symbol) AS mu FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) USING (k)
+      CROSS JOIN (SELECT avg(rate_ret) * 252 AS rf FROM fx)"""}
+FLAT = "SELECT *, list_transform(mu, lambda v: 0.0::DOUBLE) AS t FROM moments"
+
 QUERIES = [
     Query("portfolio_returns", "R1", "portfolio:i session:d ret:8", portfolio_return, with_tables("SELECT * FROM port")),
     Query("universe_returns", "R12", "session:d universe_ret:8", universe_return, with_tables("SELECT session, avg(ret) AS universe_ret FROM rets GROUP BY 1")),
@@ -401,10 +418,20 @@ SELECT portfolio, count(*) AS n, regr_slope(y, mkt_excess) AS beta FROM (SELECT
 JOIN fx f ON f.session = p.session) GROUP BY 1 HAVING count(*) > 4""")),
     Query("inverse_volatility_weights", "M1", "portfolio:i symbol:s vol:7 weight:7", inverse_vol, with_tables("""
 SELECT portfolio, symbol, vol, (1 / vol) / sum(1 / vol) OVER (PARTITION BY portfolio) AS weight FROM (SELECT portfolio, symbol, stddev_samp(ret) AS vol FROM rets GROUP BY 1, 2)""")),
-    Query("equal_risk_weights", "M2", "portfolio:i rebalance:i symbol:s weight:6 solved:b", equal_risk),
-    Query("minimum_variance_weights", "M3", "portfolio:i rebalance:i symbol:s weight:6 solved:b", minimum_variance),
-    Query("efficient_frontier", "M4", "portfolio:i tilt:5 volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", frontier),
-    Query("weight_comparison", "M4 R19 G20", "portfolio:i rule:s volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", weight_comparison),
+    Query("equal_risk_weights", "M2", "portfolio:i rebalance:i symbol:s weight:6 solved:b", equal_risk, with_tables(
+        WEIGHTS_SQL, **REBALANCED, **ws.level_contributions("solution", "SELECT *, list_transform(c, lambda r: 0.0::DOUBLE) AS t FROM rmat", 0.05, 0.25))),
+    Query("minimum_variance_weights", "M3", "portfolio:i rebalance:i symbol:s weight:6 solved:b", minimum_variance, with_tables(
+        WEIGHTS_SQL, **REBALANCED, **ws.pair_descent("solution", "SELECT *, list_transform(c, lambda r: 0.0::DOUBLE) AS t FROM rmat", 0.05, 0.25))),
+    Query("efficient_frontier", "M4", "portfolio:i tilt:5 volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", frontier, with_tables(
+        ws.statistics("(SELECT m.*, s.tilt, v.w FROM tilted s JOIN solution v USING (k) JOIN moments m ON m.k = s.book)", "k AS key, book AS portfolio, tilt").replace("k AS key, book AS portfolio", "CAST(k AS BIGINT) AS portfolio"),
+        **MOMENTS, tilted="SELECT book || '-' || x AS k, book, c, usable, tilt, list_transform(mu, lambda v: v * tilt) AS t FROM (SELECT k AS book, *, unnest(range(-1, 40)) AS x, CASE WHEN x < 0 THEN 0.0 ELSE 0.01 * pow(5000, x / 39.0::DOUBLE) END AS tilt FROM moments)",
+        **ws.pair_descent("solution", "SELECT * FROM tilted", 0.0, 1.0))),
+    Query("weight_comparison", "M4 R19 G20", "portfolio:i rule:s volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", weight_comparison, with_tables(
+        ws.statistics("(SELECT m.*, r.rule, r.w FROM rules r JOIN moments m USING (k))", "CAST(k AS BIGINT) AS portfolio, rule"), **MOMENTS,
+        rules="""SELECT k, 'equal' AS rule, list_transform(mu, lambda v: 1.0::DOUBLE / len(mu)) AS w FROM moments UNION ALL SELECT k, 'equal_risk', w FROM erc UNION ALL SELECT k, 'minimum_variance', w FROM mv
+          UNION ALL SELECT k, 'bounded_variance', w FROM bmv UNION ALL SELECT k, 'tangency', w FROM tangency""",
+        **ws.level_contributions("erc", FLAT, 0.05, 0.25), **ws.pair_descent("mv", FLAT, 0.0, 1.0), **ws.pair_descent("bmv", FLAT, 0.05, 0.25),
+        **ws.best_ratio("tangency", "SELECT *, list_transform(mu, lambda v: v - rf) AS t FROM moments"))),
     Query("equal_weight_statistics", "R19 G20", "portfolio:i volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", equal_statistics, with_tables("""
 SELECT m.portfolio, sd * 100 AS volatility_pct, mu * 100 AS mean_return_pct, (mu - r.rf) / sd AS sharpe, k AS effective_names, 100.0 / k AS largest_weight_pct, CASE WHEN 1.0 / k > 0.01 THEN k ELSE 0 END AS names_above_1pct
 FROM (SELECT portfolio, avg(m) AS mu, count(*) AS k FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) m
