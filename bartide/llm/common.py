@@ -46,15 +46,16 @@ def id_remainder(modulus: int) -> F.Column:
 def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """left join right on `key`, where `right` has one row for a key and the number of left rows in `count`.
 
-    Keys with more than total / HEAVY_SHARE rows are at most HEAVY_SHARE many; they are broadcast, so their rows are
-    never gathered. All other keys are joined by shuffle. `right` should be a stored table: it is read twice."""
+    Keys with more than total / HEAVY_SHARE rows are at most HEAVY_SHARE many: they are listed on the driver and their rows of
+    `right` broadcast, so that rows of one key are never gathered. All other keys are joined by shuffle. `right` should be
+    a stored table: it is read twice."""
     limit = max(total // HEAVY_SHARE, 1)
-    heavy = F.broadcast(right.where(F.col(count) > limit).withColumn("_heavy", F.lit(True)))
-    rest = right.where(F.col(count) <= limit)
-    marked = left.join(heavy.select(key, "_heavy"), key, "left")
-    first = left.join(heavy.drop("_heavy"), key)
-    second = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(rest, key, how)
-    return first.unionByName(second, allowMissingColumns=True)
+    heavy = [r[0] for r in right.where((F.col(count) > limit) & F.col(key).isNotNull()).select(key).collect()]
+    if not heavy:
+        return left.join(right, key, how)
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    first = left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key)
+    return first.unionByName(left.where(~is_heavy).join(right.where(~is_heavy), key, how))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
