@@ -26,8 +26,13 @@ def normalised(raw: DataFrame, order: str = "seq") -> DataFrame:
     rows = raw.dropna(how="all").withColumns({
         "instrument": F.trim("instrument"), "action": F.upper(F.trim("action")), "quantity": F.col("quantity").cast("long"),
         "note": F.coalesce("note", F.lit(""))})
-    place = F.row_number().over(Window.partitionBy("portfolio").orderBy("session", order))
-    return rows.withColumn("line", place)
+    # a portfolio's trades are numbered day by day, and the trades of earlier days are added: no task orders a whole ledger
+    days = rows.groupBy("portfolio", "session").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("portfolio").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = days.select(F.col("portfolio").alias("_p"), F.col("session").alias("_d"), before.alias("_before"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("portfolio", "session").orderBy(order)))
+    joined = numbered.join(earlier, F.col("portfolio").eqNullSafe(F.col("_p")) & F.col("session").eqNullSafe(F.col("_d")))
+    return joined.withColumn("line", (F.col("_before") + F.col("_k")).cast("int")).drop("_p", "_d", "_before", "_k")
 
 
 def row_problems(rows: DataFrame, date_text: str = "date_text") -> DataFrame:

@@ -180,11 +180,12 @@ def event_stream(spark, folder):
 
 
 def streamed_bars(spark, folder):
-    """Four-hour bars of the event stream; a bar appears once the watermark has passed its end."""
+    """Four-hour bars of the event stream; a bar is final once the watermark has passed its end, the open ones are closed by a last batch."""
     path = scratch(spark, "bars")
-    stream = sm.bars(event_stream(spark, folder), "ts", "event_type", "value", "event_id")
-    sm.run_to_table(stream, f"{path}/table", f"{path}/state")
-    return spark.read.parquet(f"{path}/table")
+    columns = ("ts", "event_type", "value", "event_id")
+    sm.run_to_table(sm.bars(event_stream(spark, folder), *columns), f"{path}/table", f"{path}/state")
+    ticks = mk.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sm.with_open_bars(spark.read.parquet(f"{path}/table"), ticks, *columns)
 
 
 def intraday(spark, folder):
@@ -267,8 +268,8 @@ SELECT {SYMBOL.format('l_suppkey')} AS symbol, count(DISTINCT date_trunc('week',
 SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS qty, sum(value) AS turnover FROM events GROUP BY 1, 2)"""),
     Query("streamed_bars", "ST2", "symbol:s session:d open:4 high:4 low:4 close:4 mean:6 qty:i", streamed_bars, """
-SELECT * FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, avg(value) AS mean, count(*) AS qty
-FROM events GROUP BY 1, 2) WHERE session + INTERVAL 4 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"""),
+SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, avg(value) AS mean, count(*) AS qty
+FROM events GROUP BY 1, 2"""),
     Query("streamed_first_events", "ST1", "user_id:i event_type:s hour:d", streamed_first, "SELECT DISTINCT user_id, event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM events"),
     Query("streamed_latest_events", "ST1 S15", "user_id:i event_type:s event_id:i value:4", streamed_latest, """
 SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2"""),

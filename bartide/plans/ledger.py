@@ -20,7 +20,7 @@ from bartide.plans import risk as risk_plans
 
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
-from bartide.plans.risk import PERF_SQL
+from bartide.plans.risk import PERF_SQL, VALUE_SQL, var_sql
 from bartide.session import cut_lineage
 from bartide.sources import market as mk
 
@@ -316,6 +316,21 @@ def watched(spark, folder):
     return rows.join(listed, "symbol").join(mk.listings(spark, folder), "symbol").orderBy("place")
 
 
+def hedged_var(spark, folder):
+    """Value at risk of every book with and without the index position its open options stand for, side by side; a book whose
+    legs can't all be priced has no hedged figures."""
+    held = cut_lineage(risk_plans.positions(spark, folder).select("portfolio", "symbol", "session", "ret", "x"))
+    base = held.select("portfolio", "symbol", "x").distinct().groupBy("portfolio").agg(F.sum("x").alias("value"))
+    index = risk_plans.factors(spark, folder).select("session", F.col("large_ret").alias("ret"))
+    deltas = option_plans.delta_positions(spark, folder).where(F.col("delta_inr").isNotNull()).select("portfolio", F.col("delta_inr").alias("x"))
+    hedge = held.select("portfolio", "session").distinct().join(index, "session").join(deltas, "portfolio").withColumn("symbol", F.lit("INDEX"))
+    plain = rk.value_at_risk(rk.complete_sessions(held, 200), 12, base)
+    priced = held.join(deltas.select("portfolio"), "portfolio", "left_semi")
+    hedged = rk.value_at_risk(rk.complete_sessions(priced.unionByName(hedge.select(priced.columns)), 200), 12, base)
+    names = ["parametric_95", "historical_95", "cvar_95"]
+    return plain.select("portfolio", *names).join(hedged.select("portfolio", *[F.col(c).alias(f"{c}_hedged") for c in names]), "portfolio", "left")
+
+
 # ---- the same in SQL ----
 define("tr", """
 SELECT t.*, c.n, CASE WHEN action = 'BUY' THEN quantity ELSE -quantity END AS q, instrument LIKE 'INDEX %' AS opt FROM trades t JOIN cal c ON c.session = t.session""")
@@ -439,7 +454,14 @@ SELECT *, CASE WHEN status = 'waiting' THEN {TRIGGER} - pnl_pct END AS gap_pp, b
 FROM (SELECT *, CASE WHEN rolls >= 6 THEN 'done' WHEN pnl_pct < {TRIGGER} THEN 'waiting' WHEN new_strike IS NULL THEN 'no prices' WHEN higher OR extra > 0 THEN 'TRIGGERED' ELSE 'covered' END AS status
 FROM (SELECT *, lots * 50 - coalesce(held_units, 0) AS extra, new_strike > coalesce(held_strike, 0) AS higher FROM (SELECT *, greatest(1, round_even(hedge_ratio * stocks / (spot * 50), 0)) AS lots FROM hbooks))))""")
 
+define("book_delta", "SELECT portfolio, CASE WHEN count(iv) = count(*) THEN sum(units * delta * spot) END AS delta_inr FROM legs_g GROUP BY 1")
+define("hpos", """
+SELECT portfolio, symbol, session, ret, x FROM pos SEMI JOIN (SELECT portfolio FROM book_delta WHERE delta_inr IS NOT NULL) d USING (portfolio)
+UNION ALL SELECT s.portfolio, 'INDEX', s.session, f.large_ret, d.delta_inr FROM (SELECT DISTINCT portfolio, session FROM pos) s JOIN fx f ON f.session = s.session JOIN book_delta d ON d.portfolio = s.portfolio WHERE d.delta_inr IS NOT NULL""")
+
 QUERIES = [
+    Query("hedged_value_at_risk", "R22", "portfolio:i parametric_95:2 historical_95:2 cvar_95:2 parametric_95_hedged:2 historical_95_hedged:2 cvar_95_hedged:2", hedged_var, with_tables(
+        f"SELECT a.portfolio, a.parametric_95, a.historical_95, a.cvar_95, b.parametric_95 AS parametric_95_hedged, b.historical_95 AS historical_95_hedged, b.cvar_95 AS cvar_95_hedged FROM ({var_sql('var_days', 'var_parts', VALUE_SQL)}) a LEFT JOIN ({var_sql('hvar_days', 'hvar_parts', VALUE_SQL)}) b ON b.portfolio = a.portfolio")),
     Query("net_positions", "L1 G2", "portfolio:i instrument:s net:2 state:s", net_positions, with_tables("""
 SELECT portfolio, instrument, net, CASE WHEN instrument LIKE 'INDEX %' THEN 'option' WHEN net > 0 THEN 'held' ELSE 'short' END AS state FROM (SELECT portfolio, instrument, sum(q) AS net FROM tr GROUP BY 1, 2) WHERE net <> 0""")),
     Query("oversold_stocks", "F15", "portfolio:i instrument:s net:2", oversold, with_tables("SELECT portfolio, instrument, sum(q) AS net FROM tr WHERE NOT opt GROUP BY 1, 2 HAVING sum(q) < 0")),

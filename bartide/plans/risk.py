@@ -114,21 +114,6 @@ def var_components(spark, folder):
     return rk.components(rk.complete_sessions(positions(spark, folder), 200))
 
 
-def hedged_var(spark, folder):
-    """The same measures with and without an index position of minus 40% of the value, side by side."""
-    held = positions(spark, folder).select("portfolio", "symbol", "session", "ret", "x")
-    base = held.select("portfolio", "symbol", "x").distinct().groupBy("portfolio").agg(F.sum("x").alias("value"))
-    index = factors(spark, folder).select("session", F.col("large_ret").alias("ret"))
-    sessions = held.select("portfolio", "session").distinct()
-    hedge = (sessions.join(index, "session").join(base, "portfolio")
-             .select("portfolio", F.lit("INDEX").alias("symbol"), "session", "ret", (-0.4 * F.col("value")).alias("x")))
-    plain = rk.value_at_risk(rk.complete_sessions(held, 200), 12, base)
-    hedged = rk.value_at_risk(rk.complete_sessions(held.unionByName(hedge), 200), 12, base)
-    names = ["parametric_95", "historical_95", "cvar_95"]
-    left = plain.select("portfolio", *names)
-    return left.join(hedged.select("portfolio", *[F.col(c).alias(f"{c}_hedged") for c in names]), "portfolio")
-
-
 def performance_rows(spark, folder):
     fx = factors(spark, folder).select("session", F.col("market_ret").alias("m"), F.col("rate_ret").alias("rf"))
     return portfolio_return(spark, folder).withColumnRenamed("ret", "p").join(fx, "session")
@@ -238,7 +223,11 @@ def reward_risk(spark, folder):
     book = book.select("portfolio", F.lit("PORTFOLIO").alias("symbol"), (F.col("upside_inr") / F.col("value") * 100).alias("upside_pct"),
                        (F.col("downside_inr") / F.col("value") * 100).alias("downside_pct"), "value", F.lit(None).cast("double").alias("first_hurdle_pct"),
                        "upside_inr", "downside_inr")
-    both = stock.unionByName(book)
+    # the book's own typical move, smaller than the sum of its members'; no ratio to the loss of all stops at once
+    own = portfolio_return(spark, folder).groupBy("portfolio").agg((F.stddev_samp("ret") * F.sqrt(F.lit(63.0)) * 100).alias("upside_pct"))
+    apart = book.select("portfolio", "value").join(own, "portfolio").select(
+        "portfolio", F.lit("DIVERSIFIED").alias("symbol"), "upside_pct", "value", (F.col("value") * F.col("upside_pct") / 100).alias("upside_inr"))
+    both = stock.unionByName(book).unionByName(apart, allowMissingColumns=True)
     return both.withColumns({"reward_risk": F.when(F.col("downside_inr") > 0, F.col("upside_inr") / F.nullif(F.col("downside_inr"), F.lit(0.0))),
                              "loss_at_stop_pct": F.col("downside_inr") / PRINCIPAL * 100})
 
@@ -302,9 +291,6 @@ JOIN (SELECT portfolio, sum(standalone) AS alone FROM {parts} GROUP BY 1) s ON s
 
 
 VALUE_SQL = "SELECT portfolio, sum(x) AS value FROM (SELECT DISTINCT portfolio, symbol, x FROM pos) GROUP BY 1"
-define("hpos", f"""
-SELECT portfolio, symbol, session, ret, x FROM pos UNION ALL SELECT s.portfolio, 'INDEX', s.session, f.large_ret, -0.4 * v.value
-FROM (SELECT DISTINCT portfolio, session FROM pos) s JOIN fx f ON f.session = s.session JOIN ({VALUE_SQL}) v ON v.portfolio = s.portfolio""")
 define("hvar_days", """
 SELECT portfolio, session, pnl FROM (SELECT p.portfolio, p.session, sum(x * ret) AS pnl, count(*) AS k, any_value(s.k) AS size FROM hpos p JOIN (SELECT portfolio, count(DISTINCT symbol) AS k FROM hpos GROUP BY 1) s ON s.portfolio = p.portfolio
 GROUP BY 1, 2) WHERE k = size QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY session DESC) <= 200""")
@@ -407,8 +393,6 @@ FROM cov252 c JOIN books bi ON bi.symbol = c.i JOIN books bj ON bj.symbol = c.j
     Query("value_at_risk", "R15 G9 G10", "portfolio:i sessions:i value:2 parametric_95:2 parametric_99:2 parametric_95_horizon:2 historical_95:2 historical_99:2 cvar_95:2 cvar_99:2 diversification:2 parametric_95_pct:5",
           var_summary, with_tables(var_sql("var_days", "var_parts", VALUE_SQL))),
     Query("var_components", "R15", "portfolio:i symbol:s x:2 standalone:2 marginal:7 component:2 share_pct:4", var_components, with_tables("SELECT * FROM var_parts")),
-    Query("hedged_value_at_risk", "R22", "portfolio:i parametric_95:2 historical_95:2 cvar_95:2 parametric_95_hedged:2 historical_95_hedged:2 cvar_95_hedged:2", hedged_var, with_tables(
-        f"SELECT a.portfolio, a.parametric_95, a.historical_95, a.cvar_95, b.parametric_95 AS parametric_95_hedged, b.historical_95 AS historical_95_hedged, b.cvar_95 AS cvar_95_hedged FROM ({var_sql('var_days', 'var_parts', VALUE_SQL)}) a JOIN ({var_sql('hvar_days', 'hvar_parts', VALUE_SQL)}) b ON b.portfolio = a.portfolio")),
     Query("window_metrics", "R16", "portfolio:i period:s sessions:i return_pct:4 benchmark_pct:4 sp:6 beta:5 sharpe:5 market_sharpe:5 treynor_pct:4 m2_pct:4 jensen_pct:4 jensen_period_pp:4 sortino:5 max_drawdown:6 market_drawdown:6 up_capture:5 down_capture:5 tracking_error:6 information_ratio:5 xirr_pct:4",
           performance, with_tables(PERF_SQL)),
     Query("growth_paths", "R18 W5", "portfolio:i session:d p_path:4 m_path:4 rf_path:4", growth_paths, with_tables(
@@ -440,5 +424,6 @@ CROSS JOIN (SELECT avg(rate_ret) * 252 AS rf FROM fx) r""")),
     Query("risk_summary", "R20 L5", "portfolio:i symbol:s current_price:4 annual_vol:6 annual_mean:6 weight:6 shares:i invested:2 atr:5 stop:5 stop_below_pct:4 method:s", risk_summary, with_tables("SELECT * FROM risk_sum")),
     Query("reward_risk_table", "R7", "portfolio:i symbol:s upside_pct:4 downside_pct:4 value:2 first_hurdle_pct:4 upside_inr:2 downside_inr:2 reward_risk:4 loss_at_stop_pct:5", reward_risk, with_tables("""
 SELECT *, upside_inr / downside_inr AS reward_risk, downside_inr / 1e7 * 100 AS loss_at_stop_pct FROM (SELECT * FROM rr_stock UNION ALL
-SELECT portfolio, 'PORTFOLIO', sum(upside_inr) / sum(value) * 100, sum(downside_inr) / sum(value) * 100, sum(value), NULL, sum(upside_inr), sum(downside_inr) FROM rr_stock GROUP BY portfolio)""")),
+SELECT portfolio, 'PORTFOLIO', sum(upside_inr) / sum(value) * 100, sum(downside_inr) / sum(value) * 100, sum(value), NULL, sum(upside_inr), sum(downside_inr) FROM rr_stock GROUP BY portfolio
+UNION ALL SELECT portfolio, 'DIVERSIFIED', up, NULL, value, NULL, value * up / 100, NULL FROM (SELECT portfolio, sum(value) AS value FROM rr_stock GROUP BY 1) JOIN (SELECT portfolio, stddev_samp(ret) * sqrt(63.0) * 100 AS up FROM port GROUP BY 1) USING (portfolio))""")),
 ]

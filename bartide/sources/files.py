@@ -1,6 +1,6 @@
 """Readers and writers of the landed files: daily price files, index files, exports, JSON documents, ledgers.
 
-Every reader states its schema, reads text columns raw and casts them with try_cast, so that one bad cell is a null and
+Every reader states the columns it wants, takes text raw and casts it with try_cast, so that one bad cell is a null and
 never fails a job. Directories are read at once; the session filter replaces the loop over day files.
 """
 
@@ -28,9 +28,13 @@ def any_date(text) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(clean, F.lit(f))) for f in DATE_FORMATS])
 
 
-def raw_csv(spark: SparkSession, path, columns: Sequence[str]) -> DataFrame:
-    """A CSV directory as trimmed text columns with trimmed header names; missing columns are nulls."""
+def raw_csv(spark: SparkSession, path, columns: Sequence[str], first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """A CSV directory as trimmed text columns with trimmed header names; missing columns are nulls. With folders by year
+    only those in question are read."""
     rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    if "year" in rows.columns:
+        rows = rows if first_year is None else rows.where(F.col("year") >= first_year)
+        rows = rows if last_year is None else rows.where(F.col("year") <= last_year)
     found = {c.replace("﻿", "").strip(): c for c in rows.columns}
     return rows.select(*[F.trim(F.col(f"`{found[c]}`")).alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in columns])
 
@@ -38,7 +42,7 @@ def raw_csv(spark: SparkSession, path, columns: Sequence[str]) -> DataFrame:
 def read_prices(spark: SparkSession, path, start: str | None = None, end: str | None = None, symbols: DataFrame | None = None,
                 series: Sequence[str] = INGEST_SERIES, aliases: DataFrame | None = None) -> DataFrame:
     """Daily price rows of a directory of day files, cleaned and filtered; files full of another session's rows left out."""
-    raw = raw_csv(spark, path, PRICE_COLUMNS).withColumn("file", F.input_file_name())
+    raw = raw_csv(spark, path, PRICE_COLUMNS, *[d and int(d[:4]) for d in (start, end)]).withColumn("file", F.input_file_name())
     typed = clean_prices(raw)
     kept = own_session(typed).where(F.col("series").isin(*series))
     if start:

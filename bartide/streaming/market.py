@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bartide.sources.market import arrival_key
+
 
 def first_per_key(ticks: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """Keep the first arrival of every key; repeats inside the watermark are dropped and the state stays bounded."""
@@ -14,13 +16,21 @@ def first_per_key(ticks: DataFrame, time: str, keys: list[str], delay: str) -> D
 
 def bars(ticks: DataFrame, time: str, key: str, value: str, order: str, width: str = "4 hours", delay: str = "1 hour") -> DataFrame:
     """Open, high, low, close, mean and count per key and window; each bar is final once the watermark has passed it."""
-    at = F.struct(time, order)
-    return (ticks.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), F.col(key).alias("symbol"))
+    at = arrival_key((F.unix_micros(F.col(time).cast("timestamp")), 18), (F.col(order), 19))  # one number: the state keeps fixed slots
+    rows = ticks.withWatermark(time, delay) if ticks.isStreaming else ticks
+    return (rows.groupBy(F.window(time, width).alias("w"), F.col(key).alias("symbol"))
             .agg(F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"),
                  F.avg(value).alias("mean"), F.count(F.lit(1)).alias("qty"))
             .select("symbol", F.col("w.start").alias("session"), F.col("w.end").alias("until"), "open", "high", "low", "close", "mean", "qty"))
 
 
+def with_open_bars(final: DataFrame, ticks: DataFrame, time: str, key: str, value: str, order: str, width: str = "4 hours") -> DataFrame:
+    """The final bars and, from a batch read of the same ticks, those of the windows that the watermark had not passed yet."""
+    done = final.agg(F.max("until").alias("_done"))
+    late = ticks.join(F.broadcast(done), F.col("_done").isNull() | (F.col(time) >= F.col("_done"))).drop("_done")  # one row
+    return final.unionByName(bars(late, time, key, value, order, width))
+
+
 def stop_alerts(closes: DataFrame, stops: DataFrame, near_pct: float = 3.0) -> DataFrame:
     """Arriving closes at or under their stop, or within `near_pct` above it: a stateless join with the stop table."""
     rows = closes.join(stops, "symbol")
@@ -35,7 +45,7 @@ def append_latest(ticks: DataFrame, path: str, checkpoint: str, keys: list[str],
     others = [c for c in ticks.columns if c not in keys]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(*keys, "_row.*")
+        kept = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
         # a replayed batch writes the same folder again
         kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -44,7 +54,7 @@ def append_latest(ticks: DataFrame, path: str, checkpoint: str, keys: list[str],
 
 def latest_rows(stored: DataFrame, keys: list[str], order: str) -> DataFrame:
     others = [c for c in stored.columns if c not in keys]
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(*keys, "_row.*")
+    return stored.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
