@@ -252,8 +252,12 @@ STRIKE_TARGETS = {"atm": 1.0, "m2": 0.98, "m3": 0.97, "m5": 0.95}
 def strategies(books: DataFrame, chain: DataFrame, expiry: DataFrame) -> DataFrame:
     """(portfolio, strategy, keep, legs): candidate strategies of every book on its underlying, legs as a short array.
 
-    `books` has (portfolio, underlying, held) where held is the core put's leg struct or null.
+    `books` has (portfolio, underlying, held) where held is the core put's leg struct or null, and may have `extra`, an
+    array of further legs held (kind, strike, price, iv, expiry, qty) that every strategy which keeps the put keeps too.
     """
+    leg_type = "array<struct<kind:string,strike:double,price:double,iv:double,expiry:date,qty:double>>"
+    extra = F.coalesce(F.col("extra").cast(leg_type), F.array().cast(leg_type)) if "extra" in books.columns else F.array().cast(leg_type)
+    books = books.withColumn("_extra", extra)
     near = chain.join(expiry, ["underlying", "expiry"], "left_semi")
     picks = nearest_strikes(near, STRIKE_TARGETS)
     calls = near.where((F.col("kind") == "CE") & (F.col("strike") > F.col("spot")))
@@ -261,7 +265,11 @@ def strategies(books: DataFrame, chain: DataFrame, expiry: DataFrame) -> DataFra
     call = (calls.join(premium, "underlying").groupBy("underlying").agg(F.min_by(
         F.struct("kind", "strike", F.col("settle").alias("price"), "iv", "expiry"),
         F.struct(F.abs(F.col("settle") - F.col("_m2")), "strike")).alias("call")))
-    rows = books.join(picks.drop("spot"), "underlying", "left").join(call, "underlying", "left")
+    # the put of the near expiry at the held strike, to be sold against a put held for longer
+    same = near.where(F.col("kind") == "PE").select("underlying", F.col("strike").alias("_strike"), F.struct(
+        "kind", "strike", F.col("settle").alias("price"), "iv", "expiry").alias("same"))
+    rows = (books.join(picks.drop("spot"), "underlying", "left").join(call, "underlying", "left").withColumn("_strike", F.col("held")["strike"])
+            .join(same, ["underlying", "_strike"], "left"))
 
     def leg(name, quantity):
         c = F.col(name)
@@ -274,17 +282,20 @@ def strategies(books: DataFrame, chain: DataFrame, expiry: DataFrame) -> DataFra
 
     held = F.struct(*[F.col("held")[c].alias(c) for c in ("kind", "strike", "price", "iv", "expiry")], F.lit(1.0).alias("qty"))
     has = F.col("held").isNotNull()
-    empty = F.array().cast("array<struct<kind:string,strike:double,price:double,iv:double,expiry:date,qty:double>>")
+    kept = F.concat(F.array(held), F.col("_extra"))
+    empty = F.array().cast(leg_type)
     pairs = [("atm", "m3"), ("atm", "m5"), ("m2", "m5")]
     wide = {p: F.col(p[0])["strike"] > F.col(p[1])["strike"] for p in pairs}
     first = F.coalesce(*[F.when(wide[p], F.array(leg(p[0], 1), leg(p[1], -1))) for p in pairs])
-    options = [(F.when(has, F.lit("Keep the puts held")), F.lit(True), F.array(held)), (F.lit("No hedge"), F.lit(False), empty)]
+    options = [(F.when(has, F.lit("Keep the puts held")), F.lit(True), kept), (F.lit("No hedge"), F.lit(False), empty)]
     options += [(F.concat(F.lit(f"Protective put {n} "), put_name(n)), F.lit(False), F.array(leg(n, 1))) for n in ("atm", "m2", "m3")]
     options += [(F.when(wide[p], F.concat(F.lit("Put spread "), put_name(p[0]), F.lit("/"), put_name(p[1]))), F.lit(False),
                  F.array(leg(p[0], 1), leg(p[1], -1))) for p in pairs]
     options += [(F.when(F.col("call").isNotNull(), F.concat(F.lit("Collar "), put_name("m2"), F.lit("/"), put_name("call"))), F.lit(False),
                  F.array(leg("m2", 1), leg("call", -1))),
-                (F.when(has & first.isNotNull(), F.lit("Keep and add a put spread")), F.lit(True), F.concat(F.array(held), first))]
+                # with more legs held the book may have its spread already
+                (F.when(has & first.isNotNull() & (F.size("_extra") == 0), F.lit("Keep and add a put spread")), F.lit(True), F.concat(kept, first)),
+                (F.when(has & (F.col("same")["expiry"] != F.col("held")["expiry"]), F.lit("Keep and sell the near put")), F.lit(True), F.concat(kept, F.array(leg("same", -1))))]
     every = F.array(*[F.struct(n.alias("strategy"), k.alias("keep"), legs.alias("legs")) for n, k, legs in options])
     spread = rows.select("portfolio", "underlying", F.inline(every)).where(F.col("strategy").isNotNull())
     # strikes that coincide give the same strategy twice

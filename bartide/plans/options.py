@@ -287,7 +287,9 @@ define("all_legs", " UNION ALL ".join([
     f"SELECT h.portfolio, h.underlying, 'Collar ' || CAST(CAST(m2.strike AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(c.strike AS BIGINT) AS VARCHAR), false, {_LEG.format('c')}, -1.0 FROM hedgers h {_t('m2')} JOIN call_pick c ON c.underlying = h.underlying",
     *[f"SELECT s.portfolio, s.underlying, 'Keep and add a put spread', true, {_LEG.format('t')}, {q} FROM (SELECT * FROM spreads QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY ord) = 1) s JOIN held_legs k ON k.portfolio = s.portfolio JOIN targets t ON t.underlying = s.underlying AND t.target = s.{side}"
       for side, q in (("hi", "1.0"), ("lo", "-1.0"))],
-    "SELECT k.portfolio, k.underlying, 'Keep and add a put spread', true, k.kind, k.strike, k.settle, k.iv, k.expiry, 1.0 FROM held_legs k WHERE k.portfolio IN (SELECT portfolio FROM spreads)"]))
+    "SELECT k.portfolio, k.underlying, 'Keep and add a put spread', true, k.kind, k.strike, k.settle, k.iv, k.expiry, 1.0 FROM held_legs k WHERE k.portfolio IN (SELECT portfolio FROM spreads)",
+    *[f"SELECT k.portfolio, k.underlying, 'Keep and sell the near put', true, {_LEG.format(side)}, {q} FROM held_legs k JOIN near_chain n ON n.underlying = k.underlying AND n.kind = 'PE' AND n.strike = k.strike AND n.expiry <> k.expiry"
+      for side, q in (("k", "1.0"), ("n", "-1.0"))]]))
 # the same leg twice in one strategy (held and bought) counts twice; equal strategies listed twice count once
 define("plan_legs", """
 SELECT portfolio, underlying, strategy, keep, kind, strike, price, iv, expiry, qty FROM all_legs WHERE strategy LIKE 'Keep%' UNION ALL

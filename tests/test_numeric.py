@@ -228,3 +228,17 @@ def test_books_without_an_answer_get_no_weights():
     assert np.allclose(whole[0], np.array([6, 3, 2]) / 11) and np.allclose(wt.level_contributions(cov, 0.0, 1.0)[1], 1 / 3)
     solved = wt._solved_by_size(lambda c: wt.pair_descent(c, np.zeros(c.shape[:2]), 0.0, 1.0), 0.0, 1.0, pd.Series([[1.0, 0.0, 0.0, 1.0], None, [1.0, None, None, 1.0]], dtype=object))
     assert np.allclose(solved[0], [0.5, 0.5]) and solved[1] is None and solved[2] is None
+
+
+def test_near_put_is_sold_against_a_longer_one_and_extra_legs_are_kept(spark):
+    chain = spark.sql("""SELECT 'I' AS underlying, DATE '2002-01-28' AS expiry, k AS strike, kind, 100.0D AS spot, 2.0D + k / 100 AS settle, 5.0D AS oi, 0.2D AS iv
+        FROM VALUES (95.0D, 'PE'), (97.0D, 'PE'), (98.0D, 'PE'), (100.0D, 'PE'), (105.0D, 'CE') AS t(k, kind)""")
+    expiry = spark.sql("SELECT 'I' AS underlying, DATE '2002-01-28' AS expiry")
+    leg = "named_struct('kind', 'PE', 'strike', 98.0D, 'price', 4.0D, 'iv', 0.2D, 'expiry', DATE '{}')"
+    more = "array(named_struct('kind', 'PE', 'strike', 90.0D, 'price', 1.0D, 'iv', 0.2D, 'expiry', DATE '2002-03-28', 'qty', -1.0D))"
+    books = spark.sql(f"SELECT 1 AS portfolio, 'I' AS underlying, {leg.format('2002-03-28')} AS held, {more} AS extra UNION ALL SELECT 2, 'I', {leg.format('2002-01-28')}, null")
+    found = {(r.portfolio, r.strategy): r.legs for r in op.strategies(books, chain, expiry).collect()}
+    near = found[1, "Keep and sell the near put"]
+    assert [(x.strike, x.qty, str(x.expiry)) for x in near] == [(98.0, 1.0, "2002-03-28"), (90.0, -1.0, "2002-03-28"), (98.0, -1.0, "2002-01-28")]
+    assert len(found[1, "Keep the puts held"]) == 2 and (1, "Keep and add a put spread") not in found
+    assert (2, "Keep and sell the near put") not in found and len(found[2, "Keep and add a put spread"]) == 3
