@@ -6,7 +6,7 @@ import importlib
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests", "feeds")
+MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests", "feeds", "landed")
 
 
 def all_queries() -> list[Query]:

@@ -75,10 +75,11 @@ def file_day(name: str = "file") -> Column:
 
 
 def own_session(rows: DataFrame) -> DataFrame:
-    """Drop files none of whose rows belong to the session in the file name (a holiday answered with another day)."""
-    day = file_day()
-    good = rows.groupBy("file").agg(F.max(F.coalesce(F.col("session") == day, day.isNull())).alias("_own")).where("_own").select("file")
-    return rows.join(good, "file", "left_semi").drop("file")
+    """Drop files none of whose rows belong to the session in the file's (or its folder's) name: a holiday answered with
+    another day. Files named after no day are kept without looking at their rows together."""
+    dated = rows.withColumn("_day", file_day())
+    good = dated.where(F.col("_day").isNotNull()).groupBy("_day").agg(F.max(F.coalesce(F.col("session") == F.col("_day"), F.lit(False))).alias("_own"))
+    return dated.join(good, "_day", "left").where(F.col("_day").isNull() | F.col("_own")).drop("file", "_day", "_own")
 
 
 def read_index(spark: SparkSession, path, name: str) -> DataFrame:
@@ -102,20 +103,24 @@ def read_total_return(spark: SparkSession, path, as_of: str | None = None) -> Da
     return rows if as_of is None else rows.where(F.col("session") <= F.lit(as_of).cast("date"))
 
 
+def _documents(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Records of JSON lists, one list per symbol; the symbol is the file's name or its folder's (symbol=...)."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows if "symbol" in rows.columns else rows.withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.json$", 1))
+
+
 def read_actions(spark: SparkSession, path) -> DataFrame:
-    """Adjusting corporate actions from JSON documents (one list per symbol, the symbol in the file name)."""
-    rows = spark.read.schema("subject string, exDate string").option("multiLine", True).json(path)
-    named = rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.json$", 1).alias("symbol"), "*",
-                        F.monotonically_increasing_id().alias("ord"))
+    """Adjusting corporate actions from JSON documents."""
+    named = _documents(spark, path, "subject string, exDate string").withColumn("ord", F.monotonically_increasing_id())
     parsed = named.select("symbol", any_date("exDate").alias("ex_date"), "ord", "subject", action_parts("subject").alias("a"))
     return parsed.where(F.col("a").isNotNull() & F.col("ex_date").isNotNull()).select("symbol", "ex_date", "ord", "a.kind", "a.factor", "subject")
 
 
 def read_results(spark: SparkSession, path) -> DataFrame:
     """Days of board meetings about results from JSON documents."""
-    rows = spark.read.schema("bm_date string, bm_purpose string, bm_desc string").option("multiLine", True).json(path)
+    rows = _documents(spark, path, "bm_date string, bm_purpose string, bm_desc string")
     about = F.lower(F.concat_ws(" ", "bm_purpose", "bm_desc")).contains("result")
-    return (rows.where(about).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.json$", 1).alias("symbol"), any_date("bm_date").alias("event_date"))
+    return (rows.where(about).select("symbol", any_date("bm_date").alias("event_date"))
             .where(F.col("event_date").isNotNull()).distinct())
 
 
@@ -135,6 +140,30 @@ def read_ledger(spark: SparkSession, path) -> DataFrame:
                        F.col("price").try_cast("double").alias("price"), "note")
 
 
+def read_marks(spark: SparkSession, path) -> DataFrame:
+    """Settlement marks of options, one per session and instrument: the first one noted."""
+    rows = raw_csv(spark, path, ["date", "instrument", "settle"]).select(any_date("date").alias("session"), "instrument", F.col("settle").try_cast("double").alias("settle"))
+    return rows.dropna().dropDuplicates(["session", "instrument"])
+
+
+def read_factors(spark: SparkSession, path, names: Sequence[str]) -> DataFrame:
+    """Factor levels by session; an unreadable level is null, a row without a date is left out."""
+    rows = raw_csv(spark, path, ["date", *names])
+    return rows.select(any_date("date").alias("session"), *[parse_number(F.col(n)).alias(n) for n in names]).where(F.col("session").isNotNull())
+
+
+def latest_bill(spark: SparkSession, path, fallback: float) -> DataFrame:
+    """One row: the yield of the latest auction on file, or a fixed one, with the auction's day (null for the fixed one)."""
+    rows = raw_csv(spark, path, ["auction_date", "yield_pct"]).select(any_date("auction_date").alias("day"), F.col("yield_pct").try_cast("double").alias("y")).dropna()
+    return rows.agg(F.coalesce(F.max_by("y", "day"), F.lit(fallback)).alias("yield_pct"), F.max("day").alias("auction_date"))
+
+
+def write_documents(records: DataFrame, path: str) -> None:
+    """(symbol, record) as one JSON list per symbol, a folder each. A symbol has few records."""
+    lists = records.groupBy("symbol").agg(F.to_json(F.sort_array(F.collect_list("record"))).alias("value"))
+    lists.write.mode("overwrite").partitionBy("symbol").text(path)
+
+
 def pledge_share(payload: str) -> Column:
     """Pledged percentage of the latest disclosure in a JSON payload; 0 for an empty list, null for a blank value."""
     data = F.from_json(payload, "data array<struct<shp: string, percPromoterShares: string>>")["data"]
