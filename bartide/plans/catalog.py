@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bartide.session import one_set_of_tables
+
 
 @dataclass(frozen=True)
 class Query:
@@ -19,12 +22,15 @@ class Query:
     columns: str
     build: Callable[[SparkSession, str], DataFrame] = field(repr=False)
     sql: str | None = field(default=None, repr=False)
+    shared: bool = False  # whether its parts read tables that are better computed once
 
     def fields(self) -> list[tuple[str, str]]:
         return [tuple(part.split(":")) for part in self.columns.split()]
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(spark, folder).select(*[_cast(n, k).alias(n) for n, k in self.fields()])
+        with one_set_of_tables() if self.shared else nullcontext():
+            rows = self.build(spark, folder)
+        return rows.select(*[_cast(n, k).alias(n) for n, k in self.fields()])
 
     def oracle(self) -> str | None:
         if self.sql is None:

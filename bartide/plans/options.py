@@ -9,7 +9,7 @@ from bartide.operators import risk as rk
 from bartide.plans import risk as risk_plans
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
-from bartide.session import cut_lineage
+from bartide.session import cut_lineage, once
 from bartide.sources import market as mk
 
 RATE, LOT, VALUE, PRINCIPAL = 0.0555, 50, 9.7e6, 1e7
@@ -17,6 +17,7 @@ HORIZON = "2001-12-10"
 UNITS = 9000.0
 
 
+@once
 def chain(spark, folder):
     return op.with_vol(mk.option_chain(spark, folder), RATE)
 

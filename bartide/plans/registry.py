@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import importlib
+from dataclasses import replace
 
 from bartide.plans.catalog import Query
 
 MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests", "feeds", "landed")
 
 
+#: modules whose queries read bars, members, factors or chains in several places
+SHARED = {"screens", "risk", "options", "ledger", "backtests"}
+
+
 def all_queries() -> list[Query]:
-    found = [q for name in MODULES for q in importlib.import_module(f"bartide.plans.{name}").QUERIES]
+    found = [replace(q, shared=name in SHARED) for name in MODULES for q in importlib.import_module(f"bartide.plans.{name}").QUERIES]
     names = [q.name for q in found]
     assert len(names) == len(set(names)), sorted(n for n in names if names.count(n) > 1)
     return found

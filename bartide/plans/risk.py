@@ -13,7 +13,7 @@ from bartide.plans import prices
 from bartide.plans import weights_sql as ws
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
-from bartide.session import cut_lineage
+from bartide.session import cut_lineage, once
 from bartide.sources import market as mk
 
 RISK_FREE = 0.0555
@@ -21,14 +21,16 @@ WINDOWS = [("all", "1995-01-01", "2001-12-31"), ("2000", "2000-01-01", "2000-12-
 PRINCIPAL, SLEEVE = 1e7, 0.97
 
 
+@once
 def members(spark, folder):
     """Returns of every book member; computed once, read by several branches of a query."""
     bars = cut_lineage(mk.weekly_bars(spark, folder))
     return rk.member_returns(bars, mk.numbered_calendar(bars), mk.books(bars))
 
 
+@once
 def factors(spark, folder):
-    return cut_lineage(prices.factor_table(spark, folder))
+    return prices.factor_table(spark, folder)
 
 
 def portfolio_return(spark, folder):

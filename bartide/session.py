@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RANK_BUCKETS_KEY = "spark.bartide.rank.buckets"
 
@@ -35,9 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
+_tables: ContextVar[dict | None] = ContextVar("tables of the query being built", default=None)
+
+
+@contextmanager
+def one_set_of_tables() -> Iterator[None]:
+    """While a query is built here, functions marked `once` compute their table a single time."""
+    token = _tables.set({})
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+
+
+def once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that several parts of a query read: checkpointed at its first use within `one_set_of_tables`, plain elsewhere."""
+    @wraps(build)
+    def table(spark: SparkSession, folder: str) -> DataFrame:
+        tables = _tables.get()
+        if tables is None:
+            return build(spark, folder)
+        key = (build.__module__, build.__name__, folder)
+        if key not in tables:
+            tables[key] = cut_lineage(build(spark, folder))
+        return tables[key]
+    return table
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder: what is read several times is computed once, and a lost executor
-    does not replay the whole plan."""
+    does not replay the whole plan. A table that is cut already stays as it is."""
+    if any(df is known for known in (_tables.get() or {}).values()):
+        return df
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bartide.session import once
+
 BOOK_SIZE = 8  # symbols of one portfolio: bounds every per-portfolio matrix
 
 
@@ -62,6 +64,7 @@ def bars_from_ticks(ticks: DataFrame, *keys: str) -> DataFrame:
         F.sum("delivered").alias("deliv_qty"), F.count(F.lit(1)).alias("trades"))
 
 
+@once
 def weekly_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Weekly bars per supplier symbol with the previous close; one row per (symbol, session)."""
     bars = bars_from_ticks(price_ticks(spark, folder), "suppkey")
@@ -109,6 +112,7 @@ def books(bars: DataFrame) -> DataFrame:
                        (F.col("value") / F.sum("value").over(Window.partitionBy("portfolio"))).alias("weight"))
 
 
+@once
 def fundamentals(spark: SparkSession, folder: str) -> DataFrame:
     """Nullable ratios per symbol from the line items; every seventh symbol misses roce and debt_to_equity."""
     rows = table(spark, folder, "lineitem")
