@@ -37,28 +37,38 @@ def company_years(spark, folder):
 
 
 def company_pages(spark, folder):
-    """HTML page per symbol built from its yearly figures; every third symbol has a trailing TTM column."""
+    """HTML page per symbol built from its yearly figures. Every third symbol has a trailing TTM column with figures of its own; some
+    list items and growth cells have no number."""
     figures = ["sales", "operating", "interest", "before_tax", "cash", "roce", "debt"]
     years = company_years(spark, folder).groupBy("suppkey").agg(F.array_sort(F.collect_list(F.struct("year", *figures))).alias("y"))
     ttm = F.col("suppkey") % 3 == 0
 
-    def cells(name, extra=False):
+    def cells(name, extra=None):
         shown = F.transform("y", lambda r: F.concat(F.lit("<td>"), F.format_number(r[name], 1), F.lit("</td>")))
         joined = F.array_join(shown, "")
-        return F.concat(joined, F.when(ttm, F.lit("<td>9,999.9</td>")).otherwise("")) if extra else joined
+        twelve = F.concat(F.lit("<td>"), F.format_number(F.element_at("y", -1)[name] + F.lit(extra), 1), F.lit("</td>"))
+        return joined if extra is None else F.concat(joined, F.when(ttm, twelve).otherwise(""))
 
-    def row(title, name, extra=False):
+    def item(title, number):
+        return F.concat(F.lit(f'<li class="flex"> <span class="name"> {title} </span><span class="value"><span class="number">'), F.coalesce(number, F.lit("")), F.lit("</span></span></li>"))
+
+    def growth(title, three):
+        return F.concat(F.lit(f'<table class="ranges-table"><tbody><tr><th colspan="2">Compounded {title} Growth</th></tr><tr><td>10 Years:</td><td>99%</td></tr><tr><td>3 Years:</td><td>'),
+                        three, F.lit("</td></tr></tbody></table>"))
+
+    def row(title, name, extra=None):
         return F.concat(F.lit(f'<tr class="stripe"><td class="text">{title}</td>'), cells(name, extra), F.lit("</tr>"))
 
     heads = F.array_join(F.transform("y", lambda r: F.concat(F.lit("<th>Mar "), r["year"].cast("string"), F.lit("</th>"))), "")
     last = F.element_at("y", -1)
     html = F.concat(
-        F.lit('<html><body><ul id="top-ratios"><li class="flex"> <span class="name"> Market Cap </span><span class="value">₹ <span class="number">'),
-        F.format_number(F.aggregate(F.transform("y", lambda r: r["sales"]), F.lit(0.0), lambda a, v: a + v), 1),
-        F.lit('</span></span></li><li> <span class="name">ROCE</span><span class="number">'), F.format_number(last["roce"], 1), F.lit("</span></li></ul>"),
+        F.lit('<html><body><ul id="top-ratios">'), item("Market Cap", F.format_number(F.aggregate(F.transform("y", lambda r: r["sales"]), F.lit(0.0), lambda a, v: a + v), 1)),
+        item("Current Price", F.when(F.col("suppkey") % 4 != 0, F.format_number(last["debt"], 1))), item("ROCE 3Yr", F.lit("77.7")), item("ROCE", F.format_number(last["roce"], 1)),
+        item("ROE", F.format_number(last["roce"] + 1, 1)), F.lit("</ul>"),
+        growth("Sales", F.concat(F.format_number(last["cash"], 1), F.lit("%"))), growth("Profit", F.when(F.col("suppkey") % 5 != 0, F.concat(F.format_number(last["interest"], 1), F.lit("%"))).otherwise("%")),
         F.lit('<section id="profit-loss"><table><thead><tr><th></th>'), heads, F.when(ttm, F.lit("<th>TTM</th>")).otherwise(""), F.lit("</tr></thead><tbody>"),
-        row("<button>Sales&nbsp;<span>+</span></button>", "sales", True), row("Operating Profit", "operating", True), row("Interest", "interest", True),
-        row("Profit before tax", "before_tax", True), F.lit("</tbody></table></section>"),
+        row("<button>Sales&nbsp;<span>+</span></button>", "sales", 10.0), row("Operating Profit", "operating", 3.0), row("Interest", "interest", 5000.0),
+        row("Profit before tax", "before_tax", 7000.0), F.lit("</tbody></table></section>"),
         F.lit('<section id="balance-sheet"><table><tbody>'), row("Equity Capital", "interest"), row("Reserves", "operating"), row("Borrowings +", "debt"), F.lit("</tbody></table></section>"),
         F.lit('<section id="cash-flow"><table><tbody>'), row("Cash from Operating Activity +", "cash"), F.lit("</tbody></table></section>"),
         F.lit('<section id="ratios"><table><tbody>'), row("ROCE %", "roce"), F.lit("</tbody></table></section></body></html>"))
@@ -238,11 +248,12 @@ SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, regex
   FROM (SELECT page_id, {_TAGLESS} AS t FROM pages)))"""
 
 QUERIES = [
-    Query("company_page_metrics", "S10 X19", "symbol:s market_cap:1 roce:1 roce_3yr_avg:2 operating_cash_flow:1 operating_cash_flow_3yr:2 interest_coverage:2 debt_to_equity:2 opm:2", company_metrics, with_tables(f"""
-SELECT {SYMBOL.format('suppkey')} AS symbol, sum(sales) AS market_cap, max(roce) FILTER (k = 1) AS roce, round_even(avg(roce) FILTER (k <= 3), 2) AS roce_3yr_avg, max(cash) FILTER (k = 1) AS operating_cash_flow,
+    Query("company_page_metrics", "S10 X19", "symbol:s market_cap:1 current_price:1 roe:1 sales_growth_3yr:1 profit_growth_3yr:1 roce:1 roce_3yr_avg:2 operating_cash_flow:1 operating_cash_flow_3yr:2 interest_coverage:2 debt_to_equity:2 opm:2", company_metrics, with_tables(f"""
+SELECT {SYMBOL.format('suppkey')} AS symbol, sum(sales) AS market_cap, CASE WHEN suppkey % 4 <> 0 THEN max(debt) FILTER (k = 1) END AS current_price, max(roce) FILTER (k = 1) + 1 AS roe, max(cash) FILTER (k = 1) AS sales_growth_3yr,
+  CASE WHEN suppkey % 5 <> 0 THEN max(interest) FILTER (k = 1) END AS profit_growth_3yr, max(roce) FILTER (k = 1) AS roce, round_even(avg(roce) FILTER (k <= 3), 2) AS roce_3yr_avg, max(cash) FILTER (k = 1) AS operating_cash_flow,
   CASE WHEN count(*) >= 3 THEN round_even(sum(cash) FILTER (k <= 3), 2) END AS operating_cash_flow_3yr, CASE WHEN max(interest) FILTER (k = 1) > 0 THEN round_even((max(before_tax) FILTER (k = 1) + max(interest) FILTER (k = 1)) / max(interest) FILTER (k = 1), 2) END AS interest_coverage,
   round_even(max(debt) FILTER (k = 1) / (max(interest) FILTER (k = 1) + max(operating) FILTER (k = 1)), 2) AS debt_to_equity,
-  CASE WHEN suppkey % 3 = 0 THEN 100.0 ELSE round_even(max(operating) FILTER (k = 1) / max(sales) FILTER (k = 1) * 100, 2) END AS opm FROM years GROUP BY suppkey""", years=YEARS_SQL)),
+  round_even((max(operating) FILTER (k = 1) + CASE WHEN suppkey % 3 = 0 THEN 3 ELSE 0 END) / (max(sales) FILTER (k = 1) + CASE WHEN suppkey % 3 = 0 THEN 10 ELSE 0 END) * 100, 2) AS opm FROM years GROUP BY suppkey""", years=YEARS_SQL)),
     Query("pledge_disclosures", "S8 X18", "orderkey:i pledged_pct:2", pledges, """
 SELECT l_orderkey AS orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 0.0 ELSE CASE WHEN arg_min(l_linenumber, (-epoch(l_shipdate), l_linenumber, l_suppkey, l_partkey)) = 6 THEN NULL
   ELSE arg_min(round(l_discount * 100, 2), (-epoch(l_shipdate), l_linenumber, l_suppkey, l_partkey)) END END AS pledged_pct FROM lineitem GROUP BY 1"""),
