@@ -210,13 +210,15 @@ def latest_betas(series: DataFrame, index: DataFrame, key: str, window: int = 24
 
 def pairwise_covariance(members: DataFrame, min_rows: int = 60, sessions: int = TRADING_DAYS) -> DataFrame:
     """(portfolio, i, j, cov, overlap): annualised covariance of each ordered pair of a book's members, both orders and
-    the diagonal, null with too few common sessions. The members of one session form a short list (a book is bounded),
-    so the pairs come without a self-join."""
-    lists = members.groupBy("portfolio", "session").agg(F.collect_list(F.struct("symbol", "ret")).alias("all"))
-    pairs = lists.select("portfolio", F.explode("all").alias("a"), "all").select("portfolio", "a", F.explode("all").alias("b"))
-    return pairs.groupBy("portfolio", F.col("a.symbol").alias("i"), F.col("b.symbol").alias("j")).agg(
-        F.count(F.lit(1)).alias("overlap"), (F.covar_samp("a.ret", "b.ret") * sessions).alias("_cov")).select(
-        "portfolio", "i", "j", "overlap", F.when(F.col("overlap") >= min_rows, F.col("_cov")).alias("cov"))
+    the diagonal, null with too few common sessions. A self-join by book and session forms each pair once."""
+    one = members.select("portfolio", "session", F.col("symbol").alias("i"), F.col("ret").alias("_x"))
+    other = members.select("portfolio", "session", F.col("symbol").alias("j"), F.col("ret").alias("_y"))
+    pairs = one.join(other, ["portfolio", "session"]).where("i <= j").groupBy("portfolio", "i", "j").agg(
+        F.count(F.lit(1)).alias("overlap"), (F.covar_samp("_x", "_y") * sessions).alias("_cov"))
+    half = pairs.select("portfolio", "i", "j", "overlap", F.when(F.col("overlap") >= min_rows, F.col("_cov")).alias("cov"))
+    mirrored = half.select("portfolio", "overlap", "cov", F.inline(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+                                                                   .otherwise(F.array(F.struct("i", "j")))))
+    return mirrored.select("portfolio", "i", "j", "overlap", "cov")
 
 
 def risk_shares(covariance: DataFrame, weights: DataFrame, weight: str = "weight") -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_MEMBERS = 500
+
+
 def inverse_volatility(members: DataFrame, by: Sequence[str] = ("portfolio",)) -> DataFrame:
     """Weights proportional to 1 / volatility; equal weights where a member has no volatility."""
     vol = members.groupBy(*by, "symbol").agg(F.stddev_samp("ret").alias("vol"))
@@ -160,8 +163,12 @@ def tangency_column(cov: Column, mu: Column, risk_free: Column) -> Column:
 
 
 def gathered(covariance: DataFrame, by: Sequence[str] = ("portfolio",)) -> DataFrame:
-    """One row per book: `symbols` in order and the flat covariance matrix. A book has few members by definition."""
-    cells = covariance.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))).alias("_cells"))
+    """One row per book: `symbols` in order and the flat covariance matrix. A book of more than MOST_MEMBERS is an error: its
+    matrix does not belong in one row."""
+    sizes = covariance.groupBy(*by, "i").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.count(F.lit(1)).alias("_members"))
+    fits = F.when(F.col("_members") > MOST_MEMBERS, F.raise_error(F.lit(f"a book has more than {MOST_MEMBERS} members"))).otherwise(F.lit(True))
+    small = covariance.join(sizes.where(fits.cast("boolean")).select(*by), list(by), "left_semi")
+    cells = small.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))).alias("_cells"))
     return cells.select(*by, F.array_distinct(F.transform("_cells", lambda c: c["i"])).alias("symbols"),
                         F.transform("_cells", lambda c: c["cov"]).alias("cov"))
 

@@ -112,13 +112,13 @@ def sweep(spark, folder):
 
 
 def consistency(spark, folder):
-    """Assertion: the run-up table and the review table agree on the 63-session strength; no rows when they do.
+    """Assertion: the sweep (from the review's chained path) and a fresh 63-session strength agree; no rows when they do.
 
-    One symbol per sector is shifted on purpose, so that the comparison has something to report."""
+    The picks, which the sweep leaves out, and symbols ending in 07, which are shifted on purpose, are what it reports."""
     bars = stored_bars(spark, folder)
     fresh = ind.spreads(ind.paired_sessions(bars, mk.benchmark(bars)), {"63": 63})
     odd = fresh.withColumn("rs_63", F.when(F.substring("symbol", -2, 2) == "07", F.col("rs_63") + 0.02).otherwise(F.col("rs_63")))
-    return sc.disagreements(ind.technical_summary(bars, mk.benchmark(bars)), odd, "symbol", "rs_63")
+    return sc.disagreements(sweep(spark, folder), odd, "symbol", "rs_63")
 
 
 def quality(spark, folder):
@@ -277,9 +277,10 @@ FROM listed l LEFT JOIN spread10 a ON a.symbol = l.symbol LEFT JOIN spread63 b O
     Query("candidate_sweep", "Q6 J10", "symbol:s sector:s passed_count:i rs_63:2 clean:b technically_attractive:b recent_spike:b sector_rank:i next_date:d basis:s clean_candidate:b", sweep, with_tables("""
 SELECT r.*, d.next_date, d.basis, coalesce(clean AND technically_attractive AND NOT recent_spike, false) AS clean_candidate FROM review r LEFT JOIN result_dates d ON d.symbol = r.symbol
 WHERE r.symbol NOT IN (SELECT symbol FROM picks)""")),
-    Query("table_consistency", "J16", "symbol:s a:2 b:2", consistency, with_tables("""
-SELECT symbol, rs AS a, rs + 0.02 AS b FROM spread63 WHERE right(symbol, 2) = '07' UNION ALL
-SELECT s.symbol, NULL, NULL FROM spread63 s WHERE false""")),
+    Query("table_consistency", "J16 Q6", "symbol:s a:2 b:2", consistency, with_tables("""
+SELECT coalesce(s.symbol, f.symbol) AS symbol, s.rs_63 AS a, f.rs AS b FROM (SELECT symbol, rs_63 FROM review WHERE symbol NOT IN (SELECT symbol FROM picks)) s
+FULL JOIN (SELECT symbol, rs + CASE WHEN right(symbol, 2) = '07' THEN 0.02 ELSE 0 END AS rs FROM spread63) f ON f.symbol = s.symbol
+WHERE abs(s.rs_63 - f.rs) > 0.011 OR (s.rs_63 IS NULL) <> (f.rs IS NULL)""")),
     Query("quality_score", "Q9 W9", "symbol:s score:6 position:i", quality, with_tables("""
 SELECT symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS position FROM (SELECT symbol, (coalesce(roce_r, 0.5) + coalesce(opm_r, 0.5) + coalesce(p_r, 0.5) + coalesce(s_r, 0.5) + coalesce(d_r, 0.5)) / 5 AS score
 FROM (SELECT symbol, """ + ", ".join(
