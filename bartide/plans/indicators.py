@@ -110,7 +110,7 @@ def _renamed(text: str, names: dict[str, str]) -> str:
     return text
 
 
-def _stops_sql() -> str:
+def stops_sql() -> str:
     from bartide.plans.market_sql import CTES
 
     names = {n: f"{n}_old" for n in ("osc_in", "etr_in", "atr_rec", "last_atr", "levels")}
@@ -181,5 +181,5 @@ UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, 'N/A (Insufficient Data)'
 SELECT symbol, count(*) AS observations, stddev_samp(ret) AS session_vol, stddev_samp(ret) * sqrt(252.0) AS annual_vol, avg(ret) * 252 AS annual_mean
 FROM (SELECT symbol, close / prev_close - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS k FROM bars WHERE prev_close > 0)
 WHERE k <= 252 GROUP BY 1""")),
-    Query("stop_levels", "T13", "symbol:s price:4 atr:6 support:2 stop:6 method:s stop_old:6 final_stop:6 final_method:s", stops_frame, _stops_sql()),
+    Query("stop_levels", "T13", "symbol:s price:4 atr:6 support:2 stop:6 method:s stop_old:6 final_stop:6 final_method:s", stops_frame, stops_sql()),
 ]

@@ -12,6 +12,7 @@ from bartide.operators.rolling import back, latest
 from bartide.plans import prices
 from bartide.plans import weights_sql as ws
 from bartide.plans.catalog import Query
+from bartide.plans.indicators import stops_frame, stops_sql
 from bartide.plans.market_sql import define, with_tables
 from bartide.session import cut_lineage, once
 from bartide.sources import market as mk
@@ -214,6 +215,13 @@ def risk_summary(spark, folder):
                             "stop_below_pct": (F.col("current_price") - F.col("stop")) / F.col("current_price") * 100})
 
 
+def full_summary(spark, folder):
+    """The risk summary with each holding's share of the book's variance and its stop trailed against the one set before."""
+    share = risk_shares(spark, folder).select("portfolio", "symbol", F.col("share").alias("risk_share"))
+    trailed = stops_frame(spark, folder).select("symbol", F.col("stop_old").alias("previous_stop"), F.col("final_stop").alias("trailed_stop"), F.col("final_method").alias("trailed_by"))
+    return risk_summary(spark, folder).join(share, ["portfolio", "symbol"], "left").join(trailed, "symbol", "left")
+
+
 def reward_risk(spark, folder):
     """Upside of one standard deviation over 63 sessions against the distance to the stop, per holding and per book."""
     rows = risk_summary(spark, folder)
@@ -337,6 +345,9 @@ define("rr_stock", """
 SELECT portfolio, symbol, annual_vol * 100 * sqrt(63 / 252) AS upside_pct, stop_below_pct AS downside_pct, invested AS value, (resistance / current_price - 1) * 100 AS first_hurdle_pct,
   invested * annual_vol * sqrt(63 / 252) AS upside_inr, invested * stop_below_pct / 100 AS downside_inr FROM risk_sum""")
 
+SHARES_SQL = """
+SELECT portfolio, symbol, weight, weight * mg / sum(weight * mg) OVER (PARTITION BY portfolio) AS share FROM (SELECT c.portfolio, c.i AS symbol, any_value(bi.weight) AS weight, sum(c.cov * bj.weight) AS mg
+FROM cov252 c JOIN books bi ON bi.symbol = c.i JOIN books bj ON bj.symbol = c.j GROUP BY 1, 2)"""
 # books in SQL: covariances at the rebalance dates, and over all sessions with means and the rate
 REBALANCED = {
     "rkeyed": """SELECT portfolio || '-' || rebalance AS k, portfolio, rebalance, symbol, session, ret FROM (
@@ -389,9 +400,7 @@ QUALIFY row_number() OVER (PARTITION BY portfolio, benchmark ORDER BY p.session
 SELECT symbol, count(*) AS days, CASE WHEN count(*) > 20 THEN covar_samp(ret, m) / var_samp(m) END AS beta FROM (SELECT r.symbol, r.ret, f.large_ret AS m FROM rets r JOIN fx f ON f.session = r.session WHERE large_ret IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY r.session DESC) <= 245) GROUP BY 1""")),
     Query("pairwise_covariance", "R13 J13", "portfolio:i i:s j:s overlap:i cov:8", covariance, with_tables("SELECT * FROM cov252")),
-    Query("risk_contributions", "R14", "portfolio:i symbol:s weight:6 share:6", risk_shares, with_tables("""
-SELECT portfolio, symbol, weight, weight * mg / sum(weight * mg) OVER (PARTITION BY portfolio) AS share FROM (SELECT c.portfolio, c.i AS symbol, any_value(bi.weight) AS weight, sum(c.cov * bj.weight) AS mg
-FROM cov252 c JOIN books bi ON bi.symbol = c.i JOIN books bj ON bj.symbol = c.j GROUP BY 1, 2)""")),
+    Query("risk_contributions", "R14", "portfolio:i symbol:s weight:6 share:6", risk_shares, with_tables(SHARES_SQL)),
     Query("value_at_risk", "R15 G9 G10", "portfolio:i sessions:i value:2 parametric_95:2 parametric_99:2 parametric_95_horizon:2 historical_95:2 historical_99:2 cvar_95:2 cvar_99:2 diversification:2 parametric_95_pct:5",
           var_summary, with_tables(var_sql("var_days", "var_parts", VALUE_SQL))),
     Query("var_components", "R15", "portfolio:i symbol:s x:2 standalone:2 marginal:7 component:2 share_pct:4", var_components, with_tables("SELECT * FROM var_parts")),
@@ -423,7 +432,9 @@ SELECT m.portfolio, sd * 100 AS volatility_pct, mu * 100 AS mean_return_pct, (mu
 FROM (SELECT portfolio, avg(m) AS mu, count(*) AS k FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) m
 JOIN (SELECT portfolio, sqrt(avg(c)) AS sd FROM (SELECT a.portfolio, a.symbol, b.symbol AS s2, covar_samp(a.ret, b.ret) * 252 AS c FROM rets a JOIN rets b ON b.portfolio = a.portfolio AND b.session = a.session GROUP BY 1, 2, 3) GROUP BY 1) s ON s.portfolio = m.portfolio
 CROSS JOIN (SELECT avg(rate_ret) * 252 AS rf FROM fx) r""")),
-    Query("risk_summary", "R20 L5", "portfolio:i symbol:s current_price:4 annual_vol:6 annual_mean:6 weight:6 shares:i invested:2 atr:5 stop:5 stop_below_pct:4 method:s", risk_summary, with_tables("SELECT * FROM risk_sum")),
+    Query("risk_summary", "R20 L5", "portfolio:i symbol:s current_price:4 annual_vol:6 annual_mean:6 weight:6 shares:i invested:2 atr:5 stop:5 stop_below_pct:4 method:s risk_share:6 previous_stop:5 trailed_stop:5 trailed_by:s", full_summary, with_tables(f"""
+SELECT r.*, c.share AS risk_share, t.stop_old AS previous_stop, t.final_stop AS trailed_stop, t.final_method AS trailed_by FROM risk_sum r LEFT JOIN ({SHARES_SQL}) c ON c.portfolio = r.portfolio AND c.symbol = r.symbol
+LEFT JOIN ({stops_sql()}) t ON t.symbol = r.symbol""")),
     Query("reward_risk_table", "R7", "portfolio:i symbol:s upside_pct:4 downside_pct:4 value:2 first_hurdle_pct:4 upside_inr:2 downside_inr:2 reward_risk:4 loss_at_stop_pct:5", reward_risk, with_tables("""
 SELECT *, upside_inr / downside_inr AS reward_risk, downside_inr / 1e7 * 100 AS loss_at_stop_pct FROM (SELECT * FROM rr_stock UNION ALL
 SELECT portfolio, 'PORTFOLIO', sum(upside_inr) / sum(value) * 100, sum(downside_inr) / sum(value) * 100, sum(value), NULL, sum(upside_inr), sum(downside_inr) FROM rr_stock GROUP BY portfolio
