@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bartide.session import shared_folder
 
 #: bytes of text that are held as numpy arrays at a time (about sixty times as many bytes of memory)
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 #: a key is heavy if it holds more than one row in so many; so there are never more heavy keys than this
 HEAVY_SHARE = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -126,7 +126,7 @@ def word_spans(data: np.ndarray, start: int, end: int, kind: str = "plain") -> t
     begins, ends = edges[0::2], edges[1::2]
     if not len(begins):
         return np.zeros(0, np.uint64), begins, ends
-    size = 1 << max(21, int(len(part)).bit_length())
+    size = 1 << max(20, int(len(part)).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(part) + 1, np.uint64)
     part = value[part]

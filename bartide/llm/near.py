@@ -28,6 +28,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 24, 5
 #: candidates whose registers agree less are dropped before the bags are fetched: more than five standard errors below the threshold
 LEAST_AGREEMENT = 0.6
+#: texts whose shingles are held as arrays together
+TEXTS_AT_ONCE = 400
 #: bytes of shingles in one block of a bucket
 BLOCK_BYTES = 1 << 20
 
@@ -71,8 +73,8 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, text
 
 def sign_batches(batches: Iterator[pa.RecordBatch], bands: int, band_rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
             rows, value, weight = bags(part.column(1))
             sign = signatures(rows, value, weight, part.num_rows, bands * band_rows)
             some = np.bincount(rows, minlength=part.num_rows) > 0
@@ -90,8 +92,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch], bands: int, band_rows: int)
 def bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, bag (sorted shingles, four bytes each), weights (four bytes each; null where all are 1)."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
             rows, value, weight = bags(part.column(1))
             short = (value >> np.uint64(32)).astype(np.uint32)
             ends = np.cumsum(np.bincount(rows, minlength=part.num_rows))
