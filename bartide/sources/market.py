@@ -92,6 +92,7 @@ def benchmark(bars: DataFrame) -> DataFrame:
     return bars.groupBy("session").agg((F.sum("turnover") / F.sum("qty")).alias("bench"))
 
 
+@once
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """(symbol, suppkey, company, sector): the sector is the region of the supplier's nation."""
     nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
