@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bartide.operators import indicators as ind
 from bartide.operators import risk as rk
 from bartide.operators import weights as wt
-from bartide.operators.rolling import back, latest
+from bartide.operators.rolling import back
 from bartide.plans import prices
 from bartide.plans import weights_sql as ws
 from bartide.plans.catalog import Query

@@ -48,6 +48,29 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in frame.collect()) == sorted(tuple(plain(r[p]) for p in places) for r in answer.fetchall())
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", ["last_tick_per_day", "upserted_rates", "latest_rates", "intraday_bars"])
+def test_raw_rows_are_hashed_and_not_sorted(spark, name):
+    plan = plan_of(registry.by_name()[name].run(spark, FOLDER))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_price_folders_are_pruned_by_year(spark):
+    plan = plan_of(registry.by_name()["price_files"].run(spark, FOLDER))
+    assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", ["minimum_variance_weights", "equal_risk_weights", "hedged_value_at_risk", "risk_summary", "table_consistency", "action_files", "day_files", "page_texts"])
+def test_newer_queries_equal_sql(spark, name):
+    test_query_equals_sql(spark, name)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_bars_stay_in_hash_aggregates(spark):
     plan = registry.by_name()["price_bars"].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
