@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from bartide.llm.common import texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: matches that a worker remembers; beyond, it starts anew (memory, never the result)
+#: matches in each of the two generations that a worker remembers (memory, never the result)
 MEMORY = 200_000
 #: texts whose ids are held together
 TEXTS_AT_ONCE = 1000
@@ -88,22 +88,29 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_remembered: dict[str, str] = {}
+_young: dict[str, str] = {}
+_old: dict[str, str] = {}
+
+
+def _looked_up(token: str, ranks: dict[bytes, int]) -> str:
+    """Ids of a match that the young generation does not hold. What is met again moves there, so that frequent matches stay
+    when the old generation is given up."""
+    got = _old.get(token)
+    if got is None:
+        got = ",".join(map(str, encode_piece(token.encode("utf-8"), ranks)))
+    if len(_young) >= MEMORY:
+        _old.clear()
+        _old.update(_young)
+        _young.clear()
+    if len(token) < 200:
+        _young[token] = got
+    return got
 
 
 def encode_text(text: str, ranks: dict[bytes, int], find) -> str:
     """Decimal ids joined by commas."""
-    parts = []
-    for token in find(text):
-        got = _remembered.get(token)
-        if got is None:
-            got = ",".join(map(str, encode_piece(token.encode("utf-8"), ranks)))
-            if len(_remembered) >= MEMORY:
-                _remembered.clear()
-            if len(token) < 200:
-                _remembered[token] = got
-        parts.append(got)
-    return ",".join(parts)
+    get = _young.get
+    return ",".join([get(token) or _looked_up(token, ranks) for token in find(text)])
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
