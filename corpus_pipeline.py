@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; documents of which no word is left go."""
     spans = stored(units.repeated_passages(docs))
-    left = units.without_spans(docs.withColumn("n_chars", F.col("n_chars").cast("long")), spans)
+    left = stored(units.without_spans(docs.withColumn("n_chars", F.col("n_chars").cast("long")), spans))
+    left = units.without_spans(left, stored(units.repeated_windows(left)))
     some = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.coalesce(F.col("n_chars"), F.lit(0)) == F.coalesce(F.length("text"), F.lit(0)))
     return left.where(some).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

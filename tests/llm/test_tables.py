@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,38 @@ def test_cut_texts(spark):
     assert units.repeated_passages(docs.limit(0)).count() == 0
 
 
+def brute_windows(texts, least):
+    """{(doc_id, start, end)} by a table of all windows of `least` words, in order of doc_id."""
+    seen, out = set(), set()
+    for doc in sorted(texts):
+        spots = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[doc] or "")]
+        windows = [tuple(w for _, _, w in spots[i:i + least]) for i in range(len(spots) - least + 1)]
+        held = sorted({i + k for i, w in enumerate(windows) if w in seen for k in range(least)})
+        for first in (i for i in held if i - 1 not in held):
+            last = first
+            while last + 1 in held:
+                last += 1
+            out.add((doc, spots[first][0], spots[last][1]))
+        seen |= set(windows)
+    return out
+
+
+def test_passages_that_begin_and_end_inside_sentences(spark, tmp_path):
+    rng = random.Random(31)
+    draw = lambda n: " ".join(rng.choice(["é", "W", "x"]) + str(rng.randrange(400)) for _ in range(n))
+    passage = f"{draw(20)}. {draw(22)}! {draw(18)}"
+    texts = {i: f"{draw(rng.randrange(20, 90))}. {draw(30)}" for i in range(30)}
+    texts |= {40: f"{draw(9)} {passage} {draw(9)}.", 41: f"{draw(30)} {passage.upper()}\t{draw(30)}.", 42: draw(130), 44: None, 45: "", 46: "loop " * 200, 47: "loop " * 120 + "end"}
+    texts |= {43: " ".join(texts[42].split()[20:90]) + " " + draw(8) + " " + passage + " " + " ".join(texts[42].split()[60:115]), 48: passage.replace(" ", "  ", 5)[:-4]}
+    docs = frame(spark, [*texts.items(), (43, texts[43]), (None, texts[42])])
+    expected = brute_windows({i: t for i, t in texts.items()}, units.WINDOW_WORDS)
+    assert {d for d, _, _ in expected} == {41, 43, 47, 48}
+    rows = units.repeated_windows(docs).collect()
+    assert {(r.doc_id, r.start, r.end) for r in rows} == expected and len(rows) == len(expected)
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, frame(spark, texts), str(tmp_path)).collect()}
+    assert passage in left[40] and len(left[41].split()) == 60 and left[42] == texts[42]
+
+
 # ---- chat
 
 def brute_examples(turns, pairs):
