@@ -8,7 +8,7 @@ computed from the whole bags, decides.
 
 No pair of copies is formed: equal texts share a representative; texts in one bucket are compared with three leaders of the
 bucket; then only those outside the largest class of their bucket are compared with the rest of it, in blocks of bounded
-size, as products of 0/1 matrices. That yields the classes of the graph of all similar candidates.
+size, as products of matrices. That yields the classes of the graph of all similar candidates.
 """
 
 from __future__ import annotations
@@ -150,7 +150,11 @@ def verify_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
 
 
 def block_links(block: pa.Table, threshold: float) -> pa.Table:
-    """One link from each text of the first side to each class of the second side that holds a similar text."""
+    """One link from each text of the first side to each class of the second side that holds a similar text.
+
+    Probability Jaccard is at most the sum of min(p_i, q_i) of the shares p and q, so at most the sum of sqrt(p_i * q_i): the
+    product of the square roots of the weights, which for bags without weights is the number of common shingles. Every
+    pair with weights that reaches the threshold there is verified."""
     first = block["first"].to_numpy(zero_copy_only=False)
     sides = [block.filter(pa.array(first)), block.filter(pa.array(~first))]
     if not sides[0].num_rows or not sides[1].num_rows:
@@ -158,26 +162,29 @@ def block_links(block: pa.Table, threshold: float) -> pa.Table:
     bags_ = [[_whole(x) for x in s["bag"].to_pylist()] for s in sides]
     weights = [[_whole(x) for x in s["weights"].to_pylist()] for s in sides]
     sizes = [np.array([len(x) for x in b]) for b in bags_]
+    roots = [[np.ones(len(x), np.float32) if w is None else np.sqrt(w, dtype=np.float32) for x, w in zip(b, ws)] for b, ws in zip(bags_, weights)]
+    totals = [np.array([float(len(x)) if w is None else float(w.sum(dtype=np.uint64)) for x, w in zip(b, ws)]) for b, ws in zip(bags_, weights)]
     columns = np.unique(np.concatenate(bags_[0]))
     spots = []
-    for own, size in zip(bags_, sizes):
+    for own, root, size in zip(bags_, roots, sizes):
         flat = np.concatenate(own)
         place = np.searchsorted(columns, flat)
         place[place == len(columns)] = 0
         hit = columns[place] == flat if len(columns) else np.zeros(len(flat), bool)
-        spots.append((np.repeat(np.arange(len(own)), size)[hit], place[hit]))
+        spots.append((np.repeat(np.arange(len(own)), size)[hit], place[hit], np.concatenate(root)[hit]))
     n, m = len(bags_[0]), len(bags_[1])
     common = np.zeros((n, m), np.float32)
     tile = max((1 << 23) // max(n, m), 1)
     for low in range(0, len(columns), tile):
         dense = []
-        for (r, c), rows in zip(spots, (n, m)):
+        for (r, c, value), rows in zip(spots, (n, m)):
             inside = (c >= low) & (c < low + tile)
             matrix = np.zeros((rows, min(tile, len(columns) - low)), np.float32)
-            matrix[r[inside], c[inside] - low] = 1
+            matrix[r[inside], c[inside] - low] = value[inside]
             dense.append(matrix)
         common += dense[0] @ dense[1].T
-    share = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
+    share = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)  # of pairs without weights
+    bound = common / np.sqrt(np.maximum(totals[0][:, None] * totals[1][None, :], 1))
     plain = [np.array([w is None for w in ws]) for ws in weights]
     classes = [s["component"].to_numpy() for s in sides]
     ids = [s["doc_id"].to_numpy() for s in sides]
@@ -187,7 +194,7 @@ def block_links(block: pa.Table, threshold: float) -> pa.Table:
     _, number = np.unique(classes[1], return_inverse=True)
     _, one = np.unique(pairs[:, 0] * (number.max() + 1) + number[pairs[:, 1]], return_index=True)
     links = {(int(i), int(classes[1][j])): int(j) for i, j in pairs[one]}
-    for i, j in np.argwhere((share >= threshold / 2) & apart & ~both_plain):
+    for i, j in np.argwhere((bound >= threshold - 1e-3) & apart & ~both_plain):  # single precision
         key = (int(i), int(classes[1][j]))
         if key not in links and similarity(bags_[0][i], weights[0][i], bags_[1][j], weights[1][j]) >= threshold - 1e-12:
             links[key] = int(j)

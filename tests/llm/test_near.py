@@ -71,6 +71,19 @@ def test_classes_equal_all_pairs(spark, corpus):
     assert all(r.kept == (r.doc_id == r.class_id) for r in found.values())
 
 
+def test_block_of_repeated_lines_equals_all_pairs():
+    rng = random.Random(9)
+    draw = lambda n: " ".join(f"b{rng.randrange(10**6)}" for _ in range(n))
+    line, base = draw(12), draw(90)
+    texts = ["\n".join([line] * 100) + "\n" + draw(n) for n in [40] * 8 + [5, 90, 200, 240, 280, 600, 900]]
+    texts += [base, base + " " + draw(3), base + " " + draw(60), line, line + " " + draw(1)]
+    bags, columns = [bag(t) for t in texts], list(near.bag_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])))[0]
+    blocks = [pa.Table.from_batches([columns]).append_column("component", pa.array(range(len(texts)))).append_column("first", pa.array([first] * len(texts))) for first in (True, False)]
+    found = near.block_links(pa.concat_tables(blocks), 0.8).to_pydict()
+    expected = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and exact(bags[a], bags[b]) >= 0.8}
+    assert set(zip(found["a"], found["b"])) == expected and len(expected) > 56
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (None, "x")]
     found = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
