@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bartide.llm import bytebpe, chat, lattice, leaks, near, quality, sharding, tokens, toxicity, units
+from bartide.llm import bytebpe, chat, langid, lattice, leaks, merkle, near, quality, sharding, tokens, toxicity, trie, units
 from bartide.llm.common import documents
 
 
@@ -50,5 +50,18 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op9_chat_preferences, op10_shards)}
+def op11_language_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_ids(documents(spark, folder))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(documents(spark, folder, "conversations"))
+
+
+def op13_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.dataset_manifest(documents(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op9_chat_preferences, op10_shards,
+                                                                                   op11_language_ids, op12_conversation_trie, op13_dataset_manifest)}
 SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL, "op9_chat_preferences": chat.SQL}
