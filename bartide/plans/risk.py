@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bartide.operators import indicators as ind
 from bartide.operators import risk as rk
+from bartide.operators import universe as un
 from bartide.operators import weights as wt
 from bartide.operators.rolling import back
 from bartide.plans import prices
@@ -20,6 +21,7 @@ from bartide.sources import market as mk
 RISK_FREE = 0.0555
 WINDOWS = [("all", "1995-01-01", "2001-12-31"), ("2000", "2000-01-01", "2000-12-31"), ("last", "2001-04-02", "2001-12-31")]
 PRINCIPAL, SLEEVE = 1e7, 0.97
+UNIVERSE_TILTS, UNIVERSE_CAP = (0.0, 0.25, 1.0), 0.25
 
 
 @once
@@ -196,6 +198,16 @@ def weight_comparison(spark, folder):
     return wt.weight_statistics(tall, ["portfolio", "rule"], "w")
 
 
+def universe_covariance(spark, folder):
+    """Covariance of every pair of symbols, whatever their books."""
+    return un.universe_covariance(rk.latest_sessions(members(spark, folder), ["symbol"], 252).select("symbol", "session", "ret"))
+
+
+def universe_weights(spark, folder):
+    """One book of every symbol: minimum variance, two points of the frontier and equal risk."""
+    return un.universe_weights(members(spark, folder).select("symbol", "session", "ret"), UNIVERSE_TILTS, 0.0, UNIVERSE_CAP)
+
+
 def equal_statistics(spark, folder):
     rows = moments(spark, folder).withColumn("equal", F.transform("symbols", lambda _: 1.0 / F.size("symbols")))
     return wt.weight_statistics(rows, ["portfolio"], "equal")
@@ -362,6 +374,15 @@ MOMENTS = {
     "amat": ws.MATRICES.format(cells="acells"),
     "moments": """SELECT amat.*, mu, rf FROM amat JOIN (SELECT CAST(portfolio AS VARCHAR) AS k, list(m ORDER BY symbol) AS mu FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) USING (k)
       CROSS JOIN (SELECT avg(rate_ret) * 252 AS rf FROM fx)"""}
+# one book of all symbols: a missing return counts as the symbol's mean
+UNIVERSE = {
+    "ustats": "SELECT symbol, avg(ret) AS mean FROM rets GROUP BY 1 HAVING count(*) >= 60 AND var_samp(ret) > 0",
+    "ucentred": "SELECT r.symbol, r.session, r.ret - u.mean AS x FROM rets r JOIN ustats u ON u.symbol = r.symbol",
+    "ucells": """SELECT 'all' AS k, i, j, coalesce(s, 0.0) / (days - 1) * 252 AS cov FROM (SELECT a.symbol AS i, b.symbol AS j FROM ustats a, ustats b)
+      LEFT JOIN (SELECT a.symbol AS i, b.symbol AS j, sum(a.x * b.x) AS s FROM ucentred a JOIN ucentred b ON b.session = a.session GROUP BY 1, 2) USING (i, j)
+      CROSS JOIN (SELECT count(DISTINCT session) AS days FROM ucentred)""",
+    "umat": ws.MATRICES.format(cells="ucells"),
+    "ubook": "SELECT * FROM umat CROSS JOIN (SELECT list(mean * 252 ORDER BY symbol) AS mu FROM ustats)"}
 FLAT = "SELECT *, list_transform(mu, lambda v: 0.0::DOUBLE) AS t FROM moments"
 
 QUERIES = [
@@ -427,6 +448,15 @@ SELECT portfolio, symbol, vol, (1 / vol) / sum(1 / vol) OVER (PARTITION BY portf
           UNION ALL SELECT k, 'bounded_variance', w FROM bmv UNION ALL SELECT k, 'tangency', w FROM tangency""",
         **ws.level_contributions("erc", FLAT, 0.05, 0.25), **ws.pair_descent("mv", FLAT, 0.0, 1.0), **ws.pair_descent("bmv", FLAT, 0.05, 0.25),
         **ws.best_ratio("tangency", "SELECT *, list_transform(mu, lambda v: v - rf) AS t FROM moments"))),
+    Query("universe_covariance", "R13 J13", "i:s j:s overlap:i cov:8", universe_covariance, with_tables("""
+SELECT a.symbol AS i, b.symbol AS j, count(*) AS overlap, CASE WHEN count(*) >= 60 THEN covar_samp(a.ret, b.ret) * 252 END AS cov FROM tail252 a JOIN tail252 b ON b.session = a.session AND a.symbol <= b.symbol GROUP BY 1, 2""")),
+    Query("universe_weights", "M2 M3 M4", "rule:s symbol:s weight:5 solved:b", universe_weights, with_tables(f"""
+SELECT rule, unnest(symbols) AS symbol, unnest(coalesce(w, list_transform(symbols, lambda x: NULL::DOUBLE))) AS weight, w IS NOT NULL AS solved FROM (
+  SELECT 'equal_risk' AS rule, symbols, w FROM umat LEFT JOIN uerc USING (k)
+  UNION ALL SELECT rule, symbols, w FROM utilted t JOIN umat m ON m.k = 'all' LEFT JOIN usolution s ON s.k = t.k)""",
+        **UNIVERSE, utilted="SELECT tilt AS k, c, usable, 'tilt_' || tilt AS rule, list_transform(mu, lambda v: v * CAST(tilt AS DOUBLE)) AS t FROM ubook, (VALUES "
+        + ", ".join(f"('{t:g}')" for t in UNIVERSE_TILTS) + ") AS v(tilt)",
+        **ws.pair_descent("usolution", "SELECT * FROM utilted", 0.0, UNIVERSE_CAP, 20000), **ws.level_contributions("uerc", "SELECT *, mu AS t FROM ubook", 0.0, 1.0))),
     Query("equal_weight_statistics", "R19 G20", "portfolio:i volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", equal_statistics, with_tables("""
 SELECT m.portfolio, sd * 100 AS volatility_pct, mu * 100 AS mean_return_pct, (mu - r.rf) / sd AS sharpe, k AS effective_names, 100.0 / k AS largest_weight_pct, CASE WHEN 1.0 / k > 0.01 THEN k ELSE 0 END AS names_above_1pct
 FROM (SELECT portfolio, avg(m) AS mu, count(*) AS k FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) m
