@@ -188,3 +188,10 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarr
         factor = factor * _BASE & _MASK
     keep = (left >= width) | ((np.arange(len(rows)) == np.repeat(starts, sizes)) & (np.repeat(sizes, sizes) < width))
     return rows[keep], mixed(value[keep]), np.flatnonzero(keep)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text, bit by bit (DuckDB has no function for it)."""
+    step = "xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {step})"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda k: ascii(k)::BIGINT), lambda c, b: {byte}), 4294967295)"

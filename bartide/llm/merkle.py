@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bartide.llm.common import stored
+from bartide.llm.common import crc32_sql, stored
 
 FAN = 3
 #: levels of a superblock
@@ -197,3 +197,39 @@ def manifest(leaves: DataFrame) -> DataFrame:
 
 def dataset_manifest(docs: DataFrame) -> DataFrame:
     return manifest(leaves_of(docs))
+
+
+def _sql() -> str:
+    joined = lambda text: "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in (*FIELDS[:-1], text)) + ")"
+    up = lambda table, start: f"""{start}  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 2) // 3 FROM {table} WHERE n > 1 GROUP BY tree, level, place // 3"""
+    beside = lambda table: f"""string_agg(s.node, '' ORDER BY s.place) FILTER (WHERE s.place < a.own) AS before, string_agg(s.node, '' ORDER BY s.place) FILTER (WHERE s.place > a.own) AS after
+  FROM a JOIN {table} AS s ON s.tree = a.tree AND s.level = a.level AND s.place // 3 = a.own // 3 AND s.n > 1"""
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+         CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS later FROM documents),
+leaves AS (SELECT doc_id, tree, {joined("text")} AS leaf, {joined("later")} AS found FROM raw),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_number() OVER () AS rid,
+         count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS ({up("nodes", "SELECT tree, 0 AS level, place, leaf AS node, n FROM placed")}),
+subroots AS (SELECT tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS ({up("tops", "SELECT '' AS tree, 0 AS level, place, node, n FROM subroots")}),
+own_levels AS (SELECT rid, tree, unnest(range(20)) AS level, place FROM placed),
+a_low AS (SELECT rid, tree, level, place // CAST(3 ** level AS BIGINT) AS own FROM own_levels),
+low AS (SELECT a.rid, a.level, {beside("nodes").replace("FROM a ", "FROM a_low AS a ")} GROUP BY a.rid, a.level),
+a_high AS (SELECT name, '' AS tree, level, place // CAST(3 ** level AS BIGINT) AS own FROM (SELECT name, place, unnest(range(20)) AS level FROM subroots)),
+high AS (SELECT a.name, a.level, {beside("tops").replace("FROM a ", "FROM a_high AS a ")} GROUP BY a.name, a.level),
+paths AS (SELECT rid, level, before, after FROM low UNION ALL SELECT p.rid, 100 + h.level, h.before, h.after FROM placed AS p JOIN high AS h ON h.name = p.tree),
+steps AS (SELECT rid, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY rid ORDER BY level) AS step FROM paths),
+folds AS (
+  SELECT rid, 0 AS step, found AS node FROM placed UNION ALL
+  SELECT f.rid, f.step + 1, sha256(s.before || f.node || s.after) FROM folds AS f JOIN steps AS s ON s.rid = f.rid AND s.step = f.step + 1),
+folded AS (SELECT rid, arg_max(node, step) AS folded_root FROM folds GROUP BY rid),
+proofs AS (SELECT rid, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY rid)
+SELECT p.doc_id, p.leaf, r.node AS subroot, t.node AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.node AS verified
+FROM placed AS p JOIN subroots AS r ON r.name = p.tree JOIN tops AS t ON t.n = 1 JOIN folded AS f ON f.rid = p.rid LEFT JOIN proofs AS q ON q.rid = p.rid"""
+
+
+SQL = _sql()

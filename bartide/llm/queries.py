@@ -64,4 +64,5 @@ def op13_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_token_counts, op4_benchmark_leaks, op5_toxicity, op6_lattice_scores, op7_byte_bpe, op8_repeated_passages, op9_chat_preferences, op10_shards,
                                                                                    op11_language_ids, op12_conversation_trie, op13_dataset_manifest)}
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL, "op9_chat_preferences": chat.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op8_repeated_passages": units.SQL, "op9_chat_preferences": chat.SQL, "op12_conversation_trie": trie.SQL,
+                       "op13_dataset_manifest": merkle.SQL}

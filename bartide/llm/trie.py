@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bartide.llm.common import join_heavy, stored
+from bartide.llm.common import crc32_sql, join_heavy, stored
 
 #: nodes from which on a shard is closed
 SHARD_NODES = 1 << 16
@@ -320,3 +320,28 @@ def prefix_trie(conversations: DataFrame, shard_size: int = SHARD_NODES) -> Data
 def conversation_trie(turns: DataFrame) -> DataFrame:
     """The trie over the rebuilt conversations."""
     return prefix_trie(rebuilt(conversations_of(turns)))
+
+
+SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, left(sha256(strlen(role) || ':' || role || text), {DIGITS}) AS g
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, list({{'g': g, 'n': length(text)}} ORDER BY turn NULLS FIRST, role, g) AS turns, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, CASE WHEN b.turns IS NULL THEN c.turns[c.h + 1:] ELSE b.turns[1:c.h] || c.turns[c.h + 1:] END AS turns
+  FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+n AS (
+  SELECT conv_id, depth, len(turns) = depth AS ends, sha256(array_to_string(list_transform(turns[1:depth], lambda t: t.g), '')) AS node,
+         CASE WHEN depth > 0 THEN turns[depth].n ELSE 0 END AS chars FROM p),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, count(*) FILTER (WHERE ends) AS n_ends,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM n GROUP BY node, depth),
+parents AS (SELECT DISTINCT a.node, b.node AS parent FROM n AS a JOIN n AS b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1),
+children AS (SELECT parent, count(*) AS n_children FROM parents GROUP BY parent),
+full_nodes AS (SELECT x.*, p.parent, coalesce(k.n_children, 0) AS n_children FROM nodes AS x LEFT JOIN parents AS p USING (node) LEFT JOIN children AS k ON k.parent = x.node),
+above AS (SELECT DISTINCT a.node, b.node AS top FROM n AS a JOIN n AS b ON b.conv_id = a.conv_id AND b.depth <= a.depth),
+sums AS (
+  SELECT top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM above JOIN full_nodes USING (node) GROUP BY top)
+SELECT x.conv_id, x.depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens, x.n_ends, x.ends_sha256
+FROM full_nodes AS x LEFT JOIN nodes AS q ON q.node = x.parent JOIN sums AS s ON s.top = x.node"""
