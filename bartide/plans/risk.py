@@ -457,9 +457,7 @@ SELECT rule, unnest(symbols) AS symbol, unnest(coalesce(w, list_transform(symbol
         **UNIVERSE, utilted="SELECT tilt AS k, c, usable, 'tilt_' || tilt AS rule, list_transform(mu, lambda v: v * CAST(tilt AS DOUBLE)) AS t FROM ubook, (VALUES "
         + ", ".join(f"('{t:g}')" for t in UNIVERSE_TILTS) + ") AS v(tilt)",
         **ws.pair_descent("usolution", "SELECT * FROM utilted", 0.0, UNIVERSE_CAP, 20000), 
-        uerc_path="""SELECT k, c, list_transform(c, lambda r, h: 1 / sqrt(c[h][h] * len(c))) AS y, 0 AS step FROM umat WHERE usable
-          UNION ALL SELECT k, c, list_transform(c, lambda r, h: sqrt(y[h] / len(c) / list_dot_product(r, y))), step + 1 FROM uerc_path WHERE step < 300""",
-        uerc="SELECT k, list_transform(y, lambda v: v / list_sum(y)) AS w FROM uerc_path WHERE step = 300")),
+        uerc=ws.even_contributions("SELECT k, c, n FROM umat WHERE usable"))),
     Query("equal_weight_statistics", "R19 G20", "portfolio:i volatility_pct:4 mean_return_pct:4 sharpe:4 effective_names:3 largest_weight_pct:3 names_above_1pct:i", equal_statistics, with_tables("""
 SELECT m.portfolio, sd * 100 AS volatility_pct, mu * 100 AS mean_return_pct, (mu - r.rf) / sd AS sharpe, k AS effective_names, 100.0 / k AS largest_weight_pct, CASE WHEN 1.0 / k > 0.01 THEN k ELSE 0 END AS names_above_1pct
 FROM (SELECT portfolio, avg(m) AS mu, count(*) AS k FROM (SELECT portfolio, symbol, avg(ret) * 252 AS m FROM rets GROUP BY 1, 2) GROUP BY 1) m

@@ -51,6 +51,16 @@ SELECT k, v, CASE WHEN list_sum(v) > 1 THEN bottom ELSE (bottom + top) / 2 END,
         name: f"SELECT k, arg_max(w, step) AS w FROM {name}_path GROUP BY k"}
 
 
+def even_contributions(source: str, sweeps: int = 150) -> str:
+    """Equal contributions without bounds: y_i (Cy)_i = 1 / n for every member, member by member, then scaled to a sum of 1."""
+    i = "CAST(m[1] AS INTEGER)"
+    pull = f"(list_dot_product(c[{i}], acc) - c[{i}][{i}] * x)"
+    update = f"(sqrt({pull} * {pull} + 4 * c[{i}][{i}] / n) - {pull}) / (2 * c[{i}][{i}])"
+    return f"""
+SELECT k, list_transform(y, lambda v: v / list_sum(y)) AS w FROM (
+  SELECT k, {_swept("list_transform(c, lambda r, h: 1 / sqrt(c[h][h] * n))", update, sweeps)} AS y FROM ({source}))"""
+
+
 def best_ratio(name: str, source: str) -> dict[str, str]:
     """Long-only weights of the best ratio of t to volatility."""
     i = "CAST(m[1] AS INTEGER)"
