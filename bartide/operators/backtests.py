@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from bartide.operators import indicators as ind
 from bartide.operators import rolling as rl
 from bartide.operators.prep import chained_prices, on_calendar
-from bartide.operators.ranking import quantiles, top_rows, with_fifths, with_ranks
+from bartide.operators.ordering import average_rank, placed, stacked, with_percentiles
+from bartide.operators.ranking import quantiles, top_rows, with_fifths
 from bartide.operators.screening import conviction, quadrant, selected
 from bartide.session import cut_lineage
 
@@ -84,9 +85,8 @@ def with_sector_spread(rows: DataFrame, ret: str = "ret126", bench: str = "bench
 
 
 def with_composite(rows: DataFrame) -> DataFrame:
-    """Mean percentile of 126-session strength and closeness to the 52-week high, per date."""
-    ranked = with_ranks(cut_lineage(rows), ["n"], "rs_126", percent="_a")
-    ranked = with_ranks(cut_lineage(ranked), ["n"], "high_52w", percent="_b")
+    """Mean percentile of 126-session strength and closeness to the 52-week high, per date: both in one sort."""
+    ranked = with_percentiles(cut_lineage(rows), ["n"], ["symbol"], {"rs_126": "_a", "high_52w": "_b"})
     return ranked.withColumn("composite", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
 
 
@@ -105,26 +105,37 @@ def tall_signals(panel: DataFrame, signals: Sequence[str]) -> DataFrame:
     return panel.select("symbol", "n", "period", "fwd_rs", F.inline(each)).where(F.col("value").isNotNull())
 
 
-def rank_correlation(rows: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Spearman correlation per group: exact average ranks, then a plain correlation."""
-    ranked = with_ranks(rows, by, a, average="_ra")
-    ranked = with_ranks(cut_lineage(ranked), by, b, average="_rb")
-    return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("ic"), F.count(F.lit(1)).alias("names"))
-
-
 def date_scores(tall: DataFrame, top: int = 8, least: int = 25) -> DataFrame:
     """Per signal and date: rank correlation with the forward spread, top fifth against all, and whether the best and
-    worst `top` beat the market."""
+    worst `top` beat the market. Signals and forward spreads of all groups are ranked in one sort; a second exchange pairs the two ranks of a row."""
     by = ["signal", "n", "period"]
-    sizes = tall.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.avg("fwd_rs").alias("all_fwd")).where(F.col("_k") >= least)
-    used = cut_lineage(tall.join(sizes.select(*by), by, "left_semi"))
-    ic = rank_correlation(used, by, "value", "fwd_rs")
-    cut = quantiles(used, by, "value", {"q80": 0.8})
-    fifth = used.join(cut, by).where(F.col("value") >= F.col("q80")).groupBy(*by).agg(F.avg("fwd_rs").alias("top_fwd"))
-    best = top_rows(used, by, top, F.desc("value"), F.col("symbol")).groupBy(*by).agg((F.avg("fwd_rs") > 0).alias("best_beats"))
-    worst = top_rows(used, by, top, F.asc("value"), F.col("symbol")).groupBy(*by).agg((F.avg("fwd_rs") > 0).alias("worst_beats"))
-    out = ic.join(fifth, by).join(best, by).join(worst, by).join(sizes, by)
-    return out.withColumn("spread", F.col("top_fwd") - F.col("all_fwd")).select(*by, "ic", "names", "spread", "best_beats", "worst_beats")
+    ranks = placed(stacked(tall, [*by, "symbol", "fwd_rs"], ["value", "fwd_rs"]), [*by, "name"], "x", ["symbol"])
+    of = lambda name, column: F.max(F.when(F.col("name") == name, column))
+    # ties of the best rows go by symbol: counted from the top of each run
+    from_top = F.col("_total") - F.col("_before") - F.col("_ties") + (F.col("_place") - F.col("_before"))
+    paired = ranks.groupBy(*by, "symbol").agg(
+        F.max("fwd_rs").alias("fwd_rs"), of("value", F.col("x")).alias("value"), of("value", average_rank()).alias("_ra"), of("fwd_rs", average_rank()).alias("_rb"),
+        of("value", F.col("_place")).alias("_low"), of("value", from_top).alias("_high"), of("value", F.col("_before")).alias("_before"),
+        of("value", F.col("_ties")).alias("_ties"), of("value", F.col("_total")).alias("_total"))
+    paired = cut_lineage(paired.where(F.col("_total") >= least))
+    spot = F.lit(0.8) * (F.col("_total") - 1)
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_ties"))
+    mean = lambda chosen: F.avg(F.when(chosen, F.col("fwd_rs")))
+    stats = paired.groupBy(*by).agg(
+        F.corr("_ra", "_rb").alias("ic"), F.count(F.lit(1)).alias("names"), F.avg("fwd_rs").alias("all_fwd"),
+        (mean(F.col("_high") <= top) > 0).alias("best_beats"), (mean(F.col("_low") <= top) > 0).alias("worst_beats"),
+        F.max(F.when(holds(F.floor(spot)), F.col("value"))).alias("_lower"), F.max(F.when(holds(F.ceil(spot)), F.col("value"))).alias("_upper"), F.max(spot - F.floor(spot)).alias("_share"))
+    stats = stats.withColumn("_q80", F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_share"))
+    fifth = paired.join(stats.select(*by, "_q80"), by).where(F.col("value") >= F.col("_q80")).groupBy(*by).agg(F.avg("fwd_rs").alias("top_fwd"))
+    return stats.join(fifth, by).select(*by, "ic", "names", (F.col("top_fwd") - F.col("all_fwd")).alias("spread"), "best_beats", "worst_beats")
+
+
+def rank_correlation(rows: DataFrame, by: Sequence[str], a: str, b: str, key: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Spearman correlation per group: exact average ranks of both columns from one sort, then a plain correlation."""
+    ranks = placed(stacked(rows, [*by, *key], [a, b]), [*by, "name"], "x", key)
+    of = lambda name: F.max(F.when(F.col("name") == name, average_rank()))
+    paired = ranks.groupBy(*by, *key).agg(of(a).alias("_ra"), of(b).alias("_rb"))
+    return paired.groupBy(*by).agg(F.corr("_ra", "_rb").alias("ic"), F.count(F.lit(1)).alias("names"))
 
 
 def labelled(rows: DataFrame) -> DataFrame:

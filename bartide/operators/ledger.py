@@ -264,9 +264,9 @@ def plan_trades(plan: DataFrame, fills: DataFrame) -> DataFrame:
     parked = F.when(F.col("kind") == "parked", F.concat(F.lit("; "), F.lit(PARKED_NOTE))).otherwise("")
     out = rows.where(F.col("source") == "stop").select(
         "portfolio", F.col("sell").alias("instrument"), F.lit("SELL").alias("action"), F.col("shares").alias("quantity"), F.round("sell_px", 2).alias("price"),
-        F.concat(F.format_string("stop-loss exit (stop %.2f)", "stop"), parked).alias("note")).distinct()
-    why = F.when(F.col("kind") == "reserve", F.format_string("replaces %s (reserve rank #%d)", "sell", "buy_rank")).otherwise(
-        F.format_string("top-up with %s's proceeds (no reserve stock qualified)", F.col("sell")))
+        F.concat(F.format_string("sold under its stop of %.2f", "stop"), parked).alias("note")).distinct()
+    why = F.when(F.col("kind") == "reserve", F.format_string("for %s, place %d of the reserve list", "sell", "buy_rank")).otherwise(
+        F.format_string("adds to the holding from the sale of %s; reserve list used up", F.col("sell")))
     note = F.when(F.col("source") == "parked", F.concat(F.format_string("redeploys %s's parked proceeds: ", F.col("sell")), why)).otherwise(why)
     into = rows.where(F.col("qty") > 0).select("portfolio", F.col("buy").alias("instrument"), F.lit("BUY").alias("action"),
                                                 F.col("qty").cast("double").alias("quantity"), F.round("buy_px", 2).alias("price"), note.alias("note"))

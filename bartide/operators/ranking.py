@@ -1,11 +1,10 @@
-"""Exact ranks, quantiles and rank buckets over groups of any size.
+"""Exact ranks, positions, quantiles and rank buckets over groups of any size.
 
 A plain `rank()` window sends one group to one task. A cross-section (all symbols of one session) or a universe-wide
-ranking grows with the data, so a large group is split here: equal values are counted first (map-side), the values of the
-group whose hash is a multiple of some number become the edges of value buckets, counts per bucket give the offset of a
-bucket and an ordered window runs only inside a bucket. Edges are values of the group itself, so buckets are even whatever
-the distribution, and hashes make every evaluation of the plan (also a recomputed task) choose the same ones. Ranks are
-exact whatever the bucket balance.
+ranking grows with the data. Ranks and positions come from one sort by range (`ordering.placed`). Quantiles need no row to be placed: equal
+values are counted first (map-side), the values of a large group whose hash is a multiple of some number become the edges of value buckets, counts per
+bucket give the offset of a bucket and an ordered window runs only inside a bucket. Hashes make every evaluation of the plan (also
+a recomputed task) choose the same edges.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bartide.operators.ordering import PLACES, average_rank, placed
 from bartide.session import rank_buckets
 
 
@@ -60,40 +60,22 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, buckets: int | No
 
 
 def with_ranks(df: DataFrame, by: Sequence[str], value: str, *, average: str | None = None, percent: str | None = None,
-               low: str | None = None, high: str | None = None, buckets: int | None = None,
-               bounded: bool = False) -> DataFrame:
+               low: str | None = None, high: str | None = None) -> DataFrame:
     """Add ranks of `value` within `by`; null values stay unranked.
 
     average: mean rank of ties, ascending; percent: that over the non-null count; low: competition rank, ascending;
     high: competition rank, descending (1 = best).
     """
-    if bounded:
-        group, known = Window.partitionBy(*by), F.col(value).isNotNull()
-        rising, falling = group.orderBy(F.asc_nulls_last(value)), group.orderBy(F.desc_nulls_last(value))
-        tied = F.rank().over(rising) + (F.count(value).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
-        plain = {average: tied, percent: tied / F.count(value).over(group), low: F.rank().over(rising), high: F.rank().over(falling)}
-        return df.withColumns({name: F.when(known, expr) for name, expr in plain.items() if name})
-    counts = value_counts(df, by, value, buckets)
-    mean_rank = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
-    wanted = {average: mean_rank, percent: mean_rank / F.col("total"), low: F.col("before") + 1,
-              high: F.col("total") - F.col("before") - F.col("ties") + 1}
-    ranked = counts.select(*by, value, *[expr.alias(name) for name, expr in wanted.items() if name])
-    keys = [*by, value]
-    return df.withColumn(value, F.col(value) + F.lit(0.0)).join(ranked, keys, "left")
+    wanted = {average: average_rank(), percent: average_rank() / F.col("_total"), low: F.col("_before") + 1,
+              high: F.col("_total") - F.col("_before") - F.col("_ties") + 1}
+    return placed(df, by, value).withColumns({name: expr for name, expr in wanted.items() if name}).drop(*PLACES)
 
 
-def with_positions(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str], position: str,
-                   descending: bool = True, buckets: int | None = None) -> DataFrame:
+def with_positions(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str], position: str, descending: bool = True) -> DataFrame:
     """Add the 1-based position of every row in (order, tie) order: a row_number that never needs the whole group
     in one task. Rows whose `order` is null get no position."""
-    counts = value_counts(df, by, order, buckets)
-    start = F.col("total") - F.col("before") - F.col("ties") if descending else F.col("before")
-    keys = [*by, order]
-    placed = (df.withColumn(order, F.col(order) + F.lit(0.0))
-              .join(counts.select(*keys, start.alias("_start")), keys, "left"))
-    # only rows with the same value are ordered together
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*tie))
-    return placed.withColumn(position, F.when(F.col(order).isNotNull(), F.col("_start") + within)).drop("_start")
+    from_top = F.col("_total") - F.col("_before") - F.col("_ties") + (F.col("_place") - F.col("_before"))  # ties keep their order
+    return placed(df, by, order, tie).withColumn(position, from_top if descending else F.col("_place")).drop(*PLACES)
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], buckets: int | None = None) -> DataFrame:
@@ -113,13 +95,10 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, fl
     return counts.groupBy(*by).agg(*columns)
 
 
-def with_fifths(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], bucket: str, parts: int = 5,
-                buckets: int | None = None) -> DataFrame:
+def with_fifths(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], bucket: str, parts: int = 5) -> DataFrame:
     """Equal-frequency bucket 1..parts of the first-come rank, with interpolated edges (not ntile)."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_positions(df, by, value, tie, "_pos", descending=False, buckets=buckets)
-    fifth = F.greatest(F.ceil((F.col("_pos") - 1) * parts / (F.col("_n") - 1)), F.lit(1)).cast("int")
-    return placed.join(sizes, list(by), "left").withColumn(bucket, F.when(F.col("_n") > 1, fifth)).drop("_pos", "_n")
+    fifth = F.greatest(F.ceil((F.col("_place") - 1) * parts / (F.col("_total") - 1)), F.lit(1)).cast("int")
+    return placed(df, by, value, tie).withColumn(bucket, F.when(F.col("_total") > 1, fifth)).drop(*PLACES)
 
 
 def top_rows(df: DataFrame, by: Sequence[str], size: int, *order: Column) -> DataFrame:

@@ -175,15 +175,16 @@ def opening_trades(spark, folder):
 def plan_of(spark, folder):
     """Replacement plan of every portfolio: stopped stocks and parked cash buy reserve stocks, else top up what rises."""
     bars = cut_lineage(mk.weekly_bars(spark, folder))
-    rows = recent(spark, folder)
+    rows = cut_lineage(recent(spark, folder))
     held = cut_lineage(positions_of(rows, bars))
     sold = lg.sold_stocks(rows)
     ranked = sc.quality_score(mk.fundamentals(spark, folder), ["roce", "opm", "qtr_sales_yoy"], ["debt_to_equity"])
     # the reserve list: every symbol of enough conviction, best first
     reserve = with_positions(ranked.where(F.col("score") >= CONVICTION).withColumn("all", F.lit(1)), ["all"], "score", ["symbol"], "rank")
+    reserve = cut_lineage(reserve)  # queue, plan and top-up read these tables several times each
     taken = held.select("portfolio", "instrument").unionByName(sold).distinct()
     parked_cash = lg.parked_proceeds(rows)
-    sources = lg.sources_of_cash(held, sold, parked_cash)
+    sources = cut_lineage(lg.sources_of_cash(held, sold, parked_cash))
     queue = lg.reserve_queue(rows.select("portfolio").distinct(), reserve, taken, sources)
     value = held.join(sold, ["portfolio", "instrument"], "left_anti").groupBy("portfolio").agg(F.sum("value").alias("_v"))
     extra = parked_cash.groupBy("portfolio").agg(F.sum("parked").alias("_p"))
@@ -192,7 +193,7 @@ def plan_of(spark, folder):
               .join(mk.books(bars).select(F.col("symbol").alias("instrument"), "weight"), "instrument"))
     # only holdings in an upward trend are topped up
     trend = latest(ind.oscillators(bars)).where(F.col("plus_di") - F.col("minus_di") >= TREND_GAP).select(F.col("symbol").alias("instrument"))
-    rising = rising.join(trend, "instrument", "left_semi")
+    rising = cut_lineage(rising.join(trend, "instrument", "left_semi"))
     holdings = rising.join(cap, "portfolio").select("portfolio", F.col("instrument").alias("buy"), "weight", "value", "cap")
     return lg.replacement_plan(sources, queue, holdings, last_closes(bars)), bars
 
@@ -499,9 +500,9 @@ SELECT b.portfolio, r.session, b.symbol AS instrument, 'BUY' AS action, floor(b.
 FROM books b JOIN bars r ON r.symbol = b.symbol WHERE r.session = (SELECT min(session) FROM bars WHERE session >= DATE '{START}')""")),
     Query("replacement_plan", "L6 L7", "portfolio:i sell:s source:s proceeds:2 kind:s buy:s buy_rank:i alloc:6 buy_close:4 buy_shares:i buy_inr:2 cash_left:2", replacement_plan, with_tables("SELECT * FROM rplan")),
     Query("replacement_trades", "L8", "portfolio:i instrument:s action:s quantity:i price:2 note:s", replacement_trades, with_tables("""
-SELECT DISTINCT portfolio, sell AS instrument, 'SELL' AS action, shares AS quantity, round(sell_px, 2) AS price, printf('stop-loss exit (stop %.2f)', stop) || CASE WHEN kind = 'parked' THEN '; proceeds parked in the liquid ETF' ELSE '' END AS note FROM filled WHERE source = 'stop'
-UNION ALL SELECT portfolio, buy, 'BUY', floor(got * alloc / buy_px), round(buy_px, 2), CASE WHEN source = 'parked' THEN 'redeploys ' || sell || '''s parked proceeds: ' ELSE '' END || CASE WHEN kind = 'reserve' THEN 'replaces ' || sell || ' (reserve rank #' || buy_rank || ')'
-  ELSE 'top-up with ' || sell || '''s proceeds (no reserve stock qualified)' END FROM filled WHERE floor(got * alloc / buy_px) > 0""",
+SELECT DISTINCT portfolio, sell AS instrument, 'SELL' AS action, shares AS quantity, round(sell_px, 2) AS price, printf('sold under its stop of %.2f', stop) || CASE WHEN kind = 'parked' THEN '; proceeds parked in the liquid ETF' ELSE '' END AS note FROM filled WHERE source = 'stop'
+UNION ALL SELECT portfolio, buy, 'BUY', floor(got * alloc / buy_px), round(buy_px, 2), CASE WHEN source = 'parked' THEN 'redeploys ' || sell || '''s parked proceeds: ' ELSE '' END || CASE WHEN kind = 'reserve' THEN 'for ' || sell || ', place ' || buy_rank || ' of the reserve list'
+  ELSE 'adds to the holding from the sale of ' || sell || '; reserve list used up' END FROM filled WHERE floor(got * alloc / buy_px) > 0""",
         filled="""SELECT p.*, coalesce(s.fill, p.close) AS sell_px, coalesce(b.fill, p.buy_close) AS buy_px, CASE WHEN p.source = 'parked' THEN p.proceeds ELSE p.shares * coalesce(s.fill, p.close) END AS got
           FROM rplan p LEFT JOIN last_close s ON s.instrument = p.sell LEFT JOIN last_close b ON b.instrument = p.buy""")),
     Query("alert_rows", "L12", "portfolio:i kind:s subject:s detail:s", alerts, with_tables("""

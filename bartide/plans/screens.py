@@ -239,8 +239,8 @@ SELECT symbol FROM (SELECT symbol, selection_rank, row_number() OVER (PARTITION
   FROM ranked LEFT JOIN (VALUES {", ".join(str(m) for m in MINIMUMS)}) AS q(sector, minimum) USING (sector) WHERE conviction IN ('High', 'Moderate'))
 ORDER BY must DESC, selection_rank LIMIT {SIZE}""")
 define("ranking", f"""
-SELECT r.*, p.symbol IS NOT NULL AS picked, CASE WHEN p.symbol IS NOT NULL THEN '' WHEN conviction IN ('High', 'Moderate') THEN 'ranked below the top {SIZE}'
-  ELSE 'RRG conviction outside the selection tiers' END AS why_not_picked FROM ranked r LEFT JOIN picks p ON p.symbol = r.symbol""")
+SELECT r.*, p.symbol IS NOT NULL AS picked, CASE WHEN p.symbol IS NOT NULL THEN '' WHEN conviction IN ('High', 'Moderate') THEN 'not among the first {SIZE}'
+  ELSE 'conviction too low' END AS why_not_picked FROM ranked r LEFT JOIN picks p ON p.symbol = r.symbol""")
 define("meetings", f"""
 SELECT DISTINCT {SYMBOL.format('l_suppkey')} AS symbol, CAST(l_shipdate AS DATE) AS meeting FROM lineitem WHERE l_linenumber = 4 AND l_quantity >= 40 AND l_partkey % 3 <> 0""")
 define("result_dates", f"""

@@ -1,6 +1,7 @@
 """Market tables derived from the relational tables: price bars, index levels, fundamentals, ledgers and option chains.
 
-Every row of the inputs takes part; nothing is sampled. The raw rows are aggregated by (symbol, session) first, with
+Bars, levels and fundamentals take every row of their inputs. Ledgers, options, corporate actions and announcements are the line items of
+certain numbers or sizes, named where they are derived: that choice is what they are, no sample of them. The raw rows are aggregated by (symbol, session) first, with
 map-side partial aggregates, so a symbol that holds a third of all rows is combined before any shuffle.
 """
 

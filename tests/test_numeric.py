@@ -205,9 +205,9 @@ def test_ranks_of_large_clustered_groups_are_split_and_exact(spark, monkeypatch)
     values = np.concatenate((rng.normal(0, 1e-9, 900), [1e12, -1e12], rng.integers(0, 5, 60).astype(float)))  # nearly all in one spot
     frame = pd.DataFrame({"g": np.where(np.arange(len(values)) % 7, "big", "small"), "id": range(len(values)), "v": values})
     rows = spark.createDataFrame([(g, int(i), float(v)) for g, i, v in frame.itertuples(index=False)], "g string, id int, v double")
-    got = rank.with_ranks(rows, ["g"], "v", average="a", low="l", buckets=16).toPandas().set_index("id").sort_index()
+    got = rank.with_ranks(rows, ["g"], "v", average="a", low="l").toPandas().set_index("id").sort_index()
     np.testing.assert_allclose(got["a"].astype(float).to_numpy(), frame.groupby("g")["v"].rank().to_numpy())
-    whole = rank.with_ranks(rows, [], "v", low="l", buckets=16).toPandas().set_index("id").sort_index()
+    whole = rank.with_ranks(rows, [], "v", low="l").toPandas().set_index("id").sort_index()
     np.testing.assert_allclose(whole["l"].astype(float).to_numpy(), frame["v"].rank(method="min").to_numpy())
     plan = rank.value_counts(rows, ["g"], "v", 16)
     assert plan.columns == ["g", "v", "ties", "total", "before"]
