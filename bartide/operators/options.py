@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bartide.functions.numbers import as_col
+from bartide.session import cut_lineage
 
 # fixed values: published rational approximation of the normal distribution function (double precision)
 CDF_TOP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
@@ -231,14 +232,17 @@ def book_greeks(legs: DataFrame, r: float) -> DataFrame:
 
 def sensitivity(legs: DataFrame, stock_delta: DataFrame, r: float, exit_day: str, shock: float = 0.05) -> DataFrame:
     """Book P&L per index move: revalued now, at the exit day and with volatility shocked both ways."""
-    rate = F.lit(r)
-    base = legs.withColumn("t_exit", F.greatest(years_to("expiry", F.lit(exit_day).cast("date")), F.lit(0.0)))
+    rate, contract = F.lit(r), ["spot", "strike", "t", "expiry", "iv", "kind"]
+    held = legs.groupBy("portfolio", *contract).agg(F.sum("units").alias("units"))
+    base = held.select(*contract).distinct().withColumn("t_exit", F.greatest(years_to("expiry", F.lit(exit_day).cast("date")), F.lit(0.0)))
     rows = move_grid(priced(base, "_base", "spot", "strike", "t", rate, "iv", "kind"), MOVES)
     level = F.col("spot") * (1 + F.col("move_pct") / 100)
     cases = {"now": ("t", 0.0), "at_exit": ("t_exit", 0.0), "vol_up": ("t", shock), "vol_down": ("t", -shock)}
     for name, (t, bump) in cases.items():
         rows = priced(rows, f"_{name}", level, "strike", t, rate, F.greatest(F.col("iv") + bump, F.lit(0.01)) if bump else F.col("iv"), "kind")
-    out = rows.groupBy("portfolio", "move_pct").agg(*[F.sum(F.col("units") * (F.col(f"_{n}") - F.col("_base"))).alias(n) for n in cases])
+    # one row per contract: its change on every move of the short grid, priced once for all books
+    moved = rows.groupBy(*contract).agg(F.collect_list(F.struct("move_pct", *[(F.col(f"_{n}") - F.col("_base")).alias(n) for n in cases])).alias("moves"))
+    out = held.join(moved, contract).select("portfolio", "units", F.inline("moves")).groupBy("portfolio", "move_pct").agg(*[F.sum(F.col("units") * F.col(n)).alias(n) for n in cases])
     stocks = F.col("stock_delta") * F.col("move_pct") / 100
     return out.join(stock_delta, "portfolio").withColumn("stocks", stocks).withColumns(
         {"total_now": F.col("stocks") + F.col("now"), "total_exit": F.col("stocks") + F.col("at_exit")})
@@ -311,16 +315,44 @@ def exploded_value(rows: DataFrame, keys: Sequence[str], spot: Column, horizon:
     return valued.groupBy(*keys).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias(name))
 
 
+# What a leg is worth does not depend on who holds it: every different contract is priced once per index level, and books only add up
+# those numbers with their quantities.
+CONTRACT = ("underlying", "kind", "strike", "iv", "expiry")
+
+
+def contract_cube(contracts: DataFrame, levels: DataFrame, horizon: str, r: float) -> DataFrame:
+    """(contract, spot, scenario, unit): every different contract (CONTRACT, spot) at every different index return of its underlying (underlying, scenario, index_ret)."""
+    grid = contracts.select(*CONTRACT, "spot").distinct().join(levels.select("underlying", "scenario", "index_ret").distinct(), "underlying")
+    t = F.greatest(years_to("expiry", F.lit(horizon).cast("date")), F.lit(0.0))
+    return priced(grid, "unit", F.col("spot") * (1 + F.col("index_ret")), "strike", t, F.lit(r), "iv", "kind").select(*CONTRACT, "spot", "scenario", "unit")
+
+
+def with_leg_set(plans: DataFrame) -> DataFrame:
+    """`leg_set`: equal for plans whose legs are the same."""
+    return plans.withColumn("leg_set", F.md5(F.to_json("legs")))
+
+
+def leg_set_gains(plans: DataFrame, levels: DataFrame, horizon: str, r: float) -> DataFrame:
+    """(underlying, leg_set, scenario, gain): gain per unit of each different set of legs, a sparse product of quantities and the contract cube.
+    A leg without a volatility counts nothing. `plans` has underlying, leg_set, legs, spot."""
+    sets = plans.select("underlying", "leg_set", "spot", "legs").dropDuplicates(["underlying", "leg_set"])
+    legs = sets.select("underlying", "leg_set", "spot", F.inline("legs")).where(F.col("iv").isNotNull())
+    cube = contract_cube(legs, levels, horizon, r)
+    return legs.join(cube, [*CONTRACT, "spot"]).groupBy("underlying", "leg_set", "scenario").agg(F.sum(F.col("qty") * (F.col("unit") - F.col("price"))).alias("gain"))
+
+
 def scenario_results(plans: DataFrame, scenarios: DataFrame, units: float, horizon: str, r: float) -> DataFrame:
     """(portfolio, strategy, scenario, index_ret, option_pnl, total): every strategy on every supplied scenario of its book.
 
-    `plans` has portfolio, strategy, legs, spot, value; `scenarios` has portfolio, scenario, index_ret, stock_ret."""
-    joined = plans.select("portfolio", "strategy", "legs", "spot", "value").join(scenarios, "portfolio")
-    keys = ["portfolio", "strategy", "scenario", "index_ret", "stock_ret", "value"]
-    valued = exploded_value(joined, keys, F.col("spot") * (1 + F.col("index_ret")), horizon, r, "_unit")
-    option = units * F.col("_unit")
-    return valued.select("portfolio", "strategy", "scenario", "index_ret", option.alias("option_pnl"),
-                         (F.col("value") * F.col("stock_ret") + option).alias("total"))
+    `plans` has portfolio, underlying, strategy, legs, spot, value; `scenarios` has portfolio, scenario, index_ret, stock_ret. A scenario has one index_ret
+    for all books of an underlying."""
+    keyed = cut_lineage(with_leg_set(plans))
+    rows = keyed.select("portfolio", "underlying", "strategy", "leg_set", "value").join(scenarios, "portfolio")
+    levels = keyed.select("portfolio", "underlying").distinct().join(scenarios, "portfolio")
+    gains = leg_set_gains(keyed, levels, horizon, r)
+    option = units * F.coalesce("gain", F.lit(0.0))
+    return rows.join(gains, ["underlying", "leg_set", "scenario"], "left").select(
+        "portfolio", "strategy", "scenario", "index_ret", option.alias("option_pnl"), (F.col("value") * F.col("stock_ret") + option).alias("total"))
 
 
 def evaluated(results: DataFrame, plans: DataFrame, units: float, horizon: str, r: float) -> DataFrame:
@@ -332,7 +364,9 @@ def evaluated(results: DataFrame, plans: DataFrame, units: float, horizon: str,
         (-F.avg("option_pnl")).alias("expected_cost"), (F.avg((F.col("option_pnl") > 0).cast("double")) * 100).alias("profit_probability"),
         F.avg("total").alias("expected_pnl"), (-F.max("_q5")).alias("var95"), (-F.avg(F.when(F.col("total") <= F.col("_q5"), F.col("total")))).alias("cvar95"),
         (-F.percentile("total", F.lit(0.01))).alias("worst_1pct"))
-    flat = exploded_value(plans, by, F.col("spot"), horizon, r, "_flat")
+    keyed = with_leg_set(plans)
+    still = keyed.select("underlying", F.lit(0).alias("scenario"), F.lit(0.0).alias("index_ret")).distinct()
+    flat = keyed.join(leg_set_gains(keyed, still, horizon, r), ["underlying", "leg_set"], "left").select(*by, F.coalesce("gain", F.lit(0.0)).alias("_flat"))
     premium = F.aggregate(F.transform("legs", lambda g: g["qty"] * g["price"]), F.lit(0.0), lambda a, v: a + v) * units
     out = (stats.join(plans.select(*by, "keep", "value", premium.alias("net_premium")), by).join(flat, by)
            .withColumn("cost_if_unchanged", -units * F.col("_flat")).drop("_flat"))

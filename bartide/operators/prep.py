@@ -122,6 +122,16 @@ def bridge_levels(levels: DataFrame, value: str, price: str, key: str = "index_n
             .drop("_bad", "_level", "_price", "_bad0"))
 
 
+def levels_as_of(levels: DataFrame, days: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
+    """The levels as they were known on each of `days` (a short list): (as_of, key, session, price, level, filled, provisional).
+
+    `levels` has session, published, level and price. A level counts from its day of publication on; until then it is bridged with the
+    price and flagged. A later publication therefore changes later answers only, and both versions can be asked for."""
+    known = levels.withColumn("as_of", F.explode(F.array(*[F.lit(d).cast("date") for d in days]))).where(F.col("session") <= F.col("as_of"))
+    known = known.withColumn("level", F.when(F.col("published") <= F.col("as_of"), F.col("level"))).withColumn("_series", F.struct("as_of", *key))
+    return bridge_levels(known, "level", "price", "_series").select("as_of", *key, "session", "price", "level", "filled", "provisional")
+
+
 def weekday_calendar(bounds: DataFrame, extra: Sequence[str] = (), holidays: Sequence[str] = ()) -> DataFrame:
     """(day, is_session, sessions_so_far, last_session) for every calendar day of a range: one row with first and last day."""
     days = bounds.where("first is not null").select(F.explode(F.sequence("first", "last")).alias("day"))

@@ -7,11 +7,11 @@ from dataclasses import replace
 
 from bartide.plans.catalog import Query
 
-MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests", "feeds", "landed")
+MODULES = ("indicators", "prices", "screens", "risk", "options", "ledger", "backtests", "feeds", "landed", "growing")
 
 
 #: modules whose queries read bars, members, factors or chains in several places
-SHARED = {"screens", "risk", "options", "ledger", "backtests"}
+SHARED = {"screens", "risk", "options", "ledger", "backtests", "growing"}
 
 
 def all_queries() -> list[Query]:

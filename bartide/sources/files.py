@@ -177,3 +177,19 @@ def write_table(rows: DataFrame, path: str, by: Sequence[str] = (), csv: bool =
     writer = rows.write.mode("overwrite")
     writer = writer.partitionBy(*by) if by else writer
     writer.option("header", True).csv(path) if csv else writer.parquet(path)
+
+
+def partition_days(spark: SparkSession, path: str, column: str = "session") -> list[str]:
+    """The days a table has, from the names of its folders (`session=2001-05-07`): no file is opened. Bounded by the calendar."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__"))
+
+
+def latest_days(spark: SparkSession, path: str, count: int, as_of: str | None = None, column: str = "session") -> DataFrame:
+    """The rows of the latest `count` days on or before `as_of` of a table with a folder a day: the days are chosen before any data is read,
+    so the scan opens the files of those days only."""
+    days = [d for d in partition_days(spark, path, column) if as_of is None or d <= as_of][-count:]
+    rows = spark.read.parquet(path)
+    return rows.where(F.col(column).isin(*[F.lit(d).cast(rows.schema[column].dataType) for d in days]) if days else F.lit(False))
