@@ -141,27 +141,58 @@ def _weights(points: np.ndarray, pieces: Pieces, i: int, rows: np.ndarray, place
     return pieces.weights[:, place]
 
 
-def _long_word(word: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """The forward recursion of one word."""
-    length = len(word)
-    alpha = np.full((len(pieces.stop), length + 1), -np.inf)
-    alpha[:, 0] = 0.0
+def _long_arcs(word: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(from, pieces of the arcs to the next places or -1, their log weights: components x places) along one word."""
     sizes = _utf8_size(word)
-    for i in range(length):
+    for i in range(len(word)):
         span = word[i:i + pieces.longest]
         h, keys = np.uint64(0), np.zeros(len(span), np.uint64)
         with np.errstate(over="ignore"):
             for k, c in enumerate(span):
                 h = h * _STEP + c
                 keys[k] = h
-        keys = mixed(keys)
-        place = places_of(pieces.hashes, keys)
-        hit = place >= 0
-        step = np.where(hit[None, :], pieces.weights[:, place], -np.inf)
-        if not hit[0]:
+        place = places_of(pieces.hashes, mixed(keys))
+        step = np.where((place >= 0)[None, :], pieces.weights[:, place], -np.inf)
+        if place[0] < 0:
             step[:, 0] = sizes[i] * pieces.byte
-        alpha[:, i + 1:i + 1 + len(span)] = np.logaddexp(alpha[:, i + 1:i + 1 + len(span)], alpha[:, i:i + 1] + step)
-    return alpha[:, length]
+        yield i, place, step
+
+
+def _long_word(word: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The forward recursion of one word: log probability of its first characters, components x places."""
+    alpha = np.full((len(pieces.stop), len(word) + 1), -np.inf)
+    alpha[:, 0] = 0.0
+    for i, place, step in _long_arcs(word, pieces):
+        ahead = slice(i + 1, i + 1 + len(place))
+        alpha[:, ahead] = np.logaddexp(alpha[:, ahead], alpha[:, i:i + 1] + step)
+    return alpha
+
+
+def _long_counts(word: np.ndarray, seen: np.ndarray, pieces: Pieces, counts: np.ndarray, other: np.ndarray) -> None:
+    """Add the expected counts of one long word, times `seen`: forward and backward in log space, because the probability of a
+    long word is no number a double can hold. The arcs are found again on the way back instead of being kept."""
+    alpha = _long_word(word, pieces)
+    length, size = len(word), _utf8_size(word)
+    beta = np.full(alpha.shape, -np.inf)
+    beta[:, length] = 0.0
+    for i, place, step in _backwards(word, pieces):
+        ahead = slice(i + 1, i + 1 + len(place))
+        after = step + beta[:, ahead]
+        top = after.max(axis=1)
+        beta[:, i] = np.where(np.isfinite(top), top + np.log(np.exp(after - np.where(np.isfinite(top), top, 0)[:, None]).sum(axis=1)), -np.inf)
+        expected = np.exp(np.minimum(alpha[:, i:i + 1] + after - alpha[:, length:], 0)) * seen[:, None]
+        known = place >= 0
+        for c in range(len(counts)):
+            np.add.at(counts[c], place[known], expected[c, known])
+        if place[0] < 0:
+            other += expected[:, 0] * size[i]
+
+
+def _backwards(word: np.ndarray, pieces: Pieces, part: int = 4096) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The arcs of a very long word from its end on; those of one part are held at a time."""
+    for start in range((len(word) - 1) // part * part, -1, -part):
+        own = [a for a in _long_arcs(word[start:start + part + pieces.longest - 1], pieces) if a[0] < part]
+        yield from ((start + i, place, step) for i, place, step in reversed(own))
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,7 +217,7 @@ def word_scores(words: list[str], pieces: Pieces) -> np.ndarray:
         length = points.shape[1]
         if length > LONG:
             for number, word in zip(numbers, points):
-                out[:, number] = _long_word(word, pieces)
+                out[:, number] = _long_word(word, pieces)[:, -1]
             continue
         alpha = np.full((length + 1, len(pieces.stop), len(points)), -np.inf)
         alpha[0] = 0.0
@@ -198,13 +229,15 @@ def word_scores(words: list[str], pieces: Pieces) -> np.ndarray:
 
 def expected_counts(words: list[str], seen: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(expected count of each piece, expected bytes outside the vocabulary) in each component, over one occurrence of each word
-    that `seen` (components x words) has there. Words are short here, so plain probabilities are far from underflow; words longer
-    than LONG are left to the smoothing."""
+    that `seen` (components x words) has there. Plain probabilities of short words are far from underflow; words longer than LONG are taken one by
+    one in log space."""
     k = len(pieces.stop)
     counts, other = np.zeros(pieces.weights.shape), np.zeros(k)
     for numbers, points in _by_length(words):
         length = points.shape[1]
         if length > LONG:
+            for number, word in zip(numbers, points):
+                _long_counts(word, seen[:, number], pieces, counts, other)
             continue
         arcs = [(i, j, rows, place, np.exp(_weights(points, pieces, i, rows, place))) for i, j, rows, place in _arcs(points, pieces)]
         alpha, beta = (np.zeros((length + 1, k, len(points))) for _ in range(2))

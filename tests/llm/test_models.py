@@ -105,6 +105,21 @@ def test_forward_recursion(pieces, monkeypatch):
     assert np.isfinite(lattice.word_scores(["y" * 4000], pieces)).all()
 
 
+def test_long_words_enter_the_counts(pieces, monkeypatch):
+    words = ["nation", "unhappiness", "x", "日本語", "a" * 30]
+    seen = np.array([[1.0, 1, 1, 0, 2], [0, 1, 0, 1, 1]])
+    counts, other = lattice.expected_counts(words, seen, pieces)
+    monkeypatch.setattr(lattice, "LONG", 1)
+    again, more = lattice.expected_counts(words, seen, pieces)
+    assert np.allclose(again, counts, atol=1e-9) and np.allclose(more, other, atol=1e-9)
+    # far beyond what a double can hold, and over the border of the parts the way back is done in
+    long, one = "nation" * 1500, np.ones((2, 1))
+    counts, other = lattice.expected_counts([long], one, pieces)
+    assert np.isfinite(counts).all() and (other == 0).all() and counts.sum(axis=1).min() > 1000
+    whole = [np.array(list(lattice._backwards(np.arange(10, dtype=np.uint64), pieces, part)), dtype=object)[:, 0].tolist() for part in (3, 4096)]
+    assert whole[0] == whole[1] == list(range(9, -1, -1))
+
+
 def test_expected_counts_add_up(pieces):
     sample = ["the", "thering", "日本", "and,"]
     counts, other = lattice.expected_counts(sample, np.array([[1, 1, 1, 1], [1, 0, 0, 0]]), pieces)
