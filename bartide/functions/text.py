@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,20 +72,48 @@ def redact_signatures(html) -> Column:
     return F.regexp_replace(F.col(html), SIGNED_PARAMETER, "$1REDACTED")
 
 
+#: names that count without their semicolon too, the longest first, so that the first match is the longest one
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: what numbers of the old Windows code page and the two special control characters stand for
+ODD_NUMBERS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+LAST_POINT = 0x10FFFF
+
+
 def decoded_entities(text: Column) -> Column:
-    """Named and numeric character references as their characters; what is none stays as it is. Each text is changed once
-    for every different reference in it."""
-    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) if name != "amp" for x in (name, chr(point))])
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[0-9A-Za-z]+);"), F.lit(1)))
-    decimal, hexadecimal = (lambda n: n.rlike("^#[0-9]+$")), (lambda n: n.rlike("^#[xX][0-9a-fA-F]+$"))
-
-    def sign(name: Column) -> Column:
-        point = F.when(decimal(name), F.substring(name, 2, 9).try_cast("int")).when(hexadecimal(name), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
+    """Character references as their characters, in one pass, as HTML 5 reads them: all names of the standard, some of them without a semicolon
+    (the longest name counts), decimal and hexadecimal numbers with or without one. What is no reference stays as it is, and what a
+    reference opens is not read again.
+
+    The text is cut at each ampersand; a part begins with its reference and is decoded by itself."""
+    # names by their first letter, because a map is searched from its beginning
+    letters = sorted({name[0] for name in html5})
+    names = F.create_map(*[x for a in letters for x in (F.lit(a), F.create_map(*[F.lit(y) for name, chars in sorted(html5.items()) if name[0] == a for y in (name, chars)]))])
+    value = lambda name: F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    odd = F.create_map(*[F.lit(x) for n, chars in ODD_NUMBERS.items() for x in (n, chars)])
+    bare = "^(" + "|".join(BARE_NAMES) + ")"
+    numeric = r"^#(?:([0-9]+)|[xX]([0-9a-fA-F]+));?"
+
+    def number(part: Column) -> Column:
+        decimal, hexadecimal = (F.regexp_replace(F.regexp_extract(part, numeric, k), "^0+(?=.)", "") for k in (1, 2))
+        point = F.when(decimal != "", F.when(F.length(decimal) > 8, LAST_POINT + 1).otherwise(decimal.try_cast("int"))).otherwise(
+            F.when(F.length(hexadecimal) > 6, LAST_POINT + 1).otherwise(F.conv(hexadecimal, 16, 10).try_cast("int")))
+        last = point.bitwiseAND(0xFFFF)
+        nothing = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (last >= 0xFFFE)
         wide = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        return F.coalesce(F.when((point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF), wide), F.try_element_at(names, name))
+        return F.coalesce(F.try_element_at(odd, point), F.when((point > LAST_POINT) | point.between(0xD800, 0xDFFF), "\ufffd").when(nothing, "").otherwise(wide))
+
+    def named(part: Column) -> Column:
+        whole = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        short = F.regexp_extract(part, bare, 1)
+        rest = lambda name: F.substr(part, F.length(name) + 1)
+        return F.coalesce(F.concat(value(whole), rest(whole)), F.when(short != "", F.concat(value(short), rest(short))), F.concat(F.lit("&"), part))
 
-    changed = F.aggregate(found, text, lambda t, name: F.replace(t, F.concat(F.lit("&"), name, F.lit(";")), F.coalesce(sign(name), F.concat(F.lit("&"), name, F.lit(";")))))
-    return F.replace(changed, F.lit("&amp;"), F.lit("&"))  # last, so that what it opens is not read again
+    def decoded(part: Column) -> Column:
+        is_number = F.regexp_extract(part, numeric, 0)
+        return F.when(is_number != "", F.concat(number(part), F.substr(part, F.length(is_number) + 1))).otherwise(named(part))
+
+    parts = F.split(text, "&")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
 
 
 def _after_each(text: Column, opening: str, keep) -> Column:
@@ -106,10 +134,13 @@ def visible_text(html) -> Column:
 
 def auction_parts(html) -> Column:
     """Struct (released, yield_pct) of an auction release; null when it is not filled in."""
-    text = visible_text(html)
-    day = F.to_date(F.try_to_timestamp(_group(text, AUCTION_DATE, 1), F.lit("MMM d, yyyy")))
-    rate = _group(text, AUCTION_YIELD, 1).try_cast("double")
-    return F.when(day.isNotNull() & rate.isNotNull(), F.struct(day.alias("released"), rate.alias("yield_pct")))
+    def parts(text: Column) -> Column:
+        day = F.to_date(F.try_to_timestamp(_group(text, AUCTION_DATE, 1), F.lit("MMM d, yyyy")))
+        rate = _group(text, AUCTION_YIELD, 1).try_cast("double")
+        return F.struct(day.alias("released"), rate.alias("yield_pct"))
+
+    found = F.transform(F.array(visible_text(html)), parts)  # lists, so that the text is made once
+    return F.get(F.filter(found, lambda p: p["released"].isNotNull() & p["yield_pct"].isNotNull()), F.lit(0))
 
 
 # ---- company pages ------------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -98,7 +98,8 @@ def auctions(spark, folder):
     html = F.concat(F.lit("<html><head><style>td{color:red}</style></head><body><b>Date : "), F.date_format("o_orderdate", "MMM d, yyyy"),
                     F.lit("</b><table><tr><td>Cut-off price (&#8377;) / Yield</td><td>98.60&nbsp; "),
                     F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("(YTM: "), pct, F.lit("%)"))).otherwise("to follow"), F.lit("</td></tr></table></body></html>"))
-    read = rows.select(F.col("o_orderkey").alias("orderkey"), html.alias("html")).withColumn("a", text.auction_parts("html"))
+    # exploded, because an optimiser that pushes the filter down would read each page several times
+    read = rows.select(F.col("o_orderkey").alias("orderkey"), html.alias("html")).select("orderkey", F.explode(F.array(text.auction_parts("html"))).alias("a"))
     return read.where(F.col("a").isNotNull()).select("orderkey", "a.released", "a.yield_pct")
 
 
@@ -238,14 +239,24 @@ YEARS_SQL = """
 SELECT *, row_number() OVER (PARTITION BY suppkey ORDER BY year DESC) AS k FROM (SELECT l_suppkey AS suppkey, year(l_shipdate) AS year, round(sum(l_extendedprice) / 1e4, 1) AS sales, round(sum(l_extendedprice * l_discount) / 1e4, 1) AS operating,
   round(sum(l_extendedprice * l_tax) / 1e5, 1) AS interest, round(sum(l_extendedprice * l_discount) / 1e4 - sum(l_extendedprice * l_tax) / 1e5, 1) AS before_tax,
   round(sum(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice ELSE -l_extendedprice END) / 1e4, 1) AS cash, round(avg(l_discount) * 400, 1) AS roce, round(sum(l_quantity) / 100, 1) AS debt FROM lineitem GROUP BY 1, 2)"""
-# the text of a page in SQL: tags out, then every reference of the page as its character, the ampersand last
+# the text of a page in SQL: tags out, then the parts behind each ampersand decoded by themselves
 _TAGLESS = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
-_KNOWN = "MAP {" + ", ".join(f"'{n}': chr({c})" for n, c in sorted(name2codepoint.items()) if n != "amp") + "}"
-_SIGN = f"CASE WHEN regexp_full_match(x, '#[0-9]+') THEN chr(CAST(x[2:] AS INTEGER)) WHEN regexp_full_match(x, '#[xX][0-9a-fA-F]+') THEN chr(CAST('0x' || x[3:] AS INTEGER)) ELSE coalesce({_KNOWN}[x], '&' || x || ';') END"
-PAGE_TEXT_SQL = f"""
-SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(replace(t, '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r\\x{{00A0}}]+', ' ', 'g') AS t FROM (
-  SELECT page_id, list_reduce(list_transform(list_distinct(regexp_extract_all(t, '&(#?[0-9A-Za-z]+);', 1)), lambda x: ['&' || x || ';', {_SIGN}]), lambda a, x: [replace(a[1], x[1], x[2])], [t])[1] AS t
-  FROM (SELECT page_id, {_TAGLESS} AS t FROM pages)))"""
+# every name of the standard library's table of HTML 5, quoted for SQL
+_QUOTED = {n: "'" + n.replace("'", "''") + "'" for n in html5}
+_KNOWN = "MAP {" + ", ".join(f"{_QUOTED[n]}: " + " || ".join(f"chr({ord(c)})" for c in chars) for n, chars in sorted(html5.items())) + "}"
+_ODD = "MAP {" + ", ".join(f"{n}: chr({ord(c)})" for n, c in text.ODD_NUMBERS.items()) + "}"
+_POINT = "CASE WHEN d <> '' THEN CASE WHEN len(ltrim(d, '0')) > 8 THEN 1114112 ELSE CAST(d AS BIGINT) END WHEN len(ltrim(h, '0')) > 6 THEN 1114112 ELSE CAST('0x' || h AS BIGINT) END"
+PAGE_TEXT_SQL = rf"""
+WITH bare AS (SELECT page_id, string_split({_TAGLESS}, '&') AS parts FROM pages),
+cut AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM bare),
+seen AS (SELECT *, regexp_extract(part, '^#([0-9]+);?', 1) AS d, regexp_extract(part, '^#[xX]([0-9a-fA-F]+);?', 1) AS h, regexp_extract(part, '^#([0-9]+|[xX][0-9a-fA-F]+);?') AS num,
+    regexp_extract(part, '^[^\t\n\f <&#;]{{1,32}};?') AS whole, regexp_extract(part, '^({"|".join(text.BARE_NAMES)})') AS short FROM cut),
+known AS (SELECT MAP(list(n), list(v)) AS m FROM (SELECT unnest(map_keys(t)) AS n, unnest(map_values(t)) AS v FROM (SELECT {_KNOWN} AS t))),
+valued AS (SELECT *, CASE WHEN num <> '' THEN {_POINT} END AS point, m[whole] AS w, m[short] AS s FROM seen, known),
+decoded AS (SELECT page_id, k, CASE WHEN k = 0 THEN part WHEN num <> '' THEN coalesce({_ODD}[point], CASE WHEN point > 1114111 OR point BETWEEN 55296 AND 57343 THEN chr(65533)
+    WHEN point BETWEEN 1 AND 8 OR point = 11 OR point BETWEEN 14 AND 31 OR point = 127 OR point BETWEEN 64976 AND 65007 OR point % 65536 >= 65534 THEN '' ELSE chr(CAST(point AS INTEGER)) END) || part[len(num) + 1:]
+    WHEN w IS NOT NULL THEN w || part[len(whole) + 1:] WHEN short <> '' THEN s || part[len(short) + 1:] ELSE '&' || part END AS t FROM valued)
+SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(string_agg(t, '' ORDER BY k), '[ \t\n\x0B\f\r\x{{00A0}}]+', ' ', 'g') AS t FROM decoded GROUP BY page_id)"""
 
 QUERIES = [
     Query("company_page_metrics", "S10 X19", "symbol:s market_cap:1 current_price:1 roe:1 sales_growth_3yr:1 profit_growth_3yr:1 roce:1 roce_3yr_avg:2 operating_cash_flow:1 operating_cash_flow_3yr:2 interest_coverage:2 debt_to_equity:2 opm:2", company_metrics, with_tables(f"""

@@ -121,6 +121,32 @@ def consistency(spark, folder):
     return sc.disagreements(sweep(spark, folder), odd, "symbol", "rs_63")
 
 
+def tampered_review(spark, folder):
+    """The review with faults put in on purpose: symbols ending in 03 are lost, in 05 doubled, and those in 07 changed in every compared column."""
+    table = cut_lineage(review(spark, folder)).withColumn("passed_technical", F.col("technically_attractive"))
+    ends = lambda tail: F.substring("symbol", -2, 2) == tail
+    changed = {c: F.when(ends("07"), F.col(c) + 0.5).otherwise(F.col(c)) for c in SUMMARY_COLUMNS if c != "trend"}
+    changed |= {"trend": F.when(ends("07"), "?").otherwise(F.col("trend")), "passed_technical": F.when(ends("07"), ~F.col("passed_technical")).otherwise(F.col("passed_technical"))}
+    kept = table.where(~ends("03")).withColumns(changed)
+    return cut_lineage(kept.unionByName(kept.where(ends("05"))))
+
+
+def review_members(spark, folder):
+    """Assertion: the review has one row for each constituent; what it reports are the faults put in."""
+    return sc.membership_problems(tampered_review(spark, folder), members(spark, folder))
+
+
+def output_agreement(spark, folder):
+    """Assertion: technical summary and sector screens agree with the review in every shared column; what differs are the faults put in."""
+    table = tampered_review(spark, folder).dropDuplicates(["symbol"])
+    bars = stored_bars(spark, folder)
+    summary = ind.technical_summary(bars, mk.benchmark(bars))
+    screens = sector_screens(spark, folder)
+    first = sc.column_agreement(summary, table, "symbol", dict.fromkeys(SUMMARY_COLUMNS, 1e-9) | {"trend": None}).withColumn("source", F.lit("technical summary"))
+    second = sc.column_agreement(screens, table, "symbol", {"rs_63": 0.011, "passed_technical": None}).withColumn("source", F.lit("sector screens"))
+    return first.unionByName(second)
+
+
 def quality(spark, folder):
     rows = mk.fundamentals(spark, folder).join(members(spark, folder), "symbol")
     scored = sc.quality_score(rows, ["roce", "opm", "qtr_profit_yoy", "qtr_sales_yoy"], ["debt_to_equity"])
@@ -249,6 +275,15 @@ SELECT *, result_date - DATE '{AS_OF}' AS days_to_results FROM (SELECT *, CASE W
 FROM (SELECT symbol, min(meeting) FILTER (meeting >= DATE '{AS_OF}') AS next_date, max(meeting) FILTER (meeting < DATE '{AS_OF}') AS last_date,
   min(meeting) FILTER (year(meeting) = 2000 AND month(meeting) >= 10) AS prior_year_date FROM meetings GROUP BY 1))""")
 
+SUMMARY_COLUMNS = ["current_price", "rsi", "adx", "rs_63", "support", "resistance", "trend"]
+_SUMMED = """SELECT t.symbol, round_even(t.close, 2) AS current_price, round_even(rsi, 2) AS rsi, round_even(adx, 2) AS adx, s.rs AS rs_63, support, resistance, trend
+  FROM tech t LEFT JOIN spread63 s ON s.symbol = t.symbol LEFT JOIN levels l ON l.symbol = t.symbol WHERE t.rn = t.total AND t.total >= 5"""
+_ODD = "right(symbol, 2) = '07'"
+AGREEMENT_SQL = " UNION ALL ".join(
+    f"SELECT 'technical summary' AS source, '{c}' AS field, count(*) FILTER (right(symbol, 2) <> '03') AS pairs, count(*) FILTER ({_ODD}{'' if c == 'trend' else f' AND {c} IS NOT NULL'}) AS differing FROM summed"
+    for c in SUMMARY_COLUMNS) + f""" UNION ALL SELECT 'sector screens', 'rs_63', count(*) FILTER (right(symbol, 2) <> '03'), count(*) FILTER ({_ODD} AND rs_63 IS NOT NULL) FROM judged
+UNION ALL SELECT 'sector screens', 'passed_technical', count(*) FILTER (right(symbol, 2) <> '03'), count(*) FILTER ({_ODD}) FROM judged"""
+
 REVIEW = ("symbol:s company:s sector:s passed_count:i criteria_total:i failed_criteria:s hard_pass:b soft_fails:s thin_margin:b trend:s sessions:i rs_63:2 rs_momentum:2 "
           "rs_10:2 recent_share:1 rs_select:2 median_turnover:2 vs_sector:2 sector_momentum:2 sector_rank:i quadrant_market:s quadrant_sector:s technically_attractive:b "
           "di_gap:2 thin_trend:b recent_spike:b clean:b eligible:b full_standard:b")
@@ -281,6 +316,9 @@ WHERE r.symbol NOT IN (SELECT symbol FROM picks)""")),
 SELECT coalesce(s.symbol, f.symbol) AS symbol, s.rs_63 AS a, f.rs AS b FROM (SELECT symbol, rs_63 FROM review WHERE symbol NOT IN (SELECT symbol FROM picks)) s
 FULL JOIN (SELECT symbol, rs + CASE WHEN right(symbol, 2) = '07' THEN 0.02 ELSE 0 END AS rs FROM spread63) f ON f.symbol = s.symbol
 WHERE abs(s.rs_63 - f.rs) > 0.011 OR (s.rs_63 IS NULL) <> (f.rs IS NULL)""")),
+    Query("review_members", "Q7", "symbol:s problem:s rows:i", review_members, with_tables("""
+SELECT symbol, CASE WHEN right(symbol, 2) = '03' THEN 'missing' ELSE 'repeated' END AS problem, CASE WHEN right(symbol, 2) = '03' THEN 0 ELSE 2 END AS rows FROM listed WHERE right(symbol, 2) IN ('03', '05')""")),
+    Query("output_agreement", "Q7 J16", "source:s field:s pairs:i differing:i", output_agreement, with_tables(AGREEMENT_SQL, summed=_SUMMED)),
     Query("quality_score", "Q9 W9", "symbol:s score:6 position:i", quality, with_tables("""
 SELECT symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS position FROM (SELECT symbol, (coalesce(roce_r, 0.5) + coalesce(opm_r, 0.5) + coalesce(p_r, 0.5) + coalesce(s_r, 0.5) + coalesce(d_r, 0.5)) / 5 AS score
 FROM (SELECT symbol, """ + ", ".join(

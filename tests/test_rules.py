@@ -144,3 +144,18 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     two = lg.fingerprint(rows.orderBy(F.desc("v")), ["p"], ["v"]).first()
     three = lg.fingerprint(rows.replace("c", "d"), ["p"], ["v"]).first()
     assert one == two and one["digest"] != three["digest"]
+
+
+def test_references_are_read_as_the_standard_library_reads_them(spark):
+    import html
+    from html.entities import html5
+
+    from bartide.functions.text import decoded_entities
+
+    samples = [f"x&{n}y" for n in html5] + [f"&{n};z" for n in html5] + [f"&#{n};" for n in [*range(0, 300), 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10 ** 30]]
+    samples += [f"&#x{n:x}" for n in (0, 13, 0x41, 0x80, 0x9F, 0x1F600, 0x110000, 16 ** 9)] + ["&#X41;b", "&#0065;", "&#00000000000065 x", "&#;", "&#x;", "&", "&&amp;", "a & b", "&amp;lt;", "&#38;lt; .. &lt;", "&copy 2020",
+                "&notit;", "&notin;", "&NotARealName;", "&am", "&amplt", "&thetasymx", "", "no reference", "&frac12&frac34;", "&é;", "&check;&apos;", "&#150;"]
+    rows = spark.createDataFrame(list(enumerate(samples)), "i int, t string").repartition(3)
+    found = {r.i: r.d for r in rows.select("i", decoded_entities(rows["t"]).alias("d")).collect()}
+    wrong = [(s, found[i], html.unescape(s)) for i, s in enumerate(samples) if found[i] != html.unescape(s)]
+    assert not wrong, wrong[:5]
