@@ -34,6 +34,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(docs: DataFrame) -> list[F.Column]:
+    """All columns of a table, whatever dots their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name like `name` that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """Only (doc_id, text), so that further columns of whatever name take no part; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

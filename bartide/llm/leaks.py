@@ -155,7 +155,8 @@ def _pairs_of(block: Block):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of `docs`, with all columns, whose text is not contaminated. Narrow: a filter in each pass."""
-    text = docs.columns.index("text")
+    names, text = docs.columns, docs.columns.index("text")
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name with a dot could not be passed on
     for block in blocks(benchmark):
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,4 +165,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
-    return docs
+    return docs.toDF(*names)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bartide.llm.common import join_heavy, stored
+from bartide.llm.common import columns_of, join_heavy, stored
 
 GAP = r"\\x20\\x09-\\x0D"
 #: the grid of each rule and its value; values are null-safe by greatest(.., 1)
@@ -38,12 +38,13 @@ def measured(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
                        F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^{GAP}]')").alias("lines"),
                        F.expr("length(text) - length(regexp_replace(text, '[#*$%&|<>]', ''))").alias("n_symbols"),
                        F.expr(r"length(text) - length(regexp_replace(text, '\\p{Lu}', ''))").alias("n_capitals"),
-                       F.expr("length(text) - length(regexp_replace(text, '[!?]', ''))").alias("n_shouts"))
-    step = step.select(*carried, "doc_id", "lang", "n_symbols", "n_capitals", "n_shouts", F.expr("size(words)").alias("n_words"),
+                       F.expr("length(text) - length(regexp_replace(text, '[!?]', ''))").alias("n_shouts"), F.xxhash64("text").alias("text_hash"))
+    step = step.select(*carried, "doc_id", "lang", "text_hash", "words", "n_symbols", "n_capitals", "n_shouts", F.expr("size(words)").alias("n_words"),
                        F.expr("length(array_join(words, ''))").alias("word_chars"), F.expr("size(lines)").alias("n_lines"),
                        F.expr("size(lines) - size(array_distinct(lines))").alias("n_dup_lines"),
                        F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
-    # three-word windows as hashes with the position in the low bits: one sort of longs brings equal windows together
+    # three-word windows as hashes with the position in the low bits: one sort of longs brings equal windows together; as the position
+    # takes bits from the hash, neighbours are compared word by word
     step = step.withColumn("pos_bits", F.expr("cast(floor(log2(n_words + 1)) + 1 as int)"))
     step = step.withColumn("sorted", F.expr("""
         if(n_words < 3, cast(array() as array<bigint>), sort_array(zip_with(
@@ -52,12 +53,14 @@ def measured(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             sequence(0, greatest(n_words - 3, 0)), (x, i) -> shiftleft(x, pos_bits) | cast(i as bigint))))"""))
     step = step.withColumn("found", F.expr("""
         flatten(filter(zip_with(sorted, slice(sorted, 2, greatest(size(sorted) - 1, 0)),
-                                (a, b) -> if(shiftrightunsigned(a ^ b, pos_bits) = 0, array(a, b), null)), x -> x is not null))"""))
+                                (a, b) -> if(shiftrightunsigned(a ^ b, pos_bits) = 0
+                                             and slice(words, cast(a & (shiftleft(1L, pos_bits) - 1) as int) + 1, 3) = slice(words, cast(b & (shiftleft(1L, pos_bits) - 1) as int) + 1, 3),
+                                             array(a, b), null)), x -> x is not null))"""))
     step = step.withColumn("n_repeat_words", F.expr("""
         size(array_distinct(flatten(transform(array_distinct(found), x -> transform(sequence(0L, 2L),
              k -> (x & (shiftleft(1L, pos_bits) - 1)) + k)))))"""))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
-    return step.select(*carried, "doc_id", "lang", *[F.col(c).cast("long").alias(c) for c in counts])
+    return step.select(*carried, "doc_id", "lang", "text_hash", *[F.col(c).cast("long").alias(c) for c in counts])
 
 
 def base_failed() -> Column:
@@ -95,7 +98,8 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> Da
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Per document: doc_id, the counts, base_failed, kept and failed_rules (names joined by commas, empty if none).
 
-    Labels with a null id or quality take no part; a document with several labels counts once for each. A null language is
+    Labels with a null id or quality take no part. Equal texts of a language with equal labels are one trial, however many documents and
+    labels there are, because the bound is for independent ones; a text labelled both ways is one of each. A null language is
     the stratum ''. Null and empty texts fail the base rule. One row per input row; an empty table gives an empty result."""
     rows = stored(measured(docs))
     limits, total = limits_of(rows, labels, risk, delta)
@@ -107,7 +111,7 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 def limits_of(rows: DataFrame, labels: DataFrame, risk: float, delta: float) -> tuple[DataFrame, int]:
     """(lang, rows_of_lang and the cutoff of each rule or null, number of rows) of stored counts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null")
-    chosen = cutoffs(rows.join(marks, "doc_id"), risk, delta)
+    chosen = cutoffs(rows.join(marks, "doc_id").dropDuplicates(["lang", "text_hash", "good"]), risk, delta)
     limits = chosen.groupBy("lang").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"at_{r}") for r in RULES])
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
     limits = stored(sizes.join(limits, "lang", "left"))
@@ -123,7 +127,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta
     against the cutoffs."""
     limits, total = limits_of(stored(measured(docs)), labels, risk, delta)
     at = [f"at_{r}" for r in RULES]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    whole = docs.select(F.struct(*columns_of(docs)).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     limited = join_heavy(whole, limits, "lang", "rows_of_lang", total).select("row", "row.doc_id", "row.text", "lang", *at)
     # the filter names the counts many times; a column that isn't deterministic keeps it above the step that computes them
     rows = measured(limited, ("row", *at)).withColumn("barrier", F.monotonically_increasing_id())
@@ -152,13 +156,13 @@ covered AS (
   SELECT row_id, count(DISTINCT p) AS n_repeat_words FROM (
     SELECT spots.row_id, unnest([i, i + 1, i + 2]) AS p FROM spots JOIN twice USING (row_id, a, b, c)) GROUP BY row_id),
 measured AS (
-  SELECT cut.row_id, doc_id, lang, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+  SELECT cut.row_id, doc_id, lang, text, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
          len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(text) - len(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_capitals,
          len(text) - len(regexp_replace(text, '[!?]', '', 'g')) AS n_shouts,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM cut LEFT JOIN covered USING (row_id)),
-labelled AS (SELECT m.*, l.quality = 1 AS good FROM measured AS m JOIN labels AS l ON m.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
+labelled AS (SELECT DISTINCT m.* EXCLUDE (doc_id, row_id), l.quality = 1 AS good FROM measured AS m JOIN labels AS l ON m.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
 strata AS (SELECT lang, sum(CASE WHEN good THEN 1 ELSE 0 END)::BIGINT AS n_good FROM labelled GROUP BY lang),
 terms AS (
   SELECT lang, n_good, i, n_good * ln(1 - {rate!r}) + i * ln({rate!r} / (1 - {rate!r}))

@@ -1,12 +1,12 @@
-"""Substring deduplication by hashes of lines and the sentences in them.
+"""Substring deduplication by hashes of lines and the clauses in them.
 
-A text is cut into lines and these at sentence ends, because a repeated passage often begins in the middle of a line; the cut
-parts, with their bytes in the text, are the units. Normalised units are grouped by digest over the whole corpus; the
+A text is cut into lines and these at the marks that end sentences and clauses, because a repeated passage often begins and ends in the middle of
+a sentence; the cut parts, with their places in the text, are the units, and what a passage loses at its ragged ends is less than a clause. Normalised units are grouped by digest over the whole corpus; the
 occurrence of the lowest (doc_id, place) stays. The others are copies; a run of copies that follow each other is
-removed if it has at least `min_words` words, so that short sentences which recur by chance stay where they are.
+removed if it has at least `min_words` words, so that clauses which recur by chance stay where they are.
 
-A passage of few long sentences, or one that starts and ends inside sentences, shares too few whole units. `repeated_windows`
-finds those by windows of words instead, whatever the sentences are; the pipeline runs it on what the first rule has left.
+A passage of few long clauses shares too few whole units. `repeated_windows`
+finds those by windows of words instead, whatever the sentences are; the pipeline removes what either of them finds.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bartide.llm.common import batch_words, join_heavy, mixed, shingles, stored, text_buffers, texts_of
+from bartide.llm.common import batch_words, columns_of, free_name, join_heavy, mixed, shingles, stored, text_buffers, texts_of
 
 #: words in a run of copies from which on it is removed
-MIN_WORDS = 28
+MIN_WORDS = 20
 #: words of a window that no later document may share
 WINDOW_WORDS = 51
 #: words of an anchor; every window shares an anchor with all its copies
@@ -33,12 +33,12 @@ ANCHOR_WORDS = 16
 TEXTS_AT_ONCE = 400
 #: more than the code points of any text
 _STARTS = 10**12
-_UNIT = re.compile(r"[^\n.!?]*(?:\n|[.!?]+|\Z)")
+_UNIT = re.compile(r"[^\n.!?,;:]*(?:\n|[.!?,;:]+|\Z)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def cut_units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit with a word, in code points; a unit ends with a line or sentence end."""
+    """(start, end, words, digest) of each unit with a word, in code points; a unit ends with a line, sentence or clause."""
     out = []
     for m in _UNIT.finditer(text):
         words = _WORD.findall(m[0])
@@ -165,10 +165,22 @@ def repeated_windows(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     return copies.withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
+def merged_spans(*spans: DataFrame) -> DataFrame:
+    """doc_id, start, end: the union of several tables of spans as disjoint ones; spans that touch become one."""
+    every = spans[0].select("doc_id", "start", "end")
+    for more in spans[1:]:
+        every = every.unionByName(more.select("doc_id", "start", "end"))
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = every.withColumn("fresh", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
+    return runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """`docs` with the spans (doc_id, start, end) cut from the text; other columns stay. Texts without a span stay as they are."""
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    return docs.join(lists, "doc_id", "left").withColumn("text", cut_text(F.col("text"), F.col("_spans"))).select(docs.columns)
+    name = free_name(docs, "spans")
+    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
+    return docs.join(lists, "doc_id", "left").withColumn("text", cut_text(F.col("text"), F.col(name))).select(columns_of(docs))
 
 
 def cut_text(text: Column, spans: Column) -> Column:
@@ -181,7 +193,7 @@ def cut_text(text: Column, spans: Column) -> Column:
 
 SQL = rf"""
 WITH numbered AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]*(?:\n|[.!?]+)|[^\n.!?]+') AS list FROM numbered),
+parts AS (SELECT doc_id, regexp_extract_all(text, '[^\n.!?,;:]*(?:\n|[.!?,;:]+)|[^\n.!?,;:]+') AS list FROM numbered),
 spread AS (
   SELECT doc_id, unnest(list) AS part, generate_subscripts(list, 1) AS i FROM parts),
 placed AS (

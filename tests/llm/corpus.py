@@ -46,7 +46,7 @@ def base_counts(text):
 
 def units(text):
     out, start = [], 0
-    for part in re.findall(r"[^\n.!?]*(?:\n|[.!?]+)|[^\n.!?]+", text or ""):
+    for part in re.findall(r"[^\n.!?,;:]*(?:\n|[.!?,;:]+)|[^\n.!?,;:]+", text or ""):
         if words(part):
             out.append((start, start + len(part), len(words(part)), " ".join(words(part)).lower()))
         start += len(part)

@@ -233,9 +233,11 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     for doc, start, end in repeated_runs(kept, units.MIN_WORDS):
         runs[doc].append((start, end))
     assert 241 in runs
+    for doc, start, end in brute_windows(kept, units.WINDOW_WORDS):
+        runs[doc].append((start, end))
     for doc, spans in runs.items():
-        for start, end in sorted(spans, reverse=True):
-            kept[doc] = kept[doc][:start] + kept[doc][end:]
+        gone = {k for start, end in spans for k in range(start, end)}
+        kept[doc] = "".join(c for k, c in enumerate(kept[doc]) if k not in gone)
     kept = {i: t for i, t in kept.items() if words(t)}
     kept = {i: t for i, t in kept.items() if not any(brute_tiles(letters(t), letters(x), 5) >= 0.5 * len(letters(x)) for x in items.values())}
     assert 242 not in kept
@@ -254,3 +256,33 @@ def test_stages_pass_empty_tables_and_rows_without_id(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 2
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    texts = {i: t for i, t in awkward().items() if i < 60 and i != 50}
+    docs = frame(spark, texts).drop("n_chars").selectExpr("*", "1 as `a.b`", "'s' as _spans", "'t' as spans", "2 as length", "3 as barrier", "4 as text_hash", "5 as `row.x`", "6 as bucket", "7 as `b``c`")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.count() > 0 and {r["a.b"] for r in out.collect()} == {1}, name
+
+
+def test_kept_windows_are_compared_word_by_word(spark):
+    from bartide.llm import quality
+    texts = awkward()
+    for r in quality.measured(frame(spark, texts)).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(texts[r.doc_id])
+
+
+def test_copies_of_a_labelled_text_are_one_trial(spark):
+    from bartide.llm import quality
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    good = [" ".join(word() for _ in range(60)) for _ in range(4)]
+    texts = {i: good[i % 4] for i in range(3000)} | {5000 + i: " ".join(word() for _ in range(50)) + " " + "#" * 400 for i in range(40)}
+    docs = frame(spark, texts).withColumn("lang", quality.F.lit("en"))
+    labels = spark.createDataFrame([(d, int(d < 5000)) for d in texts], "doc_id long, quality int")
+    rows = quality.judged(docs, labels).collect()
+    assert all(r.failed_rules == "" for r in rows)  # four good texts prove no cutoff, three thousand copies of them neither
