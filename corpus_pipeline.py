@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bartide.llm import bytebpe, leaks, near, quality, units
-from bartide.llm.common import documents, stored
+from bartide.llm.common import columns_of, documents, free_name, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +23,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, of each class of near-duplicates."""
     kept = near.near_classes(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return chosen.select(columns_of(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; documents of which no word is left go."""
-    spans = stored(units.repeated_passages(docs))
-    left = stored(units.without_spans(docs.withColumn("n_chars", F.col("n_chars").cast("long")), spans))
-    left = units.without_spans(left, stored(units.repeated_windows(left)))
-    some = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.coalesce(F.col("n_chars"), F.lit(0)) == F.coalesce(F.length("text"), F.lit(0)))
-    return left.where(some).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Texts without the passages that an earlier document has; documents of which no word is left go, those that had none before stay."""
+    before = free_name(docs, "length")
+    found = stored(units.merged_spans(units.repeated_passages(docs), units.repeated_windows(docs)))
+    left = units.without_spans(docs.withColumn(before, F.coalesce(F.length("text"), F.lit(0))), found)
+    left = left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col(before) == F.coalesce(F.length("text"), F.lit(0))))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(columns_of(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
