@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from bartide.llm.common import stored
 
 TRAINED = "assistant"
-#: conversation ids that one window task orders, at most
-IDS_PER_BUCKET = 1024
 
 
 def _role(turn: Column) -> Column:
@@ -77,10 +75,10 @@ def conversations_of(turns: DataFrame) -> DataFrame:
 
 def sibling_pairs(conversations: DataFrame) -> DataFrame:
     """(a, b): of the different conversations that open with one turn, each with the next one by conv_id. Copies of a
-    conversation count once, under their smallest conv_id. A common opening is never ordered by one task: conversations are
-    ordered in ranges of ids, and the ends of the ranges by range."""
+    conversation count once, under their smallest conv_id. Conversations are dealt by range of (opening, conv_id), so a common opening is never
+    ordered by one task, however its ids are spread; the ends of the ranges, one a partition, are ordered by range."""
     once = conversations.groupBy("opening", "whole").agg(F.min("conv_id").alias("a"))
-    once = once.withColumn("bucket", F.floor(F.col("a") / IDS_PER_BUCKET))
+    once = stored(once.select("opening", "a").repartitionByRange("opening", "a").withColumn("bucket", F.spark_partition_id()))
     inside = once.withColumn("next", F.lead("a").over(Window.partitionBy("opening", "bucket").orderBy("a")))
     starts = once.groupBy("opening", "bucket").agg(F.min("a").alias("start"))
     starts = starts.select("opening", "bucket", F.lead("start").over(Window.partitionBy("opening").orderBy("bucket")).alias("after"))

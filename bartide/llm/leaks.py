@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bartide.llm.common import batch_words, shingles, texts_of
+from bartide.llm.common import _powers, batch_words, mixed, shingles, texts_of
 
 MIN_TILE = 5
 COVERAGE = 0.5
 #: bytes of benchmark texts that a pass compares with all texts
 BLOCK_BYTES = 8 << 20
+#: equal places of a text and the items of a block that are listed at most; texts with more, such as loops of a few words, are tiled without a list
+LISTED = 1 << 20
 
 
 @dataclass
@@ -63,7 +65,7 @@ def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], min_
     used_text: set[int] = set()
     used_item = np.zeros(len(item), bool)
     found = []
-    while heap:
+    while heap and not used_item.all():
         n, a, b = heapq.heappop(heap)
         free = [not used_item[b + k] and a + k not in used_text for k in range(-n)]
         if all(free):
@@ -82,6 +84,64 @@ def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], min_
     return found
 
 
+class Windows:
+    """Karp-Rabin values of the windows of any width of a word sequence, and which of its words are marked."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        size = 1 << max(20, int(len(words) + 1).bit_length())
+        up, self._down = _powers(size)
+        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:len(words)], dtype=np.uint64)))
+        self.used = np.zeros(len(words), bool)
+
+    def free(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, value) of every window of `width` words without a marked one."""
+        n = len(self.words) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.concatenate(([0], np.cumsum(self.used)))
+        at = np.flatnonzero(marked[width:] == marked[:n])
+        return at, mixed((self._sums[at + width] - self._sums[at]) * self._down[at])
+
+
+def longest_free_match(text: Windows, item: Windows, width: int) -> tuple[int, int] | None:
+    """The first places of a free window of `width` words that both have."""
+    b, values = item.free(width)
+    a, own = text.free(width)
+    if not len(b) or not len(a):
+        return None
+    order = np.argsort(values, kind="stable")
+    values, b = values[order], b[order]
+    low = np.searchsorted(values, own)
+    low[low == len(values)] = 0
+    for k in np.flatnonzero(values[low] == own):
+        for j in range(low[k], np.searchsorted(values, own[k], "right")):  # items of one value stand in their order
+            if (text.words[a[k]:a[k] + width] == item.words[b[j]:b[j] + width]).all():
+                return int(a[k]), int(b[j])
+    return None
+
+
+def tiles_by_width(words: np.ndarray, item_words: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
+    """The tiles of `tiles` without a list of equal places: the greatest width that free windows of both share is found by halving, its first match is
+    marked, and so on with widths that never rise. Work follows the two lengths and the number of tiles, whatever repeats in them."""
+    text, item = Windows(words), Windows(item_words)
+    found: list[tuple[int, int, int]] = []
+    width = min(len(words), len(item_words))
+    while width >= min_tile:
+        match = longest_free_match(text, item, width)
+        if match is None:
+            low, high = min_tile - 1, width - 1  # a match of `low` words exists, or none at all
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if longest_free_match(text, item, middle) else (low, middle - 1)
+            width = low
+            continue
+        a, b = match
+        found.append((a, b, width))
+        text.used[a:a + width] = item.used[b:b + width] = True
+    return found
+
+
 def matches(column: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text number, item, tiles, covered words, words of the item, longest tile) of every text and item that share a tile."""
     for start in range(0, len(column), 500):
@@ -96,12 +156,28 @@ def matches(column: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int
             continue
         low, high = low[hit], np.searchsorted(block.seeds, seeds[hit], "right")
         n = high - low
+        begins = np.searchsorted(rows, np.arange(rows[-1] + 2))
+        many = np.bincount(rows[first[hit]], n)[rows[first[hit]]] > LISTED
+        for row in np.unique(rows[first[hit[many]]]).tolist():
+            a, b = begins[row], begins[row + 1]
+            own = np.unique(low[rows[first[hit]] == row])
+            ends = np.searchsorted(block.seeds, block.seeds[own], "right")
+            spots = np.concatenate([block.places[x:y] for x, y in zip(own, ends)])
+            for which in np.unique(np.searchsorted(block.ends, spots, "right")).tolist():
+                c, d = (block.ends[which - 1] if which else 0), block.ends[which]
+                if d - c < block.min_tile and b - a != d - c:
+                    continue  # a shorter item has one seed, of all its words
+                found = tiles_by_width(hashes[a:b], block.words[c:d], min(block.min_tile, int(d - c)))
+                if found:
+                    yield row + start, which, len(found), sum(t[2] for t in found), int(d - c), max(t[2] for t in found)
+        hit, low, n = hit[~many], low[~many], n[~many]
+        if not len(hit):
+            continue
         where = np.repeat(first[hit], n)
         spot = block.places[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         item = np.searchsorted(block.ends, spot, "right")
         pair = rows[where] * len(block.ids) + item
         order = np.argsort(pair, kind="stable")
-        begins = np.searchsorted(rows, np.arange(rows[-1] + 2))
         for part in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
             row, which = divmod(int(pair[part[0]]), len(block.ids))
             a, b = begins[row], begins[row + 1]

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from bartide.llm import leaks
 
@@ -32,7 +35,38 @@ def brute_tiles(text, item, least):
         total += n
 
 
-def test_equals_brute_force(spark):
+def test_tiles_by_width_equal_the_definition():
+    rng = random.Random(9)
+    for _ in range(150):
+        kinds = rng.choice([2, 3, 12])
+        text, item = ([rng.randrange(kinds) for _ in range(rng.randrange(1, 60))] for _ in range(2))
+        if rng.random() < 0.5:
+            item[3:3] = text[10:30]
+        a, b = (np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (text, item))
+        found = leaks.tiles_by_width(a, b, 3)
+        assert sum(n for *_, n in found) == brute_tiles(text, item, 3) and all(text[i:i + n] == item[j:j + n] for i, j, n in found)
+
+
+def test_loops_of_a_few_words_are_not_listed():
+    import pyarrow as pa
+    loop = "one two three four five six seven " * 20_000
+    block = leaks.block_of([(1, "one two three four five six seven " * 120), (2, "seven one two three four five eight " * 3), (3, "nothing of it at all here")])
+    begun = time.perf_counter()
+    found = {m[1]: m[3:5] for m in leaks.matches(pa.array([loop, "seven one two three four five eight"]), block) if m[0] == 0}
+    assert found[0] == (840, 840) and found[1] == (18, 21) and 2 not in found and time.perf_counter() - begun < 20
+
+
+@pytest.mark.parametrize("listed", [0, leaks.LISTED])
+def test_equals_brute_force(spark, monkeypatch, listed):
+    monkeypatch.setattr(leaks, "LISTED", listed)
+    cloudpickle.register_pickle_by_value(leaks)  # so that workers take the number along
+    try:
+        check_brute_force(spark)
+    finally:
+        cloudpickle.unregister_pickle_by_value(leaks)
+
+
+def check_brute_force(spark):
     rng = random.Random(5)
     vocabulary = ["the", "of", "a", "in"] + [f"w{i}" for i in range(30)]
     items = {i: " ".join(rng.choices(vocabulary, k=rng.randrange(6, 30))) for i in range(12)}
