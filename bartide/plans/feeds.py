@@ -13,7 +13,7 @@ from bartide.plans.catalog import Query
 from bartide.plans.ledger import STOP_DAY, STOP_SHARE
 from bartide.plans.market_sql import SYMBOL, with_tables
 from bartide.session import shared_folder
-from bartide.sources import files
+from bartide.sources import batches, files
 from bartide.sources import market as mk
 from bartide.streaming import market as sm
 
@@ -205,19 +205,19 @@ def intraday(spark, folder):
 
 
 def streamed_first(spark, folder):
-    """One event per user and type and hour: repeats within the watermark dropped. Counted per type."""
+    """One event per user and type and hour. Repeats share their hour, so a watermark of one hour finds them all and the state holds the last hours only."""
     path = scratch(spark, "first")
     stream = event_stream(spark, folder).withColumn("hour", F.date_trunc("hour", "ts"))
-    sm.run_to_table(sm.first_per_key(stream, "ts", ["user_id", "event_type", "hour"], "60 days").select("user_id", "event_type", "hour"), f"{path}/table", f"{path}/state")
+    sm.run_to_table(sm.first_per_key(stream, "ts", ["user_id", "event_type", "hour"], "1 hour").select("user_id", "event_type", "hour"), f"{path}/table", f"{path}/state")
     return spark.read.parquet(f"{path}/table")
 
 
 def streamed_latest(spark, folder):
-    """Keep-last per user and type: batches appended, versions resolved on reading."""
-    path = scratch(spark, "latest")
+    """Keep-last per user and type: batches appended and merged in levels, the few versions of a key resolved on reading."""
+    path, key = scratch(spark, "latest"), ["user_id", "event_type"]
     stream = event_stream(spark, folder).select("user_id", "event_type", "event_id", "ts", "value")
-    sm.append_latest(stream, f"{path}/table", f"{path}/state", ["user_id", "event_type"], "event_id").awaitTermination()
-    return sm.latest_rows(spark.read.parquet(f"{path}/table"), ["user_id", "event_type"], "event_id")
+    sm.append_latest(stream, f"{path}/table", f"{path}/state", key, "event_id").awaitTermination()
+    return batches.read_latest(spark, f"{path}/table", stream.schema, key, "event_id")
 
 
 def streamed_alerts(spark, folder):

@@ -9,6 +9,7 @@ from bartide.operators.ranking import with_positions, with_ranks
 from bartide.operators.rolling import latest, smoothed
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import offset_sql, spread_sql, with_tables
+from bartide.session import cut_lineage
 from bartide.sources import market as mk
 
 
@@ -73,7 +74,7 @@ def run_up(spark, folder):
 
 
 def summary(spark, folder):
-    bars = _bars(spark, folder)
+    bars = cut_lineage(_bars(spark, folder))  # trend, ranges, levels and strength read them
     return ind.technical_summary(bars, mk.benchmark(bars))
 
 
@@ -83,7 +84,7 @@ def volatility(spark, folder):
 
 def stops_frame(spark, folder):
     """Stops at the latest close, trailed against the stops of the bars up to 13 sessions earlier."""
-    bars = _bars(spark, folder)
+    bars = cut_lineage(_bars(spark, folder))
 
     def at(rows, tag):
         price = latest(rows).select("symbol", F.col("close").alias(f"price{tag}"))

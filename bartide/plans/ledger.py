@@ -21,7 +21,7 @@ from bartide.plans import risk as risk_plans
 from bartide.plans.catalog import Query
 from bartide.plans.market_sql import define, with_tables
 from bartide.plans.risk import PERF_SQL, VALUE_SQL, var_sql
-from bartide.session import cut_lineage
+from bartide.session import cut_lineage, once
 from bartide.sources import market as mk
 
 PRINCIPAL, SLEEVE = 1e7, 0.97
@@ -38,6 +38,12 @@ def trades(spark, folder):
     return mk.trades(spark, folder)
 
 
+@once
+def stored_trades(spark, folder):
+    """The ledger, for queries that read it in several places."""
+    return trades(spark, folder)
+
+
 def recent(spark, folder):
     return trades(spark, folder).where(F.col("session") >= F.lit(START).cast("date"))
 
@@ -107,7 +113,7 @@ def marks(rows, calendar):
 
 def daily(spark, folder):
     bars, calendar = market_frames(spark, folder)
-    rows = trades(spark, folder)
+    rows = stored_trades(spark, folder)
     return lg.daily_values(rows, bars, calendar, mk.factor_levels(spark, folder, bars), marks(rows, calendar), PRINCIPAL)
 
 
@@ -136,7 +142,7 @@ def positions(spark, folder):
 
 def headline_of(spark, folder):
     bars, calendar = market_frames(spark, folder)
-    rows = trades(spark, folder)
+    rows = stored_trades(spark, folder)
     values = lg.daily_values(rows, bars, calendar, mk.factor_levels(spark, folder, bars), marks(rows, calendar), PRINCIPAL)
     return lg.headline(values, positions_of(rows, bars))
 
@@ -215,7 +221,8 @@ def alerts(spark, folder):
 
 def attribution_stocks_of(spark, folder):
     bars, calendar = market_frames(spark, folder)
-    stock_trades = trades(spark, folder).where(~lg.is_option())
+    every = stored_trades(spark, folder)
+    stock_trades = every.where(~lg.is_option())
     held = risk_plans.members(spark, folder)
     fx = risk_plans.factors(spark, folder).select("session", F.col("market_ret").alias("m"))
     cutoff = F.col("session") <= F.lit("2000-12-31").cast("date")
@@ -224,7 +231,7 @@ def attribution_stocks_of(spark, folder):
     theme_beta = rk.latest_betas(theme.where(cutoff), fx, "all").select(F.col("beta").alias("_tb"))
     moves = (fx.join(theme, "session", "left").join(theme_beta).join(calendar, "session")
              .select("n", F.col("m").alias("market_ret"), F.coalesce(F.col("ret") - F.col("_tb") * F.col("m"), F.lit(0.0)).alias("theme_ret")))
-    starts = trades(spark, folder).groupBy("portfolio").agg(F.min("session").alias("start"))
+    starts = every.groupBy("portfolio").agg(F.min("session").alias("start"))
     return lg.split_pnl(lg.holdings_path(stock_trades, calendar), lg.filled_prices(bars, calendar), moves, betas, stock_trades, calendar, starts)
 
 
@@ -235,7 +242,7 @@ def attribution_stocks(spark, folder):
 
 def attribution(spark, folder):
     values = daily(spark, folder)
-    return lg.attribution(values, attribution_stocks_of(spark, folder), trades(spark, folder).where(lg.is_option()), PRINCIPAL)
+    return lg.attribution(values, attribution_stocks_of(spark, folder), stored_trades(spark, folder).where(lg.is_option()), PRINCIPAL)
 
 
 def value_paths(spark, folder):

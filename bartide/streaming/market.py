@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bartide.sources import batches
 from bartide.sources.market import arrival_key
 
 
@@ -40,21 +41,12 @@ def stop_alerts(closes: DataFrame, stops: DataFrame, near_pct: float = 3.0) -> D
 
 
 def append_latest(ticks: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keep-last without rewriting the table: every micro-batch appends its latest row per key; `latest_rows` resolves
-    the few versions of a key when reading."""
-    others = [c for c in ticks.columns if c not in keys]
-
+    """Keep-last without rewriting the table: every micro-batch adds its latest row per key as a batch of its own; a replayed one is not taken
+    twice, and `batches.read_latest` resolves the few versions of a key."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
-        # a replayed batch writes the same folder again
-        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (ticks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
+        batches.upsert(batch.sparkSession, path, batch, str(batch_id), keys, order)
 
-def latest_rows(stored: DataFrame, keys: list[str], order: str) -> DataFrame:
-    others = [c for c in stored.columns if c not in keys]
-    return stored.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in others])
+    return ticks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bartide.operators import ledger as lg
 from bartide.operators import screening as sc
-from bartide.sources import files
+from bartide.sources import batches, files
 from bartide.streaming import market as sm
 
 
@@ -135,7 +135,7 @@ def test_late_rows_and_bars_in_a_stream(spark, tmp_path):
     inside = [v for _, _, t, v in rows if second["session"] <= t < second["until"]]
     assert (second["open"], second["high"], second["low"], second["close"], second["qty"]) == (inside[0], max(inside), min(inside), inside[-1], len(inside))
     sm.append_latest(stream, str(tmp_path / "t2"), str(tmp_path / "s2"), ["key"], "id").awaitTermination()
-    assert sm.latest_rows(spark.read.parquet(str(tmp_path / "t2")), ["key"], "id").first()["v"] == 39.0
+    assert batches.read_latest(spark, str(tmp_path / "t2"), stream.schema, ["key"], "id").first()["v"] == 39.0
 
 
 def test_fingerprint_ignores_order_and_sees_changes(spark):
