@@ -66,7 +66,8 @@ def test_price_folders_are_pruned_by_year(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", ["minimum_variance_weights", "equal_risk_weights", "hedged_value_at_risk", "risk_summary", "table_consistency", "action_files", "day_files", "page_texts"])
+@pytest.mark.parametrize("name", ["minimum_variance_weights", "equal_risk_weights", "hedged_value_at_risk", "risk_summary", "table_consistency", "action_files", "day_files", "page_texts", "universe_covariance", "universe_weights", "grown_index_levels",
+                                  "batch_outcomes", "merged_rates", "latest_turnover_files", "restated_factors", "trailing_stop_alerts", "review_members", "output_agreement"])
 def test_newer_queries_equal_sql(spark, name):
     test_query_equals_sql(spark, name)
 
@@ -76,3 +77,23 @@ def test_bars_stay_in_hash_aggregates(spark):
     plan = registry.by_name()["price_bars"].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     assert "l_comment" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name, most", [("replacement_plan", 60), ("selection_ranking", 20), ("signal_scorecard", 10), ("strategy_table", 20)])
+def test_raw_rows_are_not_read_again_by_the_last_plan(spark, name, most):
+    plan = plan_of(registry.by_name()[name].run(spark, FOLDER))
+    assert plan.count("lineitem.parquet") == 0 and plan.count("Exchange ") <= most
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_options_are_priced_once_for_all_books(spark):
+    from bartide.operators import options as op
+    from bartide.plans import options as plans
+
+    rows = plans.strategy_plans(spark, FOLDER)
+    levels = rows.select("underlying", op.F.explode(op.F.sequence(op.F.lit(0), op.F.lit(4))).alias("scenario"), (op.F.col("scenario") / 100.0).alias("index_ret"))
+    legs = rows.select("underlying", "spot", op.F.inline("legs")).where("iv is not null")
+    doubled = legs.unionByName(legs)
+    once = op.contract_cube(legs, levels, plans.HORIZON, plans.RATE).count()
+    assert once == op.contract_cube(doubled, levels, plans.HORIZON, plans.RATE).count() == legs.select(*op.CONTRACT, "spot").distinct().count() * 5
