@@ -6,7 +6,7 @@ occurrence of the lowest (doc_id, place) stays. The others are copies; a run of
 removed if it has at least `min_words` words, so that clauses which recur by chance stay where they are.
 
 A passage of few long clauses shares too few whole units. `repeated_windows`
-finds those by windows of words instead, whatever the sentences are; the pipeline removes what either of them finds.
+finds those by windows of words instead, whatever the sentences are; the pipeline, whose units are sentences, runs it on what the first rule has left.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 
 from bartide.llm.common import batch_words, columns_of, free_name, join_heavy, mixed, shingles, stored, text_buffers, texts_of
 
-#: words in a run of copies from which on it is removed
+#: words in a run of copies from which on it is removed, if units end at clauses
 MIN_WORDS = 20
+CLAUSES = ".!?,;:"
+#: the same for units that end at sentences only: fewer units, so less to shuffle, with larger ragged ends
+SENTENCE_WORDS = 28
+SENTENCES = ".!?"
 #: words of a window that no later document may share
 WINDOW_WORDS = 51
 #: words of an anchor; every window shares an anchor with all its copies
@@ -33,27 +38,31 @@ ANCHOR_WORDS = 16
 TEXTS_AT_ONCE = 400
 #: more than the code points of any text
 _STARTS = 10**12
-_UNIT = re.compile(r"[^\n.!?,;:]*(?:\n|[.!?,;:]+|\Z)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def cut_units(text: str) -> list[tuple[int, int, int, bytes]]:
+@cache
+def unit_pattern(marks: str) -> re.Pattern:
+    return re.compile(rf"[^\n{marks}]*(?:\n|[{marks}]+|\Z)")
+
+
+def cut_units(text: str, marks: str = CLAUSES) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each unit with a word, in code points; a unit ends with a line, sentence or clause."""
     out = []
-    for m in _UNIT.finditer(text):
+    for m in unit_pattern(marks).finditer(text):
         words = _WORD.findall(m[0])
         if words:
             out.append((m.start(), m.end(), len(words), hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest()))
     return out
 
 
-def unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_batches(batches: Iterator[pa.RecordBatch], marks: str) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "unit", "start", "end", "words", "digest"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows.extend((doc_id, i, *unit) for i, unit in enumerate(cut_units(text.as_py())))
+            rows.extend((doc_id, i, *unit) for i, unit in enumerate(cut_units(text.as_py(), marks)))
             if len(rows) >= 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                 rows = []
@@ -61,7 +70,7 @@ def unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, marks: str = CLAUSES) -> DataFrame:
     """The removed runs: doc_id, start, end (code points of the text), n_units, n_words, first_doc_id and first_start (the
     kept occurrence of the run's first unit). Documents without one have no row.
 
@@ -69,7 +78,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text are one document: among their equal places none counts as a copy of another. Units are compared in lower case with
     white space collapsed."""
     texts = texts_of(docs).where("doc_id is not null")
-    units = stored(texts.mapInArrow(unit_batches, "doc_id long, unit int, start long, end long, words int, digest binary"))
+    units = stored(texts.mapInArrow(lambda b: unit_batches(b, marks), "doc_id long, unit int, start long, end long, words int, digest binary"))
     # doc_id and start as one number, whose minimum is a hash aggregate
     place = (F.col("doc_id").cast("decimal(19,0)") * F.lit(_STARTS).cast("decimal(13,0)") + F.col("start").cast("decimal(12,0)")).cast("decimal(38,0)")
     firsts = units.groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -165,17 +174,6 @@ def repeated_windows(docs: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     return copies.withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def merged_spans(*spans: DataFrame) -> DataFrame:
-    """doc_id, start, end: the union of several tables of spans as disjoint ones; spans that touch become one."""
-    every = spans[0].select("doc_id", "start", "end")
-    for more in spans[1:]:
-        every = every.unionByName(more.select("doc_id", "start", "end"))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = every.withColumn("fresh", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
-    return runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
-
-
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """`docs` with the spans (doc_id, start, end) cut from the text; other columns stay. Texts without a span stay as they are."""
     name = free_name(docs, "spans")

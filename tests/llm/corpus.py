@@ -44,21 +44,21 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(text)
 
 
-def units(text):
+def units(text, marks=".!?,;:"):
     out, start = [], 0
-    for part in re.findall(r"[^\n.!?,;:]*(?:\n|[.!?,;:]+)|[^\n.!?,;:]+", text or ""):
+    for part in re.findall(rf"[^\n{marks}]*(?:\n|[{marks}]+)|[^\n{marks}]+", text or ""):
         if words(part):
             out.append((start, start + len(part), len(words(part)), " ".join(words(part)).lower()))
         start += len(part)
     return out
 
 
-def repeated_runs(texts, least):
+def repeated_runs(texts, least, marks=".!?,;:"):
     """{(doc_id, start, end): words} by looking at all units in order of doc_id and place."""
     seen, out = {}, {}
     for doc in sorted(d for d in texts if d is not None):
         run = None
-        for start, end, n, norm in [*units(texts[doc]), (0, 0, 0, None)]:
+        for start, end, n, norm in [*units(texts[doc], marks), (0, 0, 0, None)]:
             if norm is not None and norm in seen:
                 run = (run[0], end, run[2] + n) if run else (start, end, n)
                 continue

@@ -31,9 +31,9 @@ def test_all_operators_are_registered():
 
 def test_repeated_passages(spark):
     texts = awkward()
-    for least in (5, units.MIN_WORDS):
-        found = {(r.doc_id, r.start, r.end): r.n_words for r in units.repeated_passages(frame(spark, [*texts.items(), (47, texts[47]), (None, texts[47])]), least).collect()}
-        assert found == repeated_runs(texts, least) and any(k[0] == 48 for k in found)
+    for least, marks in ((5, units.CLAUSES), (units.MIN_WORDS, units.CLAUSES), (5, units.SENTENCES), (units.SENTENCE_WORDS, units.SENTENCES)):
+        found = {(r.doc_id, r.start, r.end): r.n_words for r in units.repeated_passages(frame(spark, [*texts.items(), (47, texts[47]), (None, texts[47])]), least, marks).collect()}
+        assert found == repeated_runs(texts, least, marks) and any(k[0] == 48 for k in found)
 
 
 def test_cut_texts(spark):
@@ -230,14 +230,17 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     kept = {i: t for i, t in kept.items() if classes[i] == i}
     assert 240 not in kept and 243 not in kept and 241 in kept
     runs = defaultdict(list)
-    for doc, start, end in repeated_runs(kept, units.MIN_WORDS):
+    for doc, start, end in repeated_runs(kept, units.SENTENCE_WORDS, units.SENTENCES):
         runs[doc].append((start, end))
     assert 241 in runs
-    for doc, start, end in brute_windows(kept, units.WINDOW_WORDS):
-        runs[doc].append((start, end))
-    for doc, spans in runs.items():
-        gone = {k for start, end in spans for k in range(start, end)}
-        kept[doc] = "".join(c for k, c in enumerate(kept[doc]) if k not in gone)
+    for rule in (runs, None):
+        if rule is None:  # windows of what is left
+            rule = defaultdict(list)
+            for doc, start, end in brute_windows(kept, units.WINDOW_WORDS):
+                rule[doc].append((start, end))
+        for doc, spans in rule.items():
+            for start, end in sorted(spans, reverse=True):
+                kept[doc] = kept[doc][:start] + kept[doc][end:]
     kept = {i: t for i, t in kept.items() if words(t)}
     kept = {i: t for i, t in kept.items() if not any(brute_tiles(letters(t), letters(x), 5) >= 0.5 * len(letters(x)) for x in items.values())}
     assert 242 not in kept
