@@ -29,8 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; documents of which no word is left go, those that had none before stay."""
     before = free_name(docs, "length")
-    found = stored(units.merged_spans(units.repeated_passages(docs), units.repeated_windows(docs)))
-    left = units.without_spans(docs.withColumn(before, F.coalesce(F.length("text"), F.lit(0))), found)
+    left = docs.withColumn(before, F.coalesce(F.length("text"), F.lit(0)))
+    left = stored(units.without_spans(left, stored(units.repeated_passages(docs, units.SENTENCE_WORDS, units.SENTENCES))))
+    left = units.without_spans(left, stored(units.repeated_windows(left)))
     left = left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col(before) == F.coalesce(F.length("text"), F.lit(0))))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast("long"))
